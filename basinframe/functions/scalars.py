@@ -80,7 +80,7 @@ def remove_prefix(x, prefix: str) -> Column:
 def split_tokens(x, joiner: str) -> Column:
     """Split on a literal joiner, trim, drop blanks."""
     parts = F.split(_c(x), "\\Q" + joiner + "\\E")
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def join_sorted_distinct(x, joiner: str = "+") -> Column:

@@ -77,7 +77,7 @@ def _nearest_km(points: DataFrame, ref: DataFrame, self_flag: str, out: str) ->
     the nearest lies at the point itself, the second nearest counts: the rule is
     positional, so a co-located twin is skipped only once."""
     index = CubeIndex(ref.select("fold", "well_id", "lat", "lon").withColumnRenamed("well_id", "ref_id"),
-                      scope=["fold"], ids=["ref_id"])
+                      scope=["fold"], ids=["ref_id"], keep=2)
     q = as_queries(points, ["fold", "well_id", self_flag])
     near = index.nearest(q, ["well_id", self_flag], 2)
     first = F.min(F.when(F.col("rank") == 1, F.col("chord")))

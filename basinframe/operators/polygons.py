@@ -212,5 +212,9 @@ def largest_areas(edges: DataFrame, attributes: DataFrame, n: int = 600) -> Data
 
 def decimate_line(coords: str, stride: int = 50):
     """Every ``stride``-th vertex of a line and always its last, in order."""
+    # The last vertex is appended outside the lambda, which would otherwise read
+    # the whole line again for every vertex.
+    kept = F.filter(coords, lambda v, i: i % stride == 0)
+    last = F.slice(coords, -1, 1)
     n = F.size(coords)
-    return F.filter(coords, lambda v, i: (i % stride == 0) | (i == n - 1))
+    return F.when((n - 1) % stride == 0, kept).when(n > 0, F.concat(kept, last)).otherwise(kept)

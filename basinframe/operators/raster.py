@@ -216,14 +216,18 @@ def regrid(
 def neighbourhood(
     cells: DataFrame, grid: Grid, channels: Sequence[str], radii: dict[str, int]
 ) -> DataFrame:
-    """Mean and population standard deviation over a square of cells around each.
+    """Mean and population standard deviation over a square of cells around every
+    cell of the grid.
 
     Rows stop at the poles, columns wrap. Two passes of running sums (along rows,
     then along columns) serve every radius; values are centred on the channel
     median first so that squares do not cancel.
     """
     stats = {r["channel"]: r["median"] for r in channel_stats(cells, channels, exact=False).collect()}
-    base = cells.select(
+    # Every cell takes part, also one without a row of its own: its neighbours count.
+    full = grid.centres(cells.sparkSession).select("row", "col")
+    full = full.join(cells.select("row", "col", *channels), ["row", "col"], "left")
+    base = full.select(
         "row",
         "col",
         *[
@@ -251,7 +255,7 @@ def neighbourhood(
         for c in channels:
             for k in "nsq":
                 down[f"t{k}_{c}_{tag}"] = F.sum(f"{k}_{c}_{tag}").over(w)
-    full = rows.withColumns(down)
+    summed = rows.withColumns(down)
     out = []
     for tag in radii:
         for c in channels:
@@ -260,7 +264,7 @@ def neighbourhood(
             out.append((mean + F.lit(float(stats[c] or 0.0))).alias(f"{c}_mean_{tag}"))
             var = q / F.nullif(n, F.lit(0)) - mean * mean
             out.append(F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"{c}_std_{tag}"))
-    return full.select("row", "col", *out)
+    return summed.select("row", "col", *out)
 
 
 # ---- distances ---------------------------------------------------------------------
@@ -308,7 +312,7 @@ def idw(
     k = min(k, points.limit(k).count())
     if k == 0:
         raise ValueError("no points to interpolate")
-    index = CubeIndex(points, ids=[point_id, value])
+    index = CubeIndex(points, ids=[point_id, value], keep=k)
     near = index.nearest(as_queries(cells, ["row", "col"]), ["row", "col"], k)
     km = km_of_chord("chord")
     weighted = near.withColumns(

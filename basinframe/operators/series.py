@@ -189,7 +189,8 @@ def freshness(ledger: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
     """Age of every registered source against its agreed age. No data is a failure."""
     newest = ledger.groupBy("source_id").agg(F.max("retrieved_at").alias("retrieved_at"))
     joined = registry.select("source_id", "sla_days").join(newest, "source_id", "left")
-    exact = (now.cast("double") - F.col("retrieved_at").cast("double")) / 86400.0
+    at = F.col("retrieved_at").cast("timestamp").cast("double")
+    exact = (now.cast("timestamp").cast("double") - at) / 86400.0
     return joined.select(
         "source_id",
         age_days(now, "retrieved_at").alias("age_days"),

@@ -18,14 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinframe.functions.geo import chord_of_km, km_of_chord, unit_xyz
+from basinframe.operators.ordered import top_n
 from basinframe.session import materialize
 
 #: Cube edges are 2 / 2**level; the last level is about 12 m.
-LEVELS = (2, 4, 6, 8, 10, 12, 14, 16, 18, 20)
-STEP = 2
-LEAF = 32
+LEVELS = tuple(range(2, 21))
+STEP = 1
+LEAF = 16
 _TOP, _LAST = LEVELS[0], LEVELS[-1]
-_EDGE = F.element_at
+#: Levels down to this one (about 25 km) are always counted, finer ones only
+#: where a cube is still crowded.
+_COARSE = 9
 
 
 def _index(v: Column, level: int) -> Column:
@@ -39,16 +42,15 @@ def _key(ix: Column, iy: Column, iz: Column) -> Column:
     return F.shiftleft(ix, 42).bitwiseOR(F.shiftleft(iy, 21)).bitwiseOR(iz)
 
 
-def _with_cells(points: DataFrame) -> DataFrame:
-    """One row per point and level: ``level, ix, iy, iz``."""
+def _with_cells(points: DataFrame, deepest: int = _LAST, top: int = _TOP) -> DataFrame:
+    """One row per point and level from ``top`` to ``deepest``, with its cube."""
     fine = points.withColumns({f"__{k}": _index(F.col(k), _LAST) for k in "xyz"})
-    return (
-        fine.withColumn("level", F.explode(F.array(*[F.lit(v) for v in LEVELS])))
-        .withColumns(
-            {f"i{k}": F.expr(f"shiftright(__{k}, {_LAST} - level)") for k in "xyz"}
-        )
-        .drop("__x", "__y", "__z")
+    levels = F.array(*[F.lit(v) for v in range(top, deepest + 1)])
+    out = fine.withColumn("level", F.explode(levels)).withColumns(
+        {f"i{k}": F.expr(f"shiftright(__{k}, {_LAST} - level)") for k in "xyz"}
     )
+    cell = _key(F.col("ix"), F.col("iy"), F.col("iz"))
+    return out.withColumn("cell", cell).drop("__x", "__y", "__z")
 
 
 def _box_gap(far: bool) -> Column:
@@ -64,12 +66,19 @@ def _box_gap(far: bool) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, terms))
 
 
+def _chord() -> Column:
+    """Chord between the query ``x, y, z`` and the point ``px, py, pz``."""
+    return F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(k) - F.col(f"p{k}"), 2) for k in "xyz"]))
+
+
 class CubeIndex:
     """Reference points counted at every level.
 
     ``scope`` columns keep searches apart (a fold only sees its own references);
     ``carry`` columns travel with the points but do not restrict the search.
-    ``totals`` are summed per cube for radius totals.
+    ``totals`` are summed per cube for radius totals. With ``ids`` the points keep
+    their identity; at one location only the ``keep`` smallest ids can ever be
+    among the nearest, so no more are kept.
     """
 
     def __init__(
@@ -82,10 +91,11 @@ class CubeIndex:
         carry: Sequence[str] = (),
         totals: Sequence[str] = (),
         ids: Sequence[str] = (),
+        keep: int | None = None,
         leaf: int = LEAF,
     ):
         self.scope, self.carry = list(scope), list(carry)
-        self.totals, self.ids, self.leaf = list(totals), list(ids), leaf
+        self.totals, self.ids, self.leaf, self.keep = list(totals), list(ids), leaf, keep
         group = self.scope + self.carry
         base = ref.select(*group, *self.totals, *self.ids, *unit_xyz(lat, lon))
         if not self.ids:
@@ -95,27 +105,41 @@ class CubeIndex:
                 *[F.sum(t).alias(t) for t in self.totals],
             )
         else:
+            if keep is not None:
+                base = top_n(base, [*group, "x", "y", "z"], self.ids, keep)
             base = base.withColumn("n_here", F.lit(1).cast("long"))
-        self.cells = materialize(
-            _with_cells(base).withColumn("cell", _key(F.col("ix"), F.col("iy"), F.col("iz"))),
-            "cells",
-        )
-        # Tight boxes around the points actually present prune far better than
-        # cube walls do.
-        nodes = self.cells.groupBy(*group, "level", "cell").agg(
+        self.base = materialize(base, "points")
+        nodes = materialize(self._count(self.base, _TOP, _COARSE), "nodes")
+        crowded = self._crowded(nodes)
+        if crowded == _COARSE:
+            dense = nodes.where((F.col("level") == _COARSE) & (F.col("n") > leaf))
+            at = _with_cells(self.base, _COARSE, _COARSE)
+            inside = at.join(dense.select(*group, "cell"), [*group, "cell"], "left_semi")
+            finer = self._count(inside.select(*self.base.columns), _COARSE + 1, _LAST)
+            nodes = nodes.unionByName(materialize(finer, "nodes"))
+            crowded = self._crowded(nodes)
+        # Below this level every cube is small enough to be opened.
+        self.bottom = min(crowded + STEP, _LAST)
+        self.nodes = nodes.where(F.col("level") <= self.bottom)
+
+    def _count(self, points: DataFrame, top: int, deepest: int) -> DataFrame:
+        """Cubes with what they hold. Boxes around the points actually present prune
+        better than cube walls."""
+        nodes = _with_cells(points, deepest, top).groupBy(*self.scope, *self.carry, "level", "cell").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("n_here").alias("n_rows"),
             *[F.sum(t).alias(t) for t in self.totals],
             *[F.min(k).alias(f"lo_{k}") for k in "xyz"],
             *[F.max(k).alias(f"hi_{k}") for k in "xyz"],
-            F.first("ix").alias("ix"),
-            F.first("iy").alias("iy"),
-            F.first("iz").alias("iz"),
+            *[F.first(f"i{k}").alias(f"i{k}") for k in "xyz"],
         )
         up = [F.shiftright(F.col(f"i{k}"), STEP) for k in "xyz"]
-        self.nodes = materialize(nodes.withColumn("parent", _key(*up)).drop("ix", "iy", "iz"), "nodes")
-        deepest = self.nodes.where(F.col("n") > leaf).agg(F.max("level").alias("m")).first()["m"]
-        self.deepest = deepest or 0
+        return nodes.withColumn("parent", _key(*up)).drop("ix", "iy", "iz")
+
+    def _crowded(self, nodes: DataFrame) -> int:
+        """Deepest level that still has a cube too full to open."""
+        deepest = nodes.where(F.col("n") > self.leaf).agg(F.max("level").alias("m")).first()["m"]
+        return deepest if deepest is not None else _TOP - STEP
 
     # -- building blocks ---------------------------------------------------------
 
@@ -130,149 +154,160 @@ class CubeIndex:
         """
         level = F.lit(_TOP)
         for lv in LEVELS[1:]:
-            level = F.when(F.col("bound") <= 2.0 / 2**lv, F.lit(lv)).otherwise(level)
-        wide = F.col("bound") > 2.0 / 2**_TOP
-        q = queries.withColumns({"level": level, "__wide": wide})
-        q = q.withColumns({f"__i{k}": F.expr(f"least(cast(floor(({k} + 1.0D) * (1 << (level - 1))) as int), (1 << level) - 1)") for k in "xyz"})
-        spans = {}
+            if lv <= self.bottom:
+                level = F.when(F.col("bound") <= 2.0 / 2**lv, F.lit(lv)).otherwise(level)
+        q = queries.withColumns({"level": level, "__wide": F.col("bound") > 2.0 / 2**_TOP})
         for k in "xyz":
-            lo = F.expr(
-                f"if(__wide, 0, greatest(cast(floor(({k} - bound + 1.0D) * (1 << (level - 1))) as int), 0))"
-            )
-            hi = F.expr(
-                f"if(__wide, (1 << level) - 1, least(cast(floor(({k} + bound + 1.0D) * (1 << (level - 1))) as int), (1 << level) - 1))"
-            )
-            spans[k] = (lo, hi)
-        for k, (lo, hi) in spans.items():
-            q = q.withColumn(f"__c{k}", F.explode(F.sequence(lo, hi)))
-        return q.withColumn(
-            "cell", _key(*[F.col(f"__c{k}").cast("long") for k in "xyz"])
-        ).drop("__wide", *[f"__i{k}" for k in "xyz"], *[f"__c{k}" for k in "xyz"])
-
-    def _node_side(self) -> DataFrame:
-        return self.nodes
-
-    def _descend(self, front: DataFrame, qid: Sequence[str], settle) -> DataFrame:
-        """Open cubes level by level; ``settle`` prunes the front after each step.
-
-        Returns cubes that need their points looked at.
-        """
-        done = []
-        start = front.agg(F.min("level").alias("a")).first()["a"] if self.deepest else None
+            scale = "(1 << (level - 1))"
+            lo = f"greatest(cast(floor(({k} - bound + 1.0D) * {scale}) as int), 0)"
+            hi = f"least(cast(floor(({k} + bound + 1.0D) * {scale}) as int), (1 << level) - 1)"
+            span = F.expr(f"sequence(if(__wide, 0, {lo}), if(__wide, (1 << level) - 1, {hi}))")
+            q = q.withColumn(f"__c{k}", F.explode(span))
+        cell = _key(*[F.col(f"__c{k}").cast("long") for k in "xyz"])
+        return q.withColumn("cell", cell).drop("__wide", *[f"__c{k}" for k in "xyz"])
+
+    def _start(self, queries: DataFrame) -> DataFrame:
+        return self._match(self._around(queries), self.nodes.drop("parent"), ["level", "cell"])
+
+    def _descend(self, front: DataFrame, settle) -> DataFrame:
+        """Replace crowded cubes by their children, one level per join; ``settle``
+        prunes after each. Cubes that are small enough ride along unchanged."""
+        values = ["cell", *self.carry, "n", "n_rows", *self.totals]
+        values += [f"{s}_{k}" for s in ("lo", "hi") for k in "xyz"]
+        child = self.nodes.select(
+            *[F.col(s).alias(f"__{s}") for s in self.scope],
+            F.col("level").alias("__level"),
+            F.col("parent").alias("__parent"),
+            *[F.col(v).alias(f"__{v}") for v in values],
+        )
         front = settle(front)
-        steps = 0 if start is None else max(0, (min(self.deepest, _LAST - STEP) - start) // STEP + 1)
-        for _ in range(steps):
-            inner = (F.col("n") > self.leaf) & (F.col("level") < _LAST)
-            done.append(front.where(~inner))
-            keep = [c for c in front.columns if c not in self._node_cols()]
-            opened = (
-                front.where(inner)
-                .select(*keep, F.col("cell").alias("parent"), (F.col("level") + STEP).alias("level"))
-            )
-            front = settle(self._match(opened, self.nodes, ["level", "parent"]).drop("parent"))
-        done.append(front)
-        return reduce(lambda a, b: a.unionByName(b), done)
-
-    def _node_cols(self) -> set[str]:
-        own = {"level", "cell", "n", "n_rows", *self.totals, *self.carry}
-        return own | {f"{s}_{k}" for s in ("lo", "hi") for k in "xyz"}
+        for step in range((self.bottom - _TOP) // STEP):
+            if step and step % 4 == 0:
+                # Deep searches are cut into short plans and end as soon as no
+                # query has a crowded cube left.
+                front = materialize(front, "front")
+                full = (F.col("n") > self.leaf) & (F.col("level") < self.bottom)
+                if "__whole" in front.columns:
+                    full = full & ~F.col("__whole")
+                if front.where(full).isEmpty():
+                    break
+            crowded = (F.col("n") > self.leaf) & (F.col("level") < self.bottom)
+            if "__whole" in front.columns:
+                crowded = crowded & ~F.col("__whole")
+            # A key no cube has, spread by value, keeps the rest from piling up.
+            idle = -1 - F.abs(F.xxhash64("x", "y", "z", "cell") % F.lit(2**40))
+            f = front.withColumn("__open", F.when(crowded, F.col("cell")).otherwise(idle))
+            on = (F.col("__open") == F.col("__parent")) & (F.col("level") + STEP == F.col("__level"))
+            for s in self.scope:
+                on = on & (F.col(s) == F.col(f"__{s}"))
+            for s in self.carry:
+                on = on & (F.col(s) == F.col(f"__{s}"))
+            j = f.join(child, on, "left")
+            hit = F.col("__level").isNotNull()
+            took = {v: F.when(hit, F.col(f"__{v}")).otherwise(F.col(v)) for v in [*values, "level"]}
+            front = settle(j.withColumns(took).select(*front.columns))
+        return front
+
+    def _points(self) -> DataFrame:
+        fine = _with_cells(self.base, self.bottom)
+        return fine.select(
+            *self.scope, *self.carry, "level", "cell", *self.ids, *self.totals,
+            F.col("n_here").alias("n_rows"), *[F.col(k).alias(f"p{k}") for k in "xyz"],
+        )
 
     # -- searches ------------------------------------------------------------------
 
     def nearest(self, queries: DataFrame, qid: Sequence[str], k: int = 1) -> DataFrame:
         """The ``k`` nearest points: ``qid, ids, chord, rank``.
 
-        ``queries`` carries ``scope``, ``qid`` and ``x, y, z``. Ties are broken by
-        the ids, so the outcome does not depend on partitioning.
+        ``queries`` carries ``scope``, ``qid`` and ``x, y, z``; each distinct
+        location is searched once. Ties are broken by the ids, so the outcome does
+        not depend on partitioning.
         """
-        if k > self.leaf:
-            raise ValueError("k must not exceed the leaf size")
-        group = [*self.scope, *qid]
-        q = queries.select(*group, "x", "y", "z")
+        if k > self.leaf or (self.keep is not None and k > self.keep):
+            raise ValueError("k exceeds what the index keeps")
+        spot = [*self.scope, "x", "y", "z"]
+        # Stored once: the positions are join keys below and must not be recomputed.
+        asked = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
+        q = asked.select(*spot).distinct()
         # A cube that holds the query and at least k points bounds the distance
         # by its farthest corner.
-        own = _with_cells(q).withColumn("cell", _key(F.col("ix"), F.col("iy"), F.col("iz")))
+        own = _with_cells(q, self.bottom).select(*spot, "level", "cell")
         full = self.nodes.where(F.col("n") >= k).drop("parent")
         bound = (
-            self._match(own.select(*group, "x", "y", "z", "level", "cell"), full, ["level", "cell"])
-            .groupBy(*group)
+            self._match(own, full, ["level", "cell"])
+            .groupBy(*spot)
             .agg(F.min(_box_gap(True)).alias("bound"))
         )
-        q = q.join(bound, group, "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
-        q = materialize(q, "bounds")
-        front = self._match(self._around(q), self.nodes.drop("parent"), ["level", "cell"])
-        per_query = Window.partitionBy(*group)
+        q = q.join(bound, spot, "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
+        per_query = Window.partitionBy(*spot)
+        slack = F.col("bound") * (1 + 1e-12) + 1e-15  # exact arithmetic would need none
 
         def settle(f: DataFrame) -> DataFrame:
-            # Exact arithmetic would need no slack; rounding does.
-            f = f.withColumn("__far", F.when(F.col("n") >= k, _box_gap(True)))
-            f = f.withColumn("bound", F.least("bound", F.min("__far").over(per_query)))
-            return f.where(_box_gap(False) <= F.col("bound") * (1 + 1e-12) + 1e-15).drop("__far")
-
-        leaves = self._descend(front, qid, settle)
-        pts = self.cells.select(
-            *self.scope, "level", "cell", *self.ids,
-            *[F.col(c).alias(f"p{c}") for c in "xyz"],
-        )
-        chord = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"p{c}"), 2) for c in "xyz"]))
+            # The cubes are disjoint: once those with the nearest far corners hold k
+            # points, the k-th point cannot be farther than the last of these corners.
+            f = f.withColumn("__far", _box_gap(True))
+            held = F.sum("n").over(per_query.orderBy("__far").rowsBetween(Window.unboundedPreceding, 0))
+            f = f.withColumn("__enough", F.when(held >= k, F.col("__far")))
+            f = f.withColumn("bound", F.least("bound", F.min("__enough").over(per_query)))
+            return f.where(_box_gap(False) <= slack).drop("__far", "__enough")
+
+        leaves = self._descend(self._start(q), settle).select(*spot, "bound", "level", "cell")
         pairs = (
-            self._match(leaves.select(*group, "x", "y", "z", "bound", "level", "cell"), pts, ["level", "cell"])
-            .withColumn("chord", chord)
-            .where(F.col("chord") <= F.col("bound") * (1 + 1e-12) + 1e-15)
-            .select(*group, *self.ids, "chord")
+            self._match(leaves, self._points(), ["level", "cell"])
+            .withColumn("chord", _chord())
+            .where(F.col("chord") <= slack)
+            .select(*spot, *self.ids, "chord")
         )
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy("chord", *self.ids))
-        return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+        rank = F.row_number().over(per_query.orderBy("chord", *self.ids))
+        found = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+        return asked.join(found, spot).select(*self.scope, *qid, *self.ids, "chord", "rank")
 
-    def _radius_front(self, queries: DataFrame, qid: Sequence[str], radius_km: float) -> DataFrame:
-        q = queries.select(*self.scope, *qid, "x", "y", "z").withColumn(
-            "bound", F.lit(chord_of_km(radius_km))
-        )
-        front = self._match(self._around(q), self.nodes.drop("parent"), ["level", "cell"])
-        return front.where(_box_gap(False) <= F.col("bound"))
-
-    def _radius_parts(
-        self, queries: DataFrame, qid: Sequence[str], radius_km: float
-    ) -> tuple[DataFrame, DataFrame]:
-        """(cubes wholly inside, point pairs inside from opened cubes)."""
-        front = self._radius_front(queries, qid, radius_km)
-        group = [*self.scope, *qid]
-        inside: list[DataFrame] = []
-        whole = _box_gap(True) <= F.col("bound")
+    def _radius(self, queries: DataFrame, radius_km: float) -> DataFrame:
+        """Per distinct location: cubes wholly inside, and points inside from the
+        cubes the circle cuts, as ``scope, x, y, z, carry, n_rows, totals``."""
+        q = queries.select(*self.scope, "x", "y", "z").distinct().withColumn("bound", F.lit(chord_of_km(radius_km)))
 
         def settle(f: DataFrame) -> DataFrame:
             f = f.where(_box_gap(False) <= F.col("bound"))
-            inside.append(f.where(whole).select(*group, *self.carry, "n_rows", *self.totals))
-            return f.where(~whole)
+            return f.withColumn("__whole", _box_gap(True) <= F.col("bound"))
 
-        leaves = self._descend(front, qid, settle)
-        pts = self.cells.select(
-            *self.scope, *self.carry, "level", "cell", *self.totals,
-            F.col("n_here").alias("n_rows"), *[F.col(c).alias(f"p{c}") for c in "xyz"],
+        start = self._start(q).withColumn("__whole", F.lit(False))
+        front = self._descend(start, settle)
+        out = [*self.scope, "x", "y", "z", *self.carry, "n_rows", *self.totals]
+        cut = front.where(~F.col("__whole")).select(
+            *self.scope, "x", "y", "z", *self.carry, "bound", "level", "cell"
         )
-        on = ["level", "cell", *self.carry]
-        chord = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"p{c}"), 2) for c in "xyz"]))
-        pairs = (
-            self._match(leaves.select(*group, *self.carry, "x", "y", "z", "bound", "level", "cell"), pts, on)
-            .where(chord <= F.col("bound"))
-            .select(*group, *self.carry, "n_rows", *self.totals)
-        )
-        return reduce(lambda a, b: a.unionByName(b), inside), pairs
+        pairs = self._match(cut, self._points(), ["level", "cell", *self.carry])
+        inside = pairs.where(_chord() <= F.col("bound")).select(*out)
+        return front.where("__whole").select(*out).unionByName(inside)
 
     def within(self, queries: DataFrame, qid: Sequence[str], radius_km: float) -> DataFrame:
         """Totals of the points within the radius: ``n_rows`` and every total."""
-        inside, pairs = self._radius_parts(queries, qid, radius_km)
-        return (
-            inside.unionByName(pairs)
-            .groupBy(*self.scope, *qid, *self.carry)
-            .agg(F.sum("n_rows").alias("n_rows"), *[F.sum(t).alias(t) for t in self.totals])
+        spot = [*self.scope, "x", "y", "z"]
+        queries = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
+        per_spot = self._radius(queries, radius_km).groupBy(*spot, *self.carry).agg(
+            F.sum("n_rows").alias("n_rows"), *[F.sum(t).alias(t) for t in self.totals]
         )
+        asked = queries.select(*self.scope, *qid, "x", "y", "z")
+        return asked.join(per_spot, spot).drop("x", "y", "z")
 
     def touching(self, queries: DataFrame, qid: Sequence[str], radius_km: float) -> DataFrame:
         """Distinct ``qid`` (and ``carry``) with any point within the radius."""
-        inside, pairs = self._radius_parts(queries, qid, radius_km)
-        cols = [*self.scope, *qid, *self.carry]
-        return inside.select(*cols).unionByName(pairs.select(*cols)).distinct()
+        spot = [*self.scope, "x", "y", "z"]
+        queries = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
+        near = self._radius(queries, radius_km).select(*spot, *self.carry).distinct()
+        asked = queries.select(*self.scope, *qid, "x", "y", "z")
+        return asked.join(near, spot).drop("x", "y", "z").distinct()
+
+    def pairs(self, queries: DataFrame, qid: Sequence[str], radius_km: float) -> DataFrame:
+        """``qid, ids, chord`` of every point within the radius."""
+        asked = queries.select(*self.scope, *qid, "x", "y", "z")
+        q = asked.withColumn("bound", F.lit(chord_of_km(radius_km)))
+        front = self._descend(self._start(q), lambda f: f.where(_box_gap(False) <= F.col("bound")))
+        cut = front.select(*self.scope, *qid, "x", "y", "z", "bound", "level", "cell")
+        found = self._match(cut, self._points(), ["level", "cell"]).withColumn("chord", _chord())
+        return found.where(F.col("chord") <= F.col("bound")).select(*self.scope, *qid, *self.ids, "chord")
 
 
 def as_queries(df: DataFrame, cols: Sequence[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -288,7 +323,7 @@ def nearest_join(
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """``point_id, ref_id, distance_km, rank`` of the k nearest reference points."""
-    index = CubeIndex(ref, scope=scope, ids=[ref_id])
+    index = CubeIndex(ref, scope=scope, ids=[ref_id], keep=k)
     found = index.nearest(as_queries(points, [*scope, point_id]), [point_id], k)
     return found.withColumn("distance_km", km_of_chord("chord"))
 
@@ -316,19 +351,9 @@ def radius_pairs(
 ) -> DataFrame:
     """Every pair within the radius with its distance, for callers that need the
     pairs themselves. The output grows with the pairs; prefer ``radius_totals``."""
-    r = chord_of_km(radius_km)
     index = CubeIndex(ref, ids=[ref_id])
-    q = as_queries(points, [point_id]).withColumn("bound", F.lit(r))
-    front = index._match(index._around(q), index.nodes.drop("parent"), ["level", "cell"])
-    leaves = index._descend(front, [point_id], lambda f: f.where(_box_gap(False) <= F.col("bound")))
-    pts = index.cells.select("level", "cell", ref_id, *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    chord = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"p{c}"), 2) for c in "xyz"]))
-    pairs = leaves.select(point_id, "x", "y", "z", "bound", "level", "cell").join(pts, ["level", "cell"])
-    return (
-        pairs.withColumn("chord", chord)
-        .where(F.col("chord") <= F.col("bound"))
-        .select(point_id, ref_id, km_of_chord("chord").alias("distance_km"))
-    )
+    found = index.pairs(as_queries(points, [point_id]), [point_id], radius_km)
+    return found.select(point_id, ref_id, km_of_chord("chord").alias("distance_km"))
 
 
 def buffer_anti_join(

@@ -20,6 +20,7 @@ def local_session(cores: str = "8", name: str = "basinframe", **extra: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

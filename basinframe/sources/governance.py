@@ -22,6 +22,7 @@ from basinframe.operators.contracts import (
     nullable,
     require_none,
 )
+from basinframe.session import materialize
 from basinframe.sources.spec import Feed
 
 # ---- governance ------------------------------------------------------------------------
@@ -73,7 +74,7 @@ GOVERNANCE = Feed(
     ),
     normalize_governance,
     governance_rows,
-    (
+    lambda: (
         Guard("message body", F.get_json_object("meta", "$.message").isNotNull(), SourceUnavailable),
         Guard("no data rows", F.coalesce(F.size("rows"), F.lit(0)) <= 0, SourceUnavailable),
     ),
@@ -115,10 +116,11 @@ def us_entries(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.trim(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
-US_WIDTH_GUARD = Guard(
-    f"row is not {codes.SANCTION_COLUMNS} columns wide",
-    F.col(f"c{codes.SANCTION_COLUMNS - 1}").isNull() | F.col(f"c{codes.SANCTION_COLUMNS}").isNotNull(),
-)
+def _us_width() -> Guard:
+    return Guard(
+        f"row is not {codes.SANCTION_COLUMNS} columns wide",
+        F.col(f"c{codes.SANCTION_COLUMNS - 1}").isNull() | F.col(f"c{codes.SANCTION_COLUMNS}").isNotNull(),
+    )
 
 
 def program_tokens(entries: DataFrame, cell: str = "programs") -> DataFrame:
@@ -146,6 +148,7 @@ def _country_rows(tokens: DataFrame, country_of: dict[str, str], source: str, ge
 def normalize_us(entries: DataFrame, strict: bool = True) -> DataFrame:
     tokens = program_tokens(entries)
     if strict:
+        tokens = materialize(tokens, "tokens")  # one row per token; the list is read once
         known = [*codes.US_COUNTRY_TOKENS, *codes.US_THEMATIC_TOKENS]
         require_none(unknown_tokens(tokens, known), "ofac_eu", "unknown programme tokens")
     return _country_rows(tokens, codes.US_COUNTRY_TOKENS, "OFAC", F.lit(None))
@@ -153,7 +156,7 @@ def normalize_us(entries: DataFrame, strict: bool = True) -> DataFrame:
 
 def load_us(raw: DataFrame) -> DataFrame:
     rows = us_rows(raw)
-    guard(rows, "ofac_eu", [US_WIDTH_GUARD], empty="list has no entries")
+    guard(rows, "ofac_eu", [_us_width()], empty="list has no entries")
     return normalize_us(us_entries(rows))
 
 
@@ -179,6 +182,7 @@ def normalize_eu(entities: DataFrame, generated: str, strict: bool = True) -> Da
         .agg(F.count(F.lit(1)).alias("designation_count"))
     )
     if strict:
+        tokens = materialize(tokens, "tokens")
         known = [*codes.EU_COUNTRY_TOKENS, *codes.EU_THEMATIC_TOKENS]
         require_none(unknown_tokens(tokens, known), "ofac_eu", "unknown programme codes")
     return _country_rows(tokens, codes.EU_COUNTRY_TOKENS, "EU", F.lit(generated))

@@ -75,27 +75,28 @@ def _terminal() -> Column:
     return infra_kind().isin("lng_import", "lng_export")
 
 
-INFRA_GUARDS = [
-    Guard("feature without project id", _text("project-id") == ""),
-    Guard(
-        "unclassifiable feature",
-        _kept() & infra_kind().isNull() & ~F.coalesce(_untyped_terminal(), F.lit(False)),
-    ),
-    Guard("too many untyped terminals", _kept() & infra_kind().isNull(), allowed=codes.INFRA_SKIP_ALLOWED),
-    Guard("unreadable start year", _kept() & infra_kind().isNotNull() & start_year("`start-year`")[1]),
-    Guard(
-        "terminal without position",
-        _kept()
-        & _terminal()
-        & (F.col("Latitude").try_cast("double").isNull() | F.col("Longitude").try_cast("double").isNull()),
-    ),
-    Guard(
-        "pipeline without a line",
-        _kept()
-        & F.coalesce(infra_kind().isin("oil_pipeline", "gas_pipeline"), F.lit(False))
-        & ~F.coalesce(F.col("geometry_type").isin("LineString", "MultiLineString"), F.lit(False)),
-    ),
-]
+def infra_guards() -> list[Guard]:
+    return [
+        Guard("feature without project id", _text("project-id") == ""),
+        Guard(
+            "unclassifiable feature",
+            _kept() & infra_kind().isNull() & ~F.coalesce(_untyped_terminal(), F.lit(False)),
+        ),
+        Guard("too many untyped terminals", _kept() & infra_kind().isNull(), allowed=codes.INFRA_SKIP_ALLOWED),
+        Guard("unreadable start year", _kept() & infra_kind().isNotNull() & start_year("`start-year`")[1]),
+        Guard(
+            "terminal without position",
+            _kept()
+            & _terminal()
+            & (F.col("Latitude").try_cast("double").isNull() | F.col("Longitude").try_cast("double").isNull()),
+        ),
+        Guard(
+            "pipeline without a line",
+            _kept()
+            & F.coalesce(infra_kind().isin("oil_pipeline", "gas_pipeline"), F.lit(False))
+            & ~F.coalesce(F.col("geometry_type").isin("LineString", "MultiLineString"), F.lit(False)),
+        ),
+    ]
 
 
 def line_vertices() -> Column:
@@ -172,7 +173,7 @@ def load_infra(docs: DataFrame) -> DataFrame:
         empty="nothing landed",
     )
     raw = feature_rows(docs, ("tracker",))
-    guard(raw, "gem_infra", INFRA_GUARDS)
+    guard(raw, "gem_infra", infra_guards())
     return INFRA_CONTRACT.enforce(require_rows(normalize_infra(raw), "gem_infra"))
 
 
@@ -246,8 +247,8 @@ FIELDS = Feed(
     ),
     normalize_fields,
     feature_rows,
-    (Guard("no feature list", F.col("features").isNull(), SourceUnavailable),),
-    (
+    lambda: (Guard("no feature list", F.col("features").isNull(), SourceUnavailable),),
+    lambda: (
         Guard("feature without project id", _text("project-id") == ""),
         Guard("geometry is not a point", ~F.coalesce(F.col("geometry_type") == "Point", F.lit(False))),
         Guard("malformed coordinates", F.coalesce(F.size(F.from_json("coordinates", "array<double>")), F.lit(0)) < 2),

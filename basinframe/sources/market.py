@@ -75,7 +75,7 @@ SPOT = Feed(
     ),
     normalize_spot,
     spot_rows,
-    (Guard("payload has no observations", F.col("observations").isNull(), SourceUnavailable),),
+    lambda: (Guard("payload has no observations", F.col("observations").isNull(), SourceUnavailable),),
 )
 
 # ---- weekly energy series and country production --------------------------------------
@@ -101,16 +101,17 @@ def normalize_weekly(raw: DataFrame) -> DataFrame:
     )
 
 
-_WEEKLY_GUARDS = (
-    Guard("error body", F.col("error").isNotNull(), SourceUnavailable),
-    Guard("no response data", F.col("response.data").isNull(), SourceUnavailable),
-    Guard("empty response data", F.size("response.data") == 0, SourceUnavailable),
-    Guard(
-        "truncated response",
-        truncated(F.col("response.total"), F.size("response.data")),
-        SourceUnavailable,
-    ),
-)
+def _weekly_guards() -> tuple[Guard, ...]:
+    return (
+        Guard("error body", F.col("error").isNotNull(), SourceUnavailable),
+        Guard("no response data", F.col("response.data").isNull(), SourceUnavailable),
+        Guard("empty response data", F.size("response.data") == 0, SourceUnavailable),
+        Guard(
+            "truncated response",
+            truncated(F.col("response.total"), F.size("response.data")),
+            SourceUnavailable,
+        ),
+    )
 
 WEEKLY = Feed(
     "eia_v2",
@@ -126,7 +127,7 @@ WEEKLY = Feed(
     ),
     normalize_weekly,
     weekly_rows,
-    _WEEKLY_GUARDS,
+    _weekly_guards,
 )
 
 
@@ -152,7 +153,7 @@ COUNTRY_PRODUCTION = Feed(
     ),
     normalize_country_production,
     weekly_rows,
-    _WEEKLY_GUARDS,
+    _weekly_guards,
 )
 
 # ---- country flows --------------------------------------------------------------------
@@ -200,7 +201,7 @@ FLOWS = Feed(
     ),
     normalize_flows,
     lambda df: df,
-    row_guards=(
+    row_guards=lambda: (
         Guard("unrecognised value marker", (F.col("ENERGY_PRODUCT") == "CRUDEOIL") & _flow_value()[1]),
     ),
 )
@@ -246,7 +247,7 @@ RIGS = Feed(
         unique=("week", "region", "basin", "drill_for"),
     ),
     normalize_rigs,
-    row_guards=(
+    row_guards=lambda: (
         Guard("unexpected country", _complete() & ~F.col("Country").isin(list(codes.RIG_REGIONS))),
         Guard("unexpected fuel", _complete() & ~F.col("DrillFor").isin(list(codes.RIG_FUELS))),
     ),
@@ -311,7 +312,7 @@ _MONTH_LABEL = r"^[A-Z][a-z]{2} \d{2}$"
 
 
 def _member_cell(c: Column) -> tuple[Column, Column]:
-    text = F.rtrim(F.lit("*"), F.trim(c))
+    text = F.rtrim(F.trim(c), F.lit("*"))
     absent = text.isNull() | text.isin(*codes.MEMBER_ABSENT)
     value = F.when(~absent, F.replace(text, F.lit(","), F.lit("")).try_cast("double"))
     return value, ~absent & value.isNull()
@@ -331,7 +332,9 @@ def member_long(wide: DataFrame, country: str = "country") -> DataFrame:
 def normalize_members(wide: DataFrame) -> DataFrame:
     long = member_long(wide).where(~F.col("country").startswith("Total"))
     value, _ = _member_cell(F.col("cell"))
-    month = parse_date(F.concat(F.lit("01 "), F.col("label")), "dd MMM yy")
+    yy = F.substring("label", 5, 2)
+    century = F.when(yy >= "69", "19").otherwise("20")
+    month = parse_date(F.concat(F.lit("01 "), F.substring("label", 1, 4), century, yy), "dd MMM yyyy")
     return long.withColumns({"production_kbd": value, "month": month}).where(
         "production_kbd IS NOT NULL"
     ).select("country", "month", "production_kbd", F.lit("semi_automated").alias("extraction"))

@@ -7,8 +7,8 @@ raw rows into the typed table; both are lazy and take any number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -21,13 +21,12 @@ class Feed:
     contract: Contract
     normalize: Callable[..., DataFrame]
     rows: Callable[[DataFrame], DataFrame] = lambda df: df
-    document_guards: tuple[Guard, ...] = ()
-    row_guards: tuple[Guard, ...] = ()
-    options: dict = field(default_factory=dict)
+    document_guards: Callable[[], Sequence[Guard]] = tuple
+    row_guards: Callable[[], Sequence[Guard]] = tuple
 
     def load(self, landed: DataFrame, **kw) -> DataFrame:
-        guard(landed, self.source_id, self.document_guards, empty="nothing landed")
+        guard(landed, self.source_id, self.document_guards(), empty="nothing landed")
         raw = self.rows(landed)
-        guard(raw, self.source_id, self.row_guards, empty="document has no rows")
+        guard(raw, self.source_id, self.row_guards(), empty="document has no rows")
         out = self.normalize(raw, **kw)
         return self.contract.enforce(require_rows(out, self.source_id))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.errors import TableAbsent
+from basinframe.errors import DataError, TableAbsent
 from basinframe.operators.contracts import (
     Contract,
     Provenance,
@@ -29,17 +29,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_with_ledger(df: DataFrame, prov: Provenance, table: str, root: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_with_ledger(
+    df: DataFrame, prov: Provenance, table: str, root: str, contract: Contract | None = None
+) -> DataFrame:
     """Write a new version of ``table`` and append its ledger row.
 
-    Readers follow the ledger, so a write that dies half-way is never read. Rows
-    and hash come from the files just written, which makes them immune to tasks
-    that ran twice.
+    Readers follow the ledger, so a write that dies half-way, or whose rows break
+    the contract, is never read. Checks, row count and hash are taken from the
+    files just written: the feed is computed once, and tasks that ran twice do
+    not count twice.
     """
     spark = df.sparkSession
     path = f"{table}/{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{path}")
     stored = spark.read.schema(df.schema).parquet(f"{root}/{path}")
+    try:
+        require_rows(stored, prov.source_id)
+        if contract is not None:
+            contract.enforce(stored)
+    except DataError:
+        _delete(spark, f"{root}/{path}")
+        raise
     entry = content_hash(stored).select(
         F.lit(prov.source_id).alias("source_id"),
         F.lit(table).alias("table"),
@@ -51,6 +66,7 @@ def write_with_ledger(df: DataFrame, prov: Provenance, table: str, root: str) ->
         F.lit(prov.transform_version).alias("transform_version"),
         F.current_timestamp().alias("written_at"),
     )
+    entry = spark.createDataFrame(entry.collect(), LEDGER_SCHEMA)  # the one ledger row
     entry.coalesce(1).write.mode("append").parquet(f"{root}/{LEDGER}")
     return entry
 
@@ -93,8 +109,7 @@ def run_source(
 ) -> DataFrame:
     """Stamp, validate and store one normalised feed; returns its ledger row."""
     stamped = attach_provenance(df, prov)
-    checked = contract.with_provenance().enforce(require_rows(stamped, prov.source_id))
-    return write_with_ledger(checked, prov, table, root)
+    return write_with_ledger(stamped, prov, table, root, contract.with_provenance())
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:

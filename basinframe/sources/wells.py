@@ -113,7 +113,7 @@ NORWAY = Feed(
     _contract("sodir", "sodir:"),
     normalize_norway,
     norway_rows,
-    row_guards=(
+    row_guards=lambda: (
         Guard("blank wellbore name", F.col("wlbWellboreName") == ""),
         Guard("unmapped purpose", _unknown(F.col("wlbPurpose"), codes.NORWAY_PURPOSES)),
         Guard(
@@ -183,11 +183,11 @@ UK = Feed(
     _contract("nsta", "nsta:", purpose_raw=non_null("string", isin(list(codes.UK_PURPOSES)))),
     normalize_uk,
     uk_rows,
-    (
+    lambda: (
         Guard("error body", F.col("error").isNotNull(), SourceUnavailable),
         Guard("no feature list", F.col("features").isNull(), SourceUnavailable),
     ),
-    (
+    lambda: (
         Guard("feature without registration number", F.coalesce("WELLREGNO", F.lit("")) == ""),
         Guard("attribute missing", F.col("n_missing") > 0),
         Guard("intent outside the request", _unknown(F.col("ORIGINTENT"), codes.UK_PURPOSES)),
@@ -236,12 +236,12 @@ NETHERLANDS = Feed(
     _contract("nlog", "nlog:", 1500),
     normalize_netherlands,
     netherlands_rows,
-    (
+    lambda: (
         Guard("no feature list", F.col("features").isNull(), SourceUnavailable),
         Guard("truncated page", F.col("numberReturned") < F.col("numberMatched"), SourceUnavailable),
         Guard("zero features", F.size("features") == 0, SourceUnavailable),
     ),
-    (
+    lambda: (
         Guard("feature without borehole code", F.coalesce("BOREHOLE_CODE", F.lit("")) == ""),
         Guard("unmapped type code", _unknown(F.col("BOREHOLE_TYPE_CODE"), codes.NETHERLANDS_PURPOSES)),
     ),
@@ -308,7 +308,7 @@ US_GULF = Feed(
     ),
     normalize_us_gulf,
     us_gulf_rows,
-    row_guards=(
+    row_guards=lambda: (
         Guard("missing well number", F.col("API_WELL_NUMBER") == ""),
         Guard(
             "spud date is not M/D/YYYY",
