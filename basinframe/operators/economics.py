@@ -104,33 +104,61 @@ def npv_expr(plan: Plan, resource, price, royalty, cit, opex, well, dev) -> Colu
     return _total(flows) * plan.first_oil_factor() - well - plan.capex_pv(dev)
 
 
-def government_take_expr(plan: Plan, resource, price, royalty, cit, opex, well, dev) -> Column:
-    taken, before = [], []
+def production_years(plan: Plan, resource, price, royalty, cit, opex, dev) -> Column:
+    """Array over production years of the cash flow ``n`` and, discounted to first
+    oil, the cash flow ``p``, the state's part ``s`` and what it is taken from ``b``."""
+    years = []
     for i in range(len(plan.profile)):
         revenue, roy, cost, tax = _year_parts(plan, i, resource, price, royalty, cit, opex, dev)
-        taken.append((roy + tax) * plan.factor(i))
-        before.append((revenue - cost) * plan.factor(i))
-    pv_before = _total(before) * plan.first_oil_factor() - well - plan.capex_pv(dev)
-    return F.when(pv_before > 0, _total(taken) * plan.first_oil_factor() / pv_before)
+        ncf = revenue - roy - cost - tax
+        f = plan.factor(i)
+        years.append(
+            F.struct(
+                ncf.alias("n"),
+                (ncf * f).alias("p"),
+                ((roy + tax) * f).alias("s"),
+                ((revenue - cost) * f).alias("b"),
+            )
+        )
+    return F.array(*years)
 
 
-def payback_expr(plan: Plan, resource, price, royalty, cit, opex, well, dev) -> Column:
+def _sum_years(years: str, part: str) -> Column:
+    return F.aggregate(years, F.lit(0.0), lambda a, y: a + y[part])
+
+
+def government_take_expr(plan: Plan, years: str, well, dev) -> Column:
+    disc = plan.first_oil_factor()
+    before = _sum_years(years, "b") * disc - well - plan.capex_pv(dev)
+    return F.when(before > 0, _sum_years(years, "s") * disc / before)
+
+
+def payback_expr(plan: Plan, years: str, well, dev) -> Column:
     """First year in which the running undiscounted cash flow is not negative."""
-    running = -well - dev * plan.capex[0]
-    out = F.when(running >= 0, 0)
+    # Spending before first oil only lowers the total, so a year without oil pays
+    # back only when nothing has been spent by then.
+    spent = well + dev * plan.capex[0]
+    early = F.when(spent <= 0, 0)
     for t, c in enumerate(plan.capex[1:], start=1):
-        # Spending years before first oil can only lower the total.
-        early = plan.years > t
-        running = F.when(early, running - dev * c).otherwise(running)
-        out = out.when(early & (running >= 0), F.lit(t))
-    for i in range(len(plan.profile)):
-        revenue, roy, cost, tax = _year_parts(plan, i, resource, price, royalty, cit, opex, dev)
-        late = F.lit(0.0)
-        for t, c in enumerate(plan.capex[1:], start=1):
-            late = F.when(plan.years + i == t, dev * c).otherwise(late)
-        running = running + revenue - roy - cost - tax - late
-        out = out.when(running >= 0, plan.years + i)
-    return out.cast("int")
+        inside = plan.years > t
+        spent = spent + F.when(inside, dev * c).otherwise(0.0)
+        early = early.when(inside & (spent <= 0), t)
+    late = F.lit(0.0)  # capital that falls in the first year of oil
+    for t, c in enumerate(plan.capex[1:], start=1):
+        late = late + F.when(plan.years == t, dev * c).otherwise(0.0)
+    start = F.struct(
+        (-spent - late).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("at")
+    )
+    walked = F.aggregate(
+        years,
+        start,
+        lambda a, y: F.struct(
+            (a["sum"] + y["n"]).alias("sum"),
+            (a["i"] + 1).alias("i"),
+            F.coalesce(a["at"], F.when(a["sum"] + y["n"] >= 0, a["i"])).alias("at"),
+        ),
+    )
+    return F.coalesce(early, plan.years + walked["at"]).cast("int")
 
 
 def breakeven_expr(plan: Plan, resource, royalty, cit, opex, well, dev) -> Column:
@@ -183,15 +211,22 @@ def evaluate_blocks(blocks: DataFrame, plan: Plan | None = None) -> DataFrame:
     """Add ``npv_musd, government_take, payback_year, breakeven_usd_bbl`` and
     ``input_error``; a block with an input error has NULL results."""
     plan = plan or Plan()
-    a = _args()
     ok = F.col("input_error").isNull()
-    return blocks.withColumn("input_error", invalid_block()).withColumns(
-        {
-            "npv_musd": F.when(ok, npv_expr(plan, *a)),
-            "government_take": F.when(ok, government_take_expr(plan, *a)),
-            "payback_year": F.when(ok, payback_expr(plan, *a)),
-            "breakeven_usd_bbl": F.when(ok, breakeven_expr(plan, *_args("price_usd_bbl"))),
-        }
+    well, dev = F.col("well_cost_musd"), F.col("dev_capex_musd")
+    years = production_years(plan, *_args("well_cost_musd"))
+    npv = _sum_years("__years", "p") * plan.first_oil_factor() - well - plan.capex_pv(dev)
+    return (
+        blocks.withColumn("input_error", invalid_block())
+        .withColumn("__years", F.when(ok, years))
+        .withColumns(
+            {
+                "npv_musd": F.when(ok, npv),
+                "government_take": F.when(ok, government_take_expr(plan, "__years", well, dev)),
+                "payback_year": F.when(ok, payback_expr(plan, "__years", well, dev)),
+                "breakeven_usd_bbl": F.when(ok, breakeven_expr(plan, *_args("price_usd_bbl"))),
+            }
+        )
+        .drop("__years")
     )
 
 

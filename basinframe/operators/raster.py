@@ -263,7 +263,8 @@ def neighbourhood(
             mean = s / F.nullif(n, F.lit(0))
             out.append((mean + F.lit(float(stats[c] or 0.0))).alias(f"{c}_mean_{tag}"))
             var = q / F.nullif(n, F.lit(0)) - mean * mean
-            out.append(F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"{c}_std_{tag}"))
+            std = F.when(n > 0, F.sqrt(F.greatest(var, F.lit(0.0))))
+            out.append(std.alias(f"{c}_std_{tag}"))
     return summed.select("row", "col", *out)
 
 
