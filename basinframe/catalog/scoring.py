@@ -180,13 +180,14 @@ k AS (SELECT *, sum(c) OVER x AS cc, sum(tp) OVER x AS ct FROM g WINDOW x AS (PA
 ap AS (SELECT fold, sum(tp * ct / cc) / sum(tp) AS ap, sum((c - tp) * (ct - tp / 2e0)) AS u FROM k GROUP BY 1),
 tops AS (SELECT fold, label, row_number() OVER (PARTITION BY fold ORDER BY score DESC, row_id) AS i FROM al),
 lift AS (SELECT tops.fold, avg(label) AS prec FROM tops JOIN tot ON tot.fold = tops.fold WHERE i <= ceil(n / 1e1) GROUP BY 1),
-met AS (SELECT t.fold, t.n, t.p / t.n AS base_rate, ap AS pr_auc, u / (t.p * (t.n - t.p)) AS roc_auc, brier, prec / (t.p / t.n) AS lift
-  FROM tot t JOIN ap USING (fold) JOIN lift USING (fold))"""
+met0 AS (SELECT t.fold, t.n, t.p > 0 AND t.p < t.n AS ok, t.p / t.n AS base_rate, ap, u, t.p AS p, brier, prec FROM tot t JOIN ap USING (fold) JOIN lift USING (fold)),
+met AS (SELECT fold, n, base_rate, NOT ok AS skipped, CASE WHEN ok THEN ap END AS pr_auc, CASE WHEN ok THEN u / (p * (n - p)) END AS roc_auc,
+  CASE WHEN ok THEN brier END AS brier, CASE WHEN ok THEN prec / base_rate END AS lift FROM met0)"""
 
 
 @query(
     "fold_table",
-    f"WITH {_METRICS} SELECT fold, n, {fix_sql('base_rate', 8)} AS base_rate, {fix_sql('pr_auc', 8)} AS pr_auc, {fix_sql('roc_auc', 8)} AS roc_auc, {fix_sql('brier', 8)} AS brier, {fix_sql('lift', 8)} AS lift_top_decile, false AS skipped FROM met",
+    f"WITH {_METRICS} SELECT fold, n, {fix_sql('base_rate', 8)} AS base_rate, {fix_sql('pr_auc', 8)} AS pr_auc, {fix_sql('roc_auc', 8)} AS roc_auc, {fix_sql('brier', 8)} AS brier, {fix_sql('lift', 8)} AS lift_top_decile, skipped FROM met",
 )
 def fold_table(t):
     """All metrics per fold and pooled, in one job."""

@@ -379,13 +379,13 @@ def well_distance_channels(t):
     return out.select("row", "col", fix("dist_discovery_km", 4).alias("dist_discovery_km"), fix("dist_dryhole_km", 4).alias("dist_dryhole_km"))
 
 
-_SHELF = f"""{CELLS_SQL}, e AS (SELECT row, col, NOT (v - 125 > -2e1) AS deep FROM cells),
+_SHELF = f"""{CELLS_SQL}, e AS (SELECT row, col, NOT (v * 37 % 100 - 50 > -2e1) AS deep FROM cells),
 shelf AS (SELECT a.row, a.col FROM e a WHERE NOT deep AND EXISTS (SELECT 1 FROM e b WHERE b.deep AND abs(a.row - b.row) + abs(a.col - b.col) = 1))"""
 
 
 @query("shelf_break", f"WITH {_SHELF} SELECT row, col FROM shelf")
 def shelf_break(t):
-    return r.shelf_break_cells(cells(t).withColumn("e", F.col("v") - 125.0), "e", -20.0).select("row", "col")
+    return r.shelf_break_cells(cells(t).withColumn("e", F.col("v") * 37 % 100 - 50.0), "e", -20.0).select("row", "col")
 
 
 @query(
@@ -395,7 +395,7 @@ def shelf_break(t):
 )
 def shelf_distance(t):
     """Distance from every cell to the nearest cell of the break."""
-    shelf = r.shelf_break_cells(cells(t).withColumn("e", F.col("v") - 125.0), "e", -20.0)
+    shelf = r.shelf_break_cells(cells(t).withColumn("e", F.col("v") * 37 % 100 - 50.0), "e", -20.0)
     pts = shelf.select(GRID.lat_of("row").alias("lat"), GRID.lon_of("col").alias("lon"))
     return r.distance_grid(GRID.centres(t.spark), pts, "km").withColumn("km", fix("km", 4))
 
