@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinframe.functions.codes import WELL_SOURCES
+from basinframe.session import small_table
 
 #: Priority of an order -> regulator the wellbore is reported by.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -85,9 +86,8 @@ def wells(t) -> DataFrame:
 def outcome_rows(t) -> DataFrame:
     """Outcome map over the codes the wells carry, one row per source and code."""
     rows = [(s, c, la, sh, ex) for s in WELL_SOURCES for c, la, sh, ex in OUTCOMES]
-    return t.spark.createDataFrame(
-        rows, "source_id string, content_raw string, label int, shows boolean, excluded boolean"
-    )
+    ddl = "source_id string, content_raw string, label int, shows boolean, excluded boolean"
+    return small_table(t.spark, rows, ddl)
 
 
 _SOURCE_CASE = "CASE o_orderpriority " + " ".join(

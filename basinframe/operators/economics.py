@@ -84,57 +84,50 @@ class Plan:
         return dev_capex * _total([c * (1.0 + self.rate) ** -t for t, c in enumerate(self.capex)])
 
 
-def _year_parts(plan: Plan, i: int, resource, price, royalty, cit, opex, dev):
-    """(revenue, royalty, opex, tax) of production year ``i``."""
-    frac = plan.profile[i]
-    volume = resource * frac
-    revenue = volume * price
-    roy = revenue * royalty
-    cost = volume * opex
-    dep = F.when(volume > 0, dev / float(len(plan.profile))).otherwise(0.0)
-    tax = F.greatest(F.lit(0.0), (revenue - roy - cost - dep) * cit)
-    return revenue, roy, cost, tax
+def _margin(resource, price, royalty, opex) -> Column:
+    """Cash margin of the whole resource before tax and capital; a year earns its
+    share of it."""
+    return resource * (price * (1.0 - royalty) - opex)
 
 
-def npv_expr(plan: Plan, resource, price, royalty, cit, opex, well, dev) -> Column:
-    flows = []
-    for i in range(len(plan.profile)):
-        revenue, roy, cost, tax = _year_parts(plan, i, resource, price, royalty, cit, opex, dev)
-        flows.append((revenue - roy - cost - tax) * plan.factor(i))
-    return _total(flows) * plan.first_oil_factor() - well - plan.capex_pv(dev)
-
-
-def production_years(plan: Plan, resource, price, royalty, cit, opex, dev) -> Column:
-    """Array over production years of the cash flow ``n`` and, discounted to first
-    oil, the cash flow ``p``, the state's part ``s`` and what it is taken from ``b``."""
-    years = []
-    for i in range(len(plan.profile)):
-        revenue, roy, cost, tax = _year_parts(plan, i, resource, price, royalty, cit, opex, dev)
-        ncf = revenue - roy - cost - tax
-        f = plan.factor(i)
-        years.append(
-            F.struct(
-                ncf.alias("n"),
-                (ncf * f).alias("p"),
-                ((roy + tax) * f).alias("s"),
-                ((revenue - cost) * f).alias("b"),
-            )
-        )
-    return F.array(*years)
+def _tax(plan: Plan, i: int, margin, cit, dev) -> Column:
+    """Tax of production year ``i``: never negative, nothing carried forward, capital
+    written off in equal parts over the years of production."""
+    return F.greatest(F.lit(0.0), margin * plan.profile[i] - dev / float(len(plan.profile))) * cit
+
 
+def _weight(plan: Plan) -> float:
+    """Discounted share of the resource, seen from first oil."""
+    return sum(f * plan.factor(i) for i, f in enumerate(plan.profile))
+
+
+def _tax_pv(plan: Plan, margin, cit, dev) -> Column:
+    return _total(
+        [_tax(plan, i, margin, cit, dev) * plan.factor(i) for i, f in enumerate(plan.profile) if f > 0]
+    )
 
-def _sum_years(years: str, part: str) -> Column:
-    return F.aggregate(years, F.lit(0.0), lambda a, y: a + y[part])
 
+def npv_from_margin(plan: Plan, margin, cit, well, dev) -> Column:
+    earned = margin * _weight(plan) - _tax_pv(plan, margin, cit, dev)
+    return earned * plan.first_oil_factor() - well - plan.capex_pv(dev)
 
-def government_take_expr(plan: Plan, years: str, well, dev) -> Column:
+
+def npv_expr(plan: Plan, resource, price, royalty, cit, opex, well, dev) -> Column:
+    return npv_from_margin(plan, _margin(resource, price, royalty, opex), cit, well, dev)
+
+
+def government_take_expr(plan: Plan, margin, resource, price, royalty, cit, opex, well, dev) -> Column:
+    """Royalty and tax over what there is before them, both discounted; NULL when
+    there is nothing to take from."""
     disc = plan.first_oil_factor()
-    before = _sum_years(years, "b") * disc - well - plan.capex_pv(dev)
-    return F.when(before > 0, _sum_years(years, "s") * disc / before)
+    taken = resource * price * royalty * _weight(plan) + _tax_pv(plan, margin, cit, dev)
+    before = resource * (price - opex) * _weight(plan) * disc - well - plan.capex_pv(dev)
+    return F.when(before > 0, taken * disc / before)
 
 
 def payback_expr(plan: Plan, years: str, well, dev) -> Column:
-    """First year in which the running undiscounted cash flow is not negative."""
+    """First year in which the running undiscounted cash flow is not negative;
+    ``years`` is the array of production-year cash flows."""
     # Spending before first oil only lowers the total, so a year without oil pays
     # back only when nothing has been spent by then.
     spent = well + dev * plan.capex[0]
@@ -153,9 +146,9 @@ def payback_expr(plan: Plan, years: str, well, dev) -> Column:
         years,
         start,
         lambda a, y: F.struct(
-            (a["sum"] + y["n"]).alias("sum"),
+            (a["sum"] + y).alias("sum"),
             (a["i"] + 1).alias("i"),
-            F.coalesce(a["at"], F.when(a["sum"] + y["n"] >= 0, a["i"])).alias("at"),
+            F.coalesce(a["at"], F.when(a["sum"] + y >= 0, a["i"])).alias("at"),
         ),
     )
     return F.coalesce(early, plan.years + walked["at"]).cast("int")
@@ -212,21 +205,23 @@ def evaluate_blocks(blocks: DataFrame, plan: Plan | None = None) -> DataFrame:
     ``input_error``; a block with an input error has NULL results."""
     plan = plan or Plan()
     ok = F.col("input_error").isNull()
-    well, dev = F.col("well_cost_musd"), F.col("dev_capex_musd")
-    years = production_years(plan, *_args("well_cost_musd"))
-    npv = _sum_years("__years", "p") * plan.first_oil_factor() - well - plan.capex_pv(dev)
+    cit, well, dev = F.col("cit_rate"), F.col("well_cost_musd"), F.col("dev_capex_musd")
+    margin = _margin(*[F.col(c) for c in ("resource_mmbbl", "price_usd_bbl", "royalty_rate", "opex_usd_bbl")])
+    m = F.col("__margin")
+    years = F.array(*[m * f - _tax(plan, i, m, cit, dev) for i, f in enumerate(plan.profile)])
     return (
         blocks.withColumn("input_error", invalid_block())
-        .withColumn("__years", F.when(ok, years))
+        .withColumn("__margin", F.when(ok, margin))
+        .withColumn("__years", years)
         .withColumns(
             {
-                "npv_musd": F.when(ok, npv),
-                "government_take": F.when(ok, government_take_expr(plan, "__years", well, dev)),
+                "npv_musd": F.when(ok, npv_from_margin(plan, m, cit, well, dev)),
+                "government_take": F.when(ok, government_take_expr(plan, m, *_args())),
                 "payback_year": F.when(ok, payback_expr(plan, "__years", well, dev)),
                 "breakeven_usd_bbl": F.when(ok, breakeven_expr(plan, *_args("price_usd_bbl"))),
             }
         )
-        .drop("__years")
+        .drop("__margin", "__years")
     )
 
 
@@ -294,8 +289,7 @@ def draw_uniform(draw: Column, stream: Column, seed: int, dim: int) -> Column:
     """Evenly spread uniform draw: an additive sequence, shifted per block and seed.
     It depends on nothing but (draw, stream, seed)."""
     shift = stream * 0.6180339887498949 + F.lit(seed * 0.7548776662466927 + dim * 0.5698402909980532)
-    u = draw * F.lit(_STEPS[dim]) + (shift - F.floor(shift))
-    return u - F.floor(u)
+    return F.pmod(draw * F.lit(_STEPS[dim]) + F.pmod(shift, F.lit(1.0)), F.lit(1.0))
 
 
 def draw_normal(draw: Column, stream: Column, seed: int, dim: int) -> Column:
@@ -331,11 +325,9 @@ def scenario_draws(
     resource = F.col("p50") * F.exp(F.col("__sig") * draw_normal(d, st, seed, 0))
     price = F.col("price_usd_bbl") * F.exp(F.lit(price_sigma) * draw_normal(d, st, seed, 2))
     capex = F.col("dev_capex_musd") * (1.0 + capex_spread * (2.0 * draw_uniform(d, st, seed, 4) - 1.0))
-    fan = fan.withColumns({"__r": resource, "__p": price, "__c": capex})
-    npv = npv_expr(
-        plan, F.col("__r"), F.col("__p"), F.col("royalty_rate"), F.col("cit_rate"),
-        F.col("opex_usd_bbl"), F.col("well_cost_musd"), F.col("__c"),
-    )
+    margin = _margin(resource, price, F.col("royalty_rate"), F.col("opex_usd_bbl"))
+    fan = fan.withColumns({"__m": margin, "__c": capex})
+    npv = npv_from_margin(plan, F.col("__m"), F.col("cit_rate"), F.col("well_cost_musd"), F.col("__c"))
     return fan.select(block_id, "draw", expected_value(F.col("pg"), npv, F.col("well_cost_musd")).alias("emv_musd"))
 
 

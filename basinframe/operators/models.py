@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from basinframe.functions.scalars import threshold_score
 from basinframe.operators.contracts import Guard, guard
 from basinframe.operators.ranking import POOLED, fold_table, rank_calibrate
-from basinframe.session import materialize
+from basinframe.session import materialize, small_table
 
 
 def random_score(seed: int, *ids: str) -> Column:
@@ -69,7 +69,7 @@ def distance_logit(
     pairs = pairs.withColumn("fold", F.col("fold").cast("string"))
     coef = {str(k): v for k, v in coef.items()}
     for _ in range(rounds):
-        state = spark.createDataFrame([(f, *v) for f, v in coef.items()], schema)
+        state = small_table(spark, [(f, *v) for f, v in coef.items()], schema)
         z = F.col("x") / F.col("s")
         p = 1.0 / (1.0 + F.exp(-(F.col("w") * z + F.col("b"))))
         q = F.col("n") * p * (1.0 - p)
@@ -97,9 +97,8 @@ def distance_logit(
             step = max(step, size)
         if step < tol:
             break
-    return spark.createDataFrame(
-        [(f, w / s, b) for f, (w, b, s) in coef.items()], "fold string, slope double, intercept double"
-    )
+    rows = [(f, w / s, b) for f, (w, b, s) in coef.items()]
+    return small_table(spark, rows, "fold string, slope double, intercept double")
 
 
 def logit_score(df: DataFrame, coef: DataFrame, fold: str = "fold", x: str = "dist_discovery_km", out: str = "score") -> DataFrame:
@@ -171,7 +170,7 @@ def tree_scores(
         )
         scored = out if scored is None else scored.unionByName(out)
     spark = rows.sparkSession
-    return scored, spark.createDataFrame(gains, "fold string, feature string, importance double")
+    return scored, small_table(spark, gains, "fold string, feature string, importance double")
 
 
 def importance_ranking(gains: DataFrame, n: int = 20) -> DataFrame:

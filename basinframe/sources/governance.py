@@ -22,7 +22,7 @@ from basinframe.operators.contracts import (
     nullable,
     require_none,
 )
-from basinframe.session import materialize
+from basinframe.session import materialize, small_table
 from basinframe.sources.spec import Feed
 
 # ---- governance ------------------------------------------------------------------------
@@ -83,9 +83,7 @@ GOVERNANCE = Feed(
 
 def load_governance(text: DataFrame) -> DataFrame:
     out = GOVERNANCE.load(governance_documents(text))
-    want = out.sparkSession.createDataFrame(
-        [(c,) for c in codes.GOVERNANCE_INDICATORS], "member string"
-    )
+    want = small_table(out.sparkSession, [(c,) for c in codes.GOVERNANCE_INDICATORS], "member string")
     require_none(
         missing_members(out, "indicator", want, "member"), "wgi", "indicator has no rows", SourceUnavailable
     )
@@ -215,7 +213,7 @@ def combine_lists(us: DataFrame, eu: DataFrame, strict: bool = True) -> DataFram
     """Both lists with the seven jurisdictions every refresh must contain."""
     out = us.unionByName(eu)
     if strict:
-        floor = out.sparkSession.createDataFrame([(c,) for c in codes.SANCTION_FLOOR], "member string")
+        floor = small_table(out.sparkSession, [(c,) for c in codes.SANCTION_FLOOR], "member string")
         require_none(missing_members(out, "iso3", floor, "member"), "ofac_eu", "jurisdiction absent")
         SANCTIONS_CONTRACT.enforce(out)
     return out.orderBy("list_source", "iso3", "program")

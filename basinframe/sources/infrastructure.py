@@ -26,6 +26,7 @@ from basinframe.operators.contracts import (
 )
 from basinframe.operators.ordered import prefix
 from basinframe.operators.polygons import decimate_line
+from basinframe.session import small_table
 from basinframe.sources.spec import Feed
 
 _PROPS = (
@@ -207,7 +208,7 @@ def load_latest_releases(listing: DataFrame, head: DataFrame) -> DataFrame:
         [Guard("listing is truncated", F.lower(F.trim(F.col("IsTruncated").cast("string"))) == "true", SourceUnavailable)],
     )
     found = latest_releases(listing)
-    want = listing.sparkSession.createDataFrame([(t,) for t in codes.INFRA_TRACKERS], "tracker string")
+    want = small_table(listing.sparkSession, [(t,) for t in codes.INFRA_TRACKERS], "tracker string")
     require_none(want.join(found, "tracker", "left_anti"), "gem_infra", "no map object", SourceUnavailable)
     return found
 

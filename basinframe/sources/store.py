@@ -15,6 +15,7 @@ from basinframe.operators.contracts import (
     content_hash,
     require_rows,
 )
+from basinframe.session import small_table
 
 LEDGER = "_ledger"
 LEDGER_SCHEMA = (
@@ -66,14 +67,14 @@ def write_with_ledger(
         F.lit(prov.transform_version).alias("transform_version"),
         F.current_timestamp().alias("written_at"),
     )
-    entry = spark.createDataFrame(entry.collect(), LEDGER_SCHEMA)  # the one ledger row
+    entry = small_table(spark, [tuple(entry.first())], LEDGER_SCHEMA)  # the one ledger row
     entry.coalesce(1).write.mode("append").parquet(f"{root}/{LEDGER}")
     return entry
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     if not _exists(spark, f"{root}/{LEDGER}"):
-        return spark.createDataFrame([], LEDGER_SCHEMA)
+        return small_table(spark, [], LEDGER_SCHEMA)
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"{root}/{LEDGER}")
 
 
