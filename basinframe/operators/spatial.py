@@ -149,12 +149,13 @@ class CubeIndex:
     def _around(self, queries: DataFrame) -> DataFrame:
         """Cubes covering the ball of chord ``bound`` at each query's own level.
 
-        The level is the finest whose edge is at least ``bound``; 27 cubes there
-        always cover the ball. Without such a level all 64 top cubes are taken.
+        The level is the finest fully counted one whose edge is at least ``bound``;
+        27 cubes there always cover the ball. Without such a level all 64 top cubes
+        are taken. Finer levels hold crowded places only and are reached by descent.
         """
         level = F.lit(_TOP)
         for lv in LEVELS[1:]:
-            if lv <= self.bottom:
+            if lv <= min(self.bottom, _COARSE):
                 level = F.when(F.col("bound") <= 2.0 / 2**lv, F.lit(lv)).otherwise(level)
         q = queries.withColumns({"level": level, "__wide": F.col("bound") > 2.0 / 2**_TOP})
         for k in "xyz":
