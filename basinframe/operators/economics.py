@@ -24,6 +24,7 @@ from basinframe.functions.codes import (
     TRIPLE_TOLERANCE,
 )
 from basinframe.operators.series import latest_batch
+from basinframe.session import shuffle_width
 
 #: Columns an evaluated block must carry.
 BLOCK_COLUMNS = [
@@ -310,8 +311,7 @@ def scenario_draws(
 ) -> DataFrame:
     """``block_id, draw, emv_musd``: resource and price lognormal, capital uniform.
 
-    ``blocks`` adds ``pg, p90, p50, p10`` to the block columns. The fan-out happens
-    after the blocks are spread over the cluster.
+    ``blocks`` adds ``pg, p90, p50, p10`` to the block columns.
     """
     if n_draws < 1 or not 0 <= capex_spread < 1:
         raise ValueError("n_draws must be positive and capex_spread in [0, 1)")
@@ -319,7 +319,10 @@ def scenario_draws(
     stream = stream if stream is not None else F.pmod(F.xxhash64(block_id), F.lit(2**31)).cast("double")
     sigma, bad = resource_sigma("p90", "p50", "p10")
     ready = blocks.where(invalid_block().isNull() & ~bad).withColumns({"__sig": sigma, "__st": stream})
-    fan = ready.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    # Blocks are spread by their id first: the draws are made where they will be
+    # summarised, and only the blocks themselves are shuffled.
+    spread = ready.repartition(shuffle_width(blocks.sparkSession), block_id)
+    fan = spread.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     d = F.col("draw").cast("double")
     st = F.col("__st")
     resource = F.col("p50") * F.exp(F.col("__sig") * draw_normal(d, st, seed, 0))

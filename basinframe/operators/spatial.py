@@ -12,8 +12,6 @@ every query near it, and the result is exact at all latitudes.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +53,17 @@ def _with_cells(points: DataFrame, deepest: int = _LAST, top: int = _TOP) -> Dat
 
 def _box_gap(far: bool) -> Column:
     """Distance from the query ``x, y, z`` to the nearest / farthest box corner."""
-    terms = []
-    for k in "xyz":
-        lo, hi, v = F.col(f"lo_{k}"), F.col(f"hi_{k}"), F.col(k)
-        if far:
-            d = F.greatest(F.abs(v - lo), F.abs(v - hi))
-        else:
-            d = F.greatest(lo - v, v - hi, F.lit(0.0))
-        terms.append(d * d)
-    return F.sqrt(reduce(lambda a, b: a + b, terms))
+    form = (
+        "greatest(abs({k} - lo_{k}), abs({k} - hi_{k}))"
+        if far
+        else "greatest(lo_{k} - {k}, {k} - hi_{k}, 0.0D)"
+    )
+    return F.expr("sqrt(" + " + ".join(f"pow({form.format(k=k)}, 2)" for k in "xyz") + ")")
 
 
 def _chord() -> Column:
     """Chord between the query ``x, y, z`` and the point ``px, py, pz``."""
-    return F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(k) - F.col(f"p{k}"), 2) for k in "xyz"]))
+    return F.expr("sqrt(" + " + ".join(f"pow({k} - p{k}, 2)" for k in "xyz") + ")")
 
 
 class CubeIndex:
@@ -175,12 +170,8 @@ class CubeIndex:
         prunes after each. Cubes that are small enough ride along unchanged."""
         values = ["cell", *self.carry, "n", "n_rows", *self.totals]
         values += [f"{s}_{k}" for s in ("lo", "hi") for k in "xyz"]
-        child = self.nodes.select(
-            *[F.col(s).alias(f"__{s}") for s in self.scope],
-            F.col("level").alias("__level"),
-            F.col("parent").alias("__parent"),
-            *[F.col(v).alias(f"__{v}") for v in values],
-        )
+        renamed = [*self.scope, "level", "parent", *values]
+        child = self.nodes.selectExpr(*[f"`{v}` as `__{v}`" for v in renamed])
         front = settle(front)
         for step in range((self.bottom - _TOP) // STEP):
             if step and step % 4 == 0:
@@ -192,21 +183,20 @@ class CubeIndex:
                     full = full & ~F.col("__whole")
                 if front.where(full).isEmpty():
                     break
-            crowded = (F.col("n") > self.leaf) & (F.col("level") < self.bottom)
-            if "__whole" in front.columns:
-                crowded = crowded & ~F.col("__whole")
+            whole = " and not __whole" if "__whole" in front.columns else ""
+            crowded = f"n > {self.leaf} and level < {self.bottom}{whole}"
             # A key no cube has, spread by value, keeps the rest from piling up.
-            idle = -1 - F.abs(F.xxhash64("x", "y", "z", "cell") % F.lit(2**40))
-            f = front.withColumn("__open", F.when(crowded, F.col("cell")).otherwise(idle))
-            on = (F.col("__open") == F.col("__parent")) & (F.col("level") + STEP == F.col("__level"))
-            for s in self.scope:
-                on = on & (F.col(s) == F.col(f"__{s}"))
-            for s in self.carry:
-                on = on & (F.col(s) == F.col(f"__{s}"))
-            j = f.join(child, on, "left")
-            hit = F.col("__level").isNotNull()
-            took = {v: F.when(hit, F.col(f"__{v}")).otherwise(F.col(v)) for v in [*values, "level"]}
-            front = settle(j.withColumns(took).select(*front.columns))
+            idle = f"-1 - abs(xxhash64(x, y, z, cell) % {2**40})"
+            f = front.selectExpr("*", f"if({crowded}, cell, {idle}) as __open")
+            on = F.expr(
+                " and ".join(
+                    [f"__open = __parent and level + {STEP} = __level"]
+                    + [f"`{s}` = `__{s}`" for s in [*self.scope, *self.carry]]
+                )
+            )
+            took = {v: f"if(__level is not null, `__{v}`, `{v}`) as `{v}`" for v in [*values, "level"]}
+            picked = [took.get(c, f"`{c}`") for c in front.columns]
+            front = settle(f.join(child, on, "left").selectExpr(*picked))
         return front
 
     def _points(self) -> DataFrame:
