@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basinframe.catalog import feeds
 from basinframe.catalog.registry import day, fix, fix_sql, query
 from basinframe.catalog.shapes import MAPPED_SQL, POINTS_SQL, blocks, lat_of, lon_of, mapped_wells, outcome_rows
-from basinframe.catalog.space import diamonds
+from basinframe.catalog.space import _SQUARES, diamonds
 from basinframe.functions.geo import Grid
 from basinframe.operators.polygons import province_cells
 from basinframe.operators.wells import primary_set
@@ -20,9 +20,9 @@ from basinframe.sources.market import curve_strip
 
 def _labels(t):
     k = F.col("s_suppkey")
-    areas = t.supplier.select(k.alias("area_id"), k.alias("ord"), (k * 10).alias("code"), F.lit("p").alias("type"))
+    areas = t.supplier.select(k.alias("area_id"), k.alias("ord"), ((k + 1) * 10).alias("code"), F.lit("p").alias("type"))
     cells = province_cells(diamonds(t), areas, Grid(2.0))
-    names = t.supplier.select((k * 10).alias("province_code"), F.col("s_name").alias("province_name"))
+    names = t.supplier.select(((k + 1) * 10).alias("province_code"), F.col("s_name").alias("province_name"))
     return build_labels(t.wells, outcome_rows(t), cells, names, Grid(2.0))
 
 
@@ -38,7 +38,12 @@ def label_build(t):
     )
 
 
-@query("label_provinces")
+@query(
+    "label_provinces",
+    f"""WITH {POINTS_SQL}, {_SQUARES}, r AS (SELECT p.rep, 89e0 - 2e0 * floor((9e1 - w.lat) / 2e0) AS glat, -179e0 + 2e0 * floor((w.lon + 18e1) / 2e0) AS glon FROM points p JOIN mapped w ON w.well_id = p.rep),
+        a AS (SELECT rep, max(area_id) AS area_id FROM r LEFT JOIN sq ON abs(glon - cx) + abs(glat - cy) < h GROUP BY 1)
+        SELECT coalesce(s_name, '(unassigned)') AS province_name, count(*) AS n FROM a LEFT JOIN supplier ON s_suppkey = area_id GROUP BY 1""",
+)
 def label_provinces(t):
     """Wells per province after the raster lookup."""
     return _labels(t).harmonised.groupBy("province_name").agg(F.count(F.lit(1)).alias("n"))

@@ -338,6 +338,17 @@ def importance_ranking(t):
     return m.importance_ranking(gains)
 
 
+@query("permutation_importance")
+def permutation_importance(t):
+    """Loss of average precision per shuffled feature, on the rows of one fold."""
+    rows = materialize(_gate_rows(t), "rows")
+    first = rows.agg(F.max("fold").alias("f")).first()["f"]
+    part = rows.where(F.col("fold") == first)
+    return m.permutation_importance(
+        part.where("role = 'train'"), part.where("role = 'train'"), _FEATURES, rounds=5, depth=3
+    )
+
+
 @query("gbt_gate")
 def gbt_gate(t):
     """Trees against the one-feature logit on two sets, raw and rank-calibrated."""

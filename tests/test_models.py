@@ -190,3 +190,20 @@ def test_temporal_split(spark):
 
 def test_feature_names():
     assert len(ft.FEATURE_NAMES) == 33 and len(set(ft.FEATURE_NAMES)) == 33
+
+
+def test_permutation_importance_finds_the_signal(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    pdf = pd.DataFrame({"well_id": range(300), "label": y, "signal": y + rng.normal(0, 0.3, 300), "noise": rng.normal(size=300)})
+    df = spark.createDataFrame(pdf)
+    got = m.permutation_importance(df, df, ["signal", "noise"], rounds=5, depth=2).collect()
+    assert got[0]["feature"] == "signal" and got[0]["importance"] > 0.2
+    assert len(got) == 2 and abs(got[1]["importance"]) < 0.05
+
+
+def test_permuted_column_keeps_its_values(spark):
+    df = spark.range(200).select("id", (F.col("id") % 17).alias("v"))
+    out = m.permuted(df, "v", "id", 3)
+    assert sorted(r["v"] for r in out.collect()) == sorted(r["v"] for r in df.collect())
+    assert out.join(df.withColumnRenamed("v", "w"), "id").where("v <> w").count() > 100
