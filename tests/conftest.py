@@ -11,7 +11,7 @@ from basinframe.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
-    session = local_session("8", "tests", spark__checkpoint__dir=shared, spark__sql__shuffle__partitions="4")
+    session = local_session("8", "tests", spark__checkpoint__dir=shared, spark__sql__shuffle__partitions="2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -23,10 +23,10 @@ def world(spark):
     rng = np.random.default_rng(3)
     n, m = 900, 240
     lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
-    lat[:300], lon[:300] = 26.5 + rng.normal(0, 0.05, 300), -91 + rng.normal(0, 0.05, 300)
+    lat[:300], lon[:300] = 26.5 + rng.normal(0, 0.2, 300), -91 + rng.normal(0, 0.2, 300)
     lat[:60], lon[:60] = 26.5, -91.0
     qlat, qlon = np.degrees(np.arcsin(rng.uniform(-1, 1, m))), rng.uniform(-180, 180, m)
-    qlat[:80], qlon[:80] = 26.5 + rng.normal(0, 0.2, 80), -91 + rng.normal(0, 0.2, 80)
+    qlat[:80], qlon[:80] = 26.5 + rng.normal(0, 0.3, 80), -91 + rng.normal(0, 0.3, 80)
     qlon[80:90], qlat[90:93] = 179.99, 90.0
     ref = spark.createDataFrame(pd.DataFrame({"r": np.arange(n), "lat": lat, "lon": lon}))
     q = spark.createDataFrame(pd.DataFrame({"q": np.arange(m), "lat": qlat, "lon": qlon}))
