@@ -31,12 +31,12 @@ class Grid:
 
     def row_of(self, lat) -> Column:
         r = F.floor((F.lit(90.0) - _c(lat)) / F.lit(self.res_deg)).cast("int")
-        return F.least(F.greatest(r, F.lit(0)), F.lit(self.n_rows - 1))
+        return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(0)), F.lit(self.n_rows - 1)))
 
     def col_of(self, lon) -> Column:
         wrapped = F.pmod(_c(lon) + F.lit(180.0), F.lit(360.0))
         c = F.floor(wrapped / F.lit(self.res_deg)).cast("int")
-        return F.least(F.greatest(c, F.lit(0)), F.lit(self.n_cols - 1))
+        return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0)), F.lit(self.n_cols - 1)))
 
     def lat_of(self, row) -> Column:
         return F.lit(90.0 - self.res_deg / 2.0) - F.lit(self.res_deg) * _c(row)
@@ -71,8 +71,10 @@ def chord_of_km(km: float) -> float:
 
 
 def km_of_chord(chord) -> Column:
-    half = F.least(F.greatest(_c(chord) / 2.0, F.lit(0.0)), F.lit(1.0))
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(half)
+    """Great-circle km; no chord, no distance (``greatest`` alone would make it 0)."""
+    c = _c(chord)
+    half = F.least(F.greatest(c / 2.0, F.lit(0.0)), F.lit(1.0))
+    return F.when(c.isNotNull(), F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(half))
 
 
 def chord_between(a: str, b: str) -> Column:

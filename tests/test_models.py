@@ -207,3 +207,12 @@ def test_permuted_column_keeps_its_values(spark):
     out = m.permuted(df, "v", "id", 3)
     assert sorted(r["v"] for r in out.collect()) == sorted(r["v"] for r in df.collect())
     assert out.join(df.withColumnRenamed("v", "w"), "id").where("v <> w").count() > 100
+
+
+def test_a_lone_discovery_has_no_other(spark):
+    """The only discovery of a fold is left out of its own distance: nothing remains."""
+    rows = [("f", "d", 10.0, 10.0, 1, 1, 1990, True), ("f", "y", 11.0, 10.0, 1, 0, 1991, True)]
+    pts = spark.createDataFrame(rows, "fold string, well_id string, lat double, lon double, province_code int, label int, spud_year int, in_reference boolean")
+    out = {r["well_id"]: r for r in ft.reference_features(pts, pts.where("in_reference")).collect()}
+    assert out["d"]["dist_discovery_km"] is None and out["y"]["dist_dryhole_km"] is None
+    assert out["y"]["dist_discovery_km"] == pytest.approx(111.195, abs=0.001)

@@ -106,3 +106,10 @@ def test_grid_cells(spark):
     assert one(spark, g.col_of(F.lit(180.0))) == 0
     assert one(spark, g.col_of(F.lit(-180.0))) == 0
     assert one(spark, km_of_chord(F.lit(2.0))) == pytest.approx(20015.1, abs=0.2)
+
+
+def test_missing_positions_stay_missing(spark):
+    none = F.lit(None).cast("double")
+    g = Grid()
+    assert one(spark, km_of_chord(none)) is None
+    assert one(spark, g.row_of(none)) is None and one(spark, g.col_of(none)) is None
