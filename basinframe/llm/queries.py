@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basinframe.llm import packing, pieces, tokens
+from basinframe.llm import packing, pieces, private, quality, tokens, urls
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,64 @@ def _(spark, folder):
 @query("op7_token_counts")
 def _(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_private")
+def _(spark, folder):
+    found = private.find_private(table(spark, folder, "documents"))
+    counts = [f"n_{k}" for k in private.ORDER]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op8_quality")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.quality_rules(docs, quality.train_line_model(docs, table(spark, folder, "labels")))
+
+
+_OP9 = """
+with pages_at as (
+  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host,
+    date '2024-01-01' + cast(page_id * 37 % 365 as integer) as fetched_on from pages),
+hosts as (select distinct host from pages_at where host <> ''),
+named as (
+  select 'host' as kind, host as value from hosts where length(host) % 3 = 0
+  union all select distinct 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1) from hosts where length(host) % 5 = 0),
+entries as (
+  select kind, value, date '2024-01-01' + cast((length(value) * 29 + ascii(value) * 7) % 200 + step * 50 as integer) as listed_on,
+    case when step = 1 then 'remove' else 'add' end as action
+  from named, (select unnest([0, 1, 2]) as step) steps),
+spans as (
+  select kind, value, action, listed_on as since,
+    lead(listed_on) over (partition by kind, value order by listed_on, action) as until from entries),
+hits as (
+  select p.page_id, s.kind || ':' || s.value as rule from pages_at p join spans s
+  on s.action = 'add' and s.since <= p.fetched_on and (s.until is null or p.fetched_on < s.until)
+  and (s.kind = 'host' and p.host = s.value
+    or s.kind = 'domain' and (p.host = s.value or ends_with(p.host, '.' || s.value))))
+select p.page_id, p.host, strftime(p.fetched_on, '%Y-%m-%d') as fetched_on, count(h.rule) as n_active, min(h.rule) as rule,
+  count(h.rule) > 0 as blocked
+from pages_at p left join hits h using (page_id) group by all
+"""
+
+
+@query("op9_url_filters", _OP9)
+def _(spark, folder):
+    """A list drawn from the hosts: listed, taken off and listed again at dates of their own."""
+    start = F.to_date(F.lit("2024-01-01"))
+    pages = table(spark, folder, "pages").select(
+        "page_id", "url", F.date_add(start, (F.col("page_id") * 37 % 365).cast("int")).alias("fetched_on")
+    )
+    hosts = pages.select(urls.host_of("url").alias("host")).where("host is not null").distinct()
+    two = F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1)
+    named = hosts.where("length(host) % 3 = 0").select(F.lit("host").alias("kind"), F.col("host").alias("value"))
+    named = named.union(hosts.where("length(host) % 5 = 0").select(F.lit("domain"), two).distinct())
+    day = (F.length("value") * 29 + F.ascii("value") * 7) % 200 + F.col("step") * 50
+    entries = named.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        "kind",
+        "value",
+        F.date_add(start, day.cast("int")).alias("listed_on"),
+        F.when(F.col("step") == 1, "remove").otherwise("add").alias("action"),
+    )
+    found = urls.filter_urls(pages, entries)
+    return found.select("page_id", "host", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), "n_active", "rule", "blocked")
