@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.llm import packing, pieces, private, quality, tokens, urls
+from basinframe.llm import packing, pieces, private, quality, suffixes, tokens, urls
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def _(spark, folder):
     )
     found = urls.filter_urls(pages, entries)
     return found.select("page_id", "host", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), "n_active", "rule", "blocked")
+
+
+@query("op10_suffix_dedup")
+def _(spark, folder):
+    return suffixes.repeat_digests(table(spark, folder, "documents"))
