@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.llm import packing, pieces, private, quality, suffixes, tokens, urls
+from basinframe.llm import packing, phrases, pieces, private, quality, suffixes, tokens, urls
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def _(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op2_phrase_dedup")
+def _(spark, folder):
+    return phrases.phrase_digests(table(spark, folder, "documents"))
+
+
 @query("op4_private")
 def _(spark, folder):
     found = private.find_private(table(spark, folder, "documents"))

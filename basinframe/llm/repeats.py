@@ -243,3 +243,26 @@ def run_texts(found: DataFrame, specs: DataFrame, content, window: int, carry: s
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, pa.binary())], names=["n", *names, "cut"])
 
     return rows.mapInArrow(run, f"n int, {carry}, cut binary")
+
+
+def finer_runs(found: DataFrame, runs: DataFrame, hot: DataFrame, symbols, content, window: int, gram: int) -> DataFrame:
+    """The runs of crowded anchors (``hot``: g), cut anew by a longer gram: rows (_d, g, w, lo, n)."""
+    specs = runs.join(hot, "g").select("_d", "lo", "n", F.col("_d").alias("d"), F.col("lo").alias("low"))
+    cuts = run_texts(found, specs.distinct(), content, window, "d bigint, low int")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("cut").to_pylist()
+            which, lo, n, g = anchor_runs([symbols(t) for t in texts], window, gram)
+            cut = [content(t) for t in texts]
+            w = [
+                xxhash.xxh3_64_intdigest(cut[i](a, a + m + window - 1)) - (1 << 63)
+                for i, a, m in zip(which.tolist(), lo.tolist(), n.tolist())
+            ]
+            at = pa.array(which)
+            low = batch.column("low").take(at).to_numpy() + lo
+            columns = [batch.column("d").take(at), pa.array(g), pa.array(w, pa.int64())]
+            columns += [pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_d", "g", "w", "lo", "n"])
+
+    return cuts.mapInArrow(run, "_d long, g long, w long, lo int, n int")

@@ -8,11 +8,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinframe.llm.repeats import anchor_runs, byte_symbols, candidates, finished, run_texts, stored
+from basinframe.llm.repeats import byte_symbols, candidates, finer_runs, finished, run_texts, stored
 
 
 class BucketQueues:
@@ -262,24 +261,6 @@ def _sort_shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", "w").mapInArrow(run, "g long, w long, at int, count int")
 
 
-def _finer(found: DataFrame, runs: DataFrame, hot: DataFrame, width: int, gram: int) -> DataFrame:
-    """The runs of crowded anchors, cut anew by a longer gram: rows (_d, g, w, lo, n)."""
-    specs = runs.join(hot, "g").select("_d", "lo", "n", F.col("_d").alias("d"), F.col("lo").alias("low"))
-    cuts = run_texts(found, specs.distinct(), _byte_cut, width, "d bigint, low int")
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("cut").to_pylist()
-            which, lo, n, g = anchor_runs([byte_symbols(t) for t in texts], width, gram)
-            w = [xxhash.xxh3_64_intdigest(texts[i][a : a + m + width - 1]) - (1 << 63) for i, a, m in zip(which.tolist(), lo.tolist(), n.tolist())]
-            at = pa.array(which)
-            low = batch.column("low").take(at).to_numpy() + lo
-            columns = [batch.column("d").take(at), pa.array(g), pa.array(w, pa.int64()), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_d", "g", "w", "lo", "n"])
-
-    return cuts.mapInArrow(run, "_d long, g long, w long, lo int, n int")
-
-
 def repeated_spans(
     docs: DataFrame,
     width: int = 200,
@@ -327,7 +308,7 @@ def repeated_spans(
         hot = groups.where(f"kinds > {crowd}").select("g")
         if finer is None or hot.isEmpty():
             break
-        runs = stored(_finer(found, runs, stored(hot, "crowded"), width, finer), "finer")
+        runs = stored(finer_runs(found, runs, stored(hot, "crowded"), byte_symbols, _byte_cut, width, finer), "finer")
     for other in ranges[1:]:
         ranges[0] = ranges[0].unionByName(other)
     return finished(found, ranges[0], id_col, finish, finish_ddl)
