@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.llm import packing, phrases, pieces, private, quality, suffixes, tokens, urls
+from basinframe.llm import near, packing, phrases, pieces, private, quality, suffixes, tokens, urls
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def _(spark, folder):
     return pieces.encode_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op6_superminhash")
+def _(spark, folder):
+    return near.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
 @query("op7_token_counts")
 def _(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
