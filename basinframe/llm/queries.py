@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.llm import near, packing, phrases, pieces, private, quality, suffixes, tokens, urls
+from basinframe.llm import near, packing, phrases, pieces, pivots, private, quality, suffixes, tokens, urls
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def _(spark, folder):
     return phrases.phrase_digests(table(spark, folder, "documents"))
 
 
+@query("op3_topk")
+def _(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return pivots.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 @query("op4_private")
 def _(spark, folder):
     found = private.find_private(table(spark, folder, "documents"))
