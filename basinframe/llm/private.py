@@ -118,12 +118,7 @@ def _disclosing(base: DataFrame, docs: DataFrame, text: Column, theta: float, su
     ).where(F.col("c_te") >= support)
     together = materialize(together, "together")
     words = F.array_distinct(F.transform(F.split(text, NOT_TERM), F.lower))
-    c_t = (
-        docs.select(F.explode(words).alias("term"))
-        .join(together.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("c_t"))
-    )
+    c_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     c_e = near.select("_row", "kind", "entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("c_e"))
     n = F.lit(docs.count())
     told = (
