@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import cache
 
@@ -31,17 +32,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _encoded(texts: list[str], path: str) -> list[bytes]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+@cache
+def _ranked(path: str):
+    """The same vocabulary in its ``tiktoken`` form, which encodes a word several times faster."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
 
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
+
+def _encoded(words: list[str], path: str, ranks: str | None) -> list[bytes]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    full = _tokenizer(path)
+    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    every = " ".join(words)
+    special = [t for t in special if t in every]
+    if ranks is None:
+        return [array("I", e.ids).tobytes() for e in full.encode_batch_fast(words, add_special_tokens=False)]
+    fast = _ranked(ranks).encode_ordinary
+    if special:
+        slow = lambda w: full.encode(w, add_special_tokens=False).ids
+        return [array("I", slow(w) if any(t in w for t in special) else fast(w)).tobytes() for w in words]
+    return [array("I", ids).tobytes() for ids in map(fast, words)]
+
+
+def encode_texts(texts: list[bytes], path: str, ranks: str | None = None) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, for a byte-level BPE file.
 
     Such a tokenizer starts a new pre-token at a lone space between two visible
     characters, so the parts of a text that begin there are encoded once per worker. A
-    text with other white space beside a space is encoded whole.
+    text with other white space beside a space is encoded whole. ``ranks`` names the same
+    vocabulary as a ``tiktoken`` file, for parts without a special token's string.
     """
     known = _IDS.setdefault(path, {})
     if len(known) > CACHE_WORDS:
@@ -49,12 +74,10 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     parts: list[list[str]] = []
     for raw in texts:
         text = raw.decode("utf-8", "replace")
-        words = [text] if _ODD_SPACE.search(text) else text.split(" ")
+        words = [text] if " " not in text or _ODD_SPACE.search(text) else text.split(" ")
         parts.append([words[0], *map(" ".__add__, words[1:])])
     new = [w for w in set().union(*parts) if w not in known]
-    fresh = {}
-    for at in range(0, len(new), 4096):
-        fresh.update(zip(new[at : at + 4096], _encoded(new[at : at + 4096], path), strict=True))
+    fresh = dict(zip(new, _encoded(new, path, ranks), strict=True))
     known.update((w, ids) for w, ids in fresh.items() if len(w) < 200)
     out = []
     for words in parts:
@@ -78,7 +101,7 @@ def cuts(length: int, capacity: int, least: int) -> list[int]:
     return sizes + [rest] * (rest > 0)
 
 
-def _pieces(docs: DataFrame, path: str, end_id: int, capacity: int, least: int, with_ids: bool) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, ranks: str | None, end_id: int, capacity: int, least: int, with_ids: bool) -> DataFrame:
     key, text = docs.columns
     end = np.array([end_id], "<u4").tobytes()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "_class", "_part", "_rank"] + ["ids"] * with_ids
@@ -89,7 +112,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, capacity: int, least: int,
         for batch in batches:
             for part in chunks(batch, 4 << 20):
                 rows, pieces, held = [], [], []
-                for row, ids in enumerate(encode_texts(part.column(1).to_pylist(), path)):
+                for row, ids in enumerate(encode_texts(part.column(1).to_pylist(), path, ranks)):
                     view, start = memoryview(ids + end), 0
                     total = len(view) // 4
                     for size in cuts(total, capacity, least):
@@ -134,6 +157,7 @@ def pack(
     capacity: int = 1024,
     least: int = 64,
     with_ids: bool = False,
+    ranks: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -155,7 +179,7 @@ def pack(
     columns are ignored; no rows give no rows.
     """
     rows = docs.select(id_col, utf8(text_col).alias("_text"))
-    pieces = materialize(_pieces(rows, path, end_id, capacity, least, with_ids), "pieces")
+    pieces = materialize(_pieces(rows, path, ranks, end_id, capacity, least, with_ids), "pieces")
     counts = pieces.groupBy("_class", "_part").agg((F.max("_rank") + 1).alias("_n"))
     by_class = W.partitionBy("_class")
     so_far = by_class.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_packing")
 def _(spark, folder):
-    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path
+    return packing.pack(table(spark, folder, "documents"), path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken"))
 
 
 @query("op5_sentencepiece")

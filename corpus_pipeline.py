@@ -16,7 +16,8 @@ from basinframe.session import materialize
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), with_ids=True, ranks=path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("packing", pack_sequences)]
