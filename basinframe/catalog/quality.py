@@ -99,6 +99,27 @@ def contract_split(t):
     )
 
 
+@query(
+    "contract_split_unique",
+    """WITH k AS (SELECT o_custkey, o_orderdate, o_totalprice, count(*) OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate)) AS c FROM orders)
+       SELECT c > 1 AS repeated, o_totalprice <= 5e4 AS cheap, count(*) AS n FROM k WHERE c > 1 OR o_totalprice <= 5e4 GROUP BY ALL""",
+)
+def contract_split_unique(t):
+    """Bad rows by reason: a repeated customer and month, a price too low, or both."""
+    rule = Contract(
+        "orders",
+        {"o_custkey": non_null("bigint"), "month": non_null("date"), "o_totalprice": non_null("double", gt(50000.0))},
+        unique=("o_custkey", "month"),
+    )
+    rows = t.orders.select("o_custkey", F.trunc("o_orderdate", "month").alias("month"), "o_totalprice")
+    _, bad = rule.split(rows)
+    why = F.col("failed_checks")
+    return bad.groupBy(
+        F.exists(why, lambda x: x.startswith("unique:")).alias("repeated"),
+        F.exists(why, lambda x: x.startswith("o_totalprice:")).alias("cheap"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "type_coercion",
     """SELECT o_orderkey, coalesce(TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS BIGINT), -1) AS custkey

@@ -401,3 +401,21 @@ def eligible(t):
     prim = w.primary_set(mapped_wells(t))
     ok = fo.eligible_folds(prim).withColumnRenamed("fold", "province_name")
     return prim.groupBy("province_name").agg(F.count(F.lit(1)).alias("n")).join(ok, "province_name")
+
+
+@query(
+    "basin_maturity_gaps",
+    f"""WITH ref AS (SELECT p_brand AS prov, CASE WHEN p_size % 5 <> 0 THEN p_size END AS y FROM part WHERE p_partkey % 2 = 0),
+        g AS (SELECT prov, count(*) AS n FROM ref GROUP BY 1), r AS (SELECT prov, y, count(*) AS k FROM ref WHERE y IS NOT NULL GROUP BY 1, 2),
+        e AS (SELECT p_partkey, sum(r.k) AS k FROM part JOIN r ON r.prov = p_brand AND r.y < p_size GROUP BY 1)
+        SELECT p.p_partkey AS well_id, {fix_sql("CASE WHEN g.n IS NULL THEN 0e0 ELSE coalesce(e.k, 0) * 1e0 / g.n END", 7)} AS basin_maturity
+        FROM part p LEFT JOIN g ON g.prov = p.p_brand LEFT JOIN e USING (p_partkey) WHERE p.p_partkey % 2 = 1""",
+)
+def basin_maturity_gaps(t):
+    """References without a year: in the total, never earlier."""
+    p = t.part.select(
+        F.lit("f").alias("fold"), F.col("p_partkey").alias("well_id"), F.col("p_brand").alias("province_code"), F.col("p_size").alias("spud_year")
+    )
+    reference = p.where("well_id % 2 = 0").withColumn("spud_year", F.when(F.col("spud_year") % 5 != 0, F.col("spud_year")))
+    out = ft.basin_maturity(p.where("well_id % 2 = 1"), reference)
+    return out.select("well_id", fix("basin_maturity", 7).alias("basin_maturity"))

@@ -125,6 +125,15 @@ def knn5(t):
     return out.select("c_custkey", "s_suppkey", "rank", fix("distance_km", 5).alias("distance_km"))
 
 
+@query(
+    "knn20",
+    f"{_DIST}, n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY chord, s_suppkey) AS rank FROM d) SELECT c_custkey, s_suppkey, CAST(rank AS INT) AS rank, {fix_sql(km_sql('chord'), 5)} AS distance_km FROM n WHERE rank <= 20",
+)
+def knn20(t):
+    out = sp.nearest_join(customers_as_points(t), suppliers_as_points(t), "c_custkey", "s_suppkey", 20)
+    return out.select("c_custkey", "s_suppkey", "rank", fix("distance_km", 5).alias("distance_km"))
+
+
 @query("buffer_anti", f"{_DIST} SELECT c_custkey FROM d GROUP BY 1 HAVING min(chord) > {chord_of_km(500.0)!r}")
 def buffer_anti(t):
     """Customers farther than 500 km from every supplier."""
@@ -210,12 +219,11 @@ def overlap_names(t):
 
 @query(
     "largest_areas",
-    f"WITH {_SQUARES} SELECT area_id, {fix_sql('2e0 * h * h', 4)} AS area FROM sq ORDER BY h DESC, area_id LIMIT 60",
+    f"WITH {_SQUARES} SELECT area_id, {fix_sql('2e0 * h * h', 4)} AS area FROM sq ORDER BY h DESC, area_id LIMIT 600",
 )
 def largest_areas(t):
     areas = t.supplier.select(F.col("s_suppkey").alias("area_id"))
-    sized = pg.ring_area(diamonds(t)).withColumn("area", fix("area", 4)).join(areas, "area_id")
-    return sized.orderBy(F.desc("area"), "area_id").limit(60)
+    return pg.largest_areas(diamonds(t), areas).withColumn("area", fix("area", 4))
 
 
 # ---- cells ---------------------------------------------------------------------------------

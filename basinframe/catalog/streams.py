@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from basinframe.catalog.registry import query
 from basinframe.operators.contracts import Contract, Provenance, ge, isin, non_null
 from basinframe.session import scratch_path
+from basinframe.sources.store import LEDGER
 from basinframe.streaming import feeds
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -66,7 +67,7 @@ def contracted_append(t):
     return (
         n(f"{root}/events", "good", rows)
         .unionByName(n(f"{root}/events_quarantine", "bad", rows))
-        .unionByName(n(f"{root}/_batches/events", "ledger", F.sum("rows")))
+        .unionByName(n(f"{root}/{LEDGER}", "ledger", F.sum("rows")))
     )
 
 
@@ -84,7 +85,7 @@ def freshness_stream(t):
         F.concat(F.lit("s"), F.col("user_id") % 40).alias("source_id"), F.col("ts").cast("timestamp").alias("retrieved_at")
     )
     out = scratch_path(t.spark, "fresh")
-    feeds.freshness_monitor(ledger, registry, "2024-01-30 00:00:00", out, f"{out}/_state").awaitTermination()
+    feeds.freshness_monitor(ledger, registry, out, f"{out}/_state", now="2024-01-30 00:00:00").awaitTermination()
     # Batch 0 carries the whole file; later empty batches change nothing.
     status = t.spark.read.parquet(f"{out}/status")
     newest = status.agg(F.max("batch").alias("batch"))

@@ -74,7 +74,7 @@ def strip_bom(x) -> Column:
 
 def remove_prefix(x, prefix: str) -> Column:
     c = _c(x)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1_000_000)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
 
 
 def split_tokens(x, joiner: str) -> Column:

@@ -155,9 +155,22 @@ class Contract:
         return df.withColumn("failed_checks", named).where(F.size("failed_checks") > 0)
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(good rows, bad rows with ``failed_checks``)."""
-        bad = reduce(lambda a, b: a | b, self.broken().values())
-        return df.where(~bad), self.offending(df)
+        """(good rows, bad rows with ``failed_checks``). All rows of a repeated key are
+        bad, and so is a row that falls behind its group's order."""
+        named = [F.when(p, F.lit(n)) for n, p in self.broken().items()]
+        tagged = df
+        if self.unique:
+            again = duplicate_keys(df, self.unique).select(*[F.col(c).alias(f"__k_{c}") for c in self.unique])
+            on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in self.unique])
+            tagged = tagged.join(again.withColumn("__again", F.lit(True)), on, "left").drop(*[f"__k_{c}" for c in self.unique])
+            named.append(F.when(F.col("__again"), F.lit("unique:" + ",".join(self.unique))))
+        for i, rule in enumerate(self.monotone):
+            w = Window.partitionBy(*rule.group).orderBy(rule.order)
+            tagged = tagged.withColumn(f"__falls{i}", F.col(rule.column) < F.lag(rule.column).over(w))
+            named.append(F.when(F.col(f"__falls{i}"), F.lit(f"group:{rule.name}")))
+        tagged = tagged.withColumn("failed_checks", F.filter(F.array(*named), lambda x: x.isNotNull()))
+        good = tagged.where(F.size("failed_checks") == 0).select(*df.columns)
+        return good, tagged.where(F.size("failed_checks") > 0).select(*df.columns, "failed_checks")
 
     def enforce(self, df: DataFrame) -> DataFrame:
         """Return ``df`` unchanged, or raise with every failing check counted."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from basinframe.functions.geo import Grid, km_of_chord
 from basinframe.functions.scalars import water_depth_class
+from basinframe.operators.contracts import require_none
 from basinframe.operators.raster import lookup, neighbourhood
 from basinframe.operators.spatial import CubeIndex, as_queries
 from basinframe.session import materialize
@@ -76,6 +77,8 @@ def _nearest_km(points: DataFrame, ref: DataFrame, self_flag: str, out: str) ->
     """Distance to the nearest reference of the fold. Where ``self_flag`` holds and
     the nearest lies at the point itself, the second nearest counts: the rule is
     positional, so a co-located twin is skipped only once."""
+    without = points.select("fold").distinct().join(ref.select("fold").distinct(), "fold", "left_anti")
+    require_none(without, out, "folds without a reference of this class")
     index = CubeIndex(ref.select("fold", "well_id", "lat", "lon").withColumnRenamed("well_id", "ref_id"),
                       scope=["fold"], ids=["ref_id"], keep=2)
     q = as_queries(points, ["fold", "well_id", self_flag])
@@ -139,8 +142,11 @@ def province_success(points: DataFrame, reference: DataFrame) -> DataFrame:
 
 def basin_maturity(points: DataFrame, reference: DataFrame) -> DataFrame:
     """Share of the province's references drilled strictly before the point's year;
-    0 in an undrilled province, 1 without a year."""
-    yearly = reference.groupBy("fold", "province_code", "spud_year").agg(F.count(F.lit(1)).alias("n"))
+    0 in an undrilled province, 1 without a year. A reference without a year counts in
+    the total and is never earlier."""
+    yearly = reference.groupBy("fold", "province_code", "spud_year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("spud_year").alias("dated")
+    )
     # Yearly totals: a few hundred rows per fold and province.
     before = Window.partitionBy("fold", "province_code").orderBy("spud_year").rangeBetween(
         Window.unboundedPreceding, 0
@@ -150,7 +156,7 @@ def basin_maturity(points: DataFrame, reference: DataFrame) -> DataFrame:
         "fold",
         "province_code",
         "spud_year",
-        F.sum("n").over(before).alias("upto"),
+        F.sum("dated").over(before).alias("upto"),
         F.sum("n").over(everything).alias("total"),
         F.lead("spud_year").over(Window.partitionBy("fold", "province_code").orderBy("spud_year")).alias("next_year"),
     )

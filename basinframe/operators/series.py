@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinframe.functions.scalars import age_days, agreement_band, delta_pct, finite_or_null
+from basinframe.operators.contracts import require_none
 from basinframe.operators.ordered import prefix, top_n
 
 
@@ -133,9 +134,10 @@ def lead_lag(
 ) -> DataFrame:
     """Correlation of ``a`` leading ``b`` by 0..max_lag positions.
 
-    Both frames carry ``keys, month, value`` over the same months. The ordinal is
-    exact at any length; a lag is then an equi-join on it.
+    Both frames carry ``keys, month, value``; months that only one of them has raise.
+    The ordinal is exact at any length; a lag is then an equi-join on it.
     """
+    require_none(unmatched_index(a, b, [*keys, month]), "lead_lag", "months of only one series")
     left = a.select(*keys, month, finite_or_null("value").alias("av"))
     right = b.select(*keys, month, finite_or_null("value").alias("bv"))
     both = left.join(right, [*keys, month], "full")

@@ -90,6 +90,8 @@ class CubeIndex:
         leaf: int = LEAF,
     ):
         self.scope, self.carry = list(scope), list(carry)
+        # A cube that is opened must be able to hold as many points as a search returns.
+        leaf = max(leaf, keep or 0)
         self.totals, self.ids, self.leaf, self.keep = list(totals), list(ids), leaf, keep
         group = self.scope + self.carry
         base = ref.select(*group, *self.totals, *self.ids, *unit_xyz(lat, lon))

@@ -71,8 +71,11 @@ def decision_points(wells: DataFrame, digits: int = 3) -> DataFrame:
 
     Any success makes the location a success, any shows makes it one with shows,
     it is excluded only if every wellbore is, and it dates from its first
-    wellbore, whose other columns represent it.
+    wellbore, whose other columns represent it. A well without coordinates has no
+    location to share and raises.
     """
+    adrift = wells.where("lat is null or lon is null or isnan(lat) or isnan(lon)").select("source_id", "well_id")
+    require_none(adrift, "decision_points", "wells without coordinates")
     merged = {"label", "shows", "excluded", "spud_year", "source_id"}
     rest = [c for c in wells.columns if c not in merged]
     keyed = wells.withColumns(

@@ -48,8 +48,7 @@ def cross_validate(
     matrix = materialize(matrix, "matrix")
     names = features or [c for c in ft.FEATURE_NAMES if c in matrix.columns]
     trees, gains = m.tree_scores(matrix, names, seed=seed, rounds=rounds, depth=depth)
-    # A fold without any discovery has no distance to one; its rows cannot train.
-    train = matrix.where("role = 'train'").dropna(subset=["dist_discovery_km"])
+    train = matrix.where("role = 'train'")
     coef = m.distance_logit(train)
     test = matrix.where("role = 'test'")
     scored = m.logit_score(test, coef, out="baseline_distance").withColumns(

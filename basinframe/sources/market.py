@@ -53,7 +53,7 @@ def spot_rows(docs: DataFrame) -> DataFrame:
 
 def normalize_spot(raw: DataFrame, metrics: dict[str, str] = codes.SPOT_METRICS) -> DataFrame:
     """``.`` marks a missing value and is dropped; negative prices are real."""
-    return raw.where(F.col("value") != ".").select(
+    return raw.where(F.coalesce(F.col("value") != ".", F.lit(True))).select(
         F.to_date("date").alias("date"),
         "series_id",
         code_lookup("series_id", metrics).alias("metric"),
@@ -166,13 +166,15 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _flow_value() -> tuple[Column, Column]:
-    return strict_double("OBS_VALUE", codes.FLOW_ABSENT)
+    """Only the listed markers mean absence; a blank or missing value is junk."""
+    value, junk = strict_double("OBS_VALUE", codes.FLOW_ABSENT)
+    return value, junk | F.col("OBS_VALUE").isNull()
 
 
 def normalize_flows(raw: DataFrame, product: str = "CRUDEOIL") -> DataFrame:
     require_columns(raw, codes.FLOW_COLUMNS, "jodi")
     value, _ = _flow_value()
-    kept = raw.where((F.col("ENERGY_PRODUCT") == product) & ~F.col("OBS_VALUE").isin(*codes.FLOW_ABSENT))
+    kept = raw.where((F.col("ENERGY_PRODUCT") == product) & ~F.coalesce(F.col("OBS_VALUE").isin(*codes.FLOW_ABSENT), F.lit(False)))
     return kept.select(
         month_start("TIME_PERIOD").alias("period"),
         F.col("REF_AREA").alias("ref_area"),

@@ -24,7 +24,7 @@ LEDGER_SCHEMA = (
 )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -72,8 +72,36 @@ def write_with_ledger(
     return entry
 
 
+def append_batch(batch: DataFrame, prov: Provenance, table: str, root: str, number: int) -> None:
+    """Store one stream batch of ``table`` and append its ledger row.
+
+    Batches of a table share a folder, which the ledger names, so a reader gets them
+    all. A batch that is run again overwrites its folder and is entered once.
+    """
+    spark = batch.sparkSession
+    path = f"{root}/{table}/batch={number}"
+    batch.write.mode("overwrite").parquet(path)
+    version = f"{prov.transform_version}/batch={number}"
+    ledger = read_ledger(spark, root).where((F.col("table") == table) & (F.col("transform_version") == version))
+    if not ledger.isEmpty():
+        return
+    entry = content_hash(spark.read.schema(batch.schema).parquet(path)).select(
+        F.lit(prov.source_id).alias("source_id"),
+        F.lit(table).alias("table"),
+        F.lit(table).alias("path"),
+        F.col("n_rows").alias("rows"),
+        "content_sha256",
+        F.lit(prov.retrieved_at).cast("timestamp").alias("retrieved_at"),
+        F.lit(prov.source_url).alias("source_url"),
+        F.lit(version).alias("transform_version"),
+        F.current_timestamp().alias("written_at"),
+    )
+    entry = small_table(spark, [tuple(entry.first())], LEDGER_SCHEMA)  # the one ledger row
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/{LEDGER}")
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    if not _exists(spark, f"{root}/{LEDGER}"):
+    if not exists(spark, f"{root}/{LEDGER}"):
         return small_table(spark, [], LEDGER_SCHEMA)
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"{root}/{LEDGER}")
 

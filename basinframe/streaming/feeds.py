@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from basinframe.operators.contracts import Contract, Provenance, content_hash
+from basinframe.operators.contracts import Contract, Provenance
 from basinframe.operators.series import freshness
 from basinframe.sources.events import clean_events
+from basinframe.sources.store import append_batch, exists
 
 ARRIVAL = "arrived_at"
 
@@ -35,6 +37,15 @@ def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def _seen(spark, root: str, table: str, batch: DataFrame, number: int) -> DataFrame | None:
+    """Rows of the earlier batches; a batch that runs again does not see itself."""
+    if not exists(spark, f"{root}/{table}"):
+        return None
+    schema = StructType([*batch.schema.fields, StructField("batch", IntegerType())])
+    kept = spark.read.schema(schema).parquet(f"{root}/{table}")
+    return kept.where(F.col("batch") < number)
+
+
 def contracted_append(
     stream: DataFrame,
     contract: Contract,
@@ -42,11 +53,14 @@ def contracted_append(
     table: str,
     root: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Per micro-batch: good rows to the table, bad rows to quarantine, one ledger row.
 
-    Every batch writes to folders named by its number and overwrites them, so a
-    batch that is run again after a failure leaves one copy.
+    A key of the contract holds over all batches: a row whose key is already stored goes
+    to quarantine. Every batch writes to folders named by its number and overwrites them,
+    so a batch that is run again after a failure leaves one copy. ``trigger`` is passed to
+    the stream, ``availableNow=True`` without one.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -54,27 +68,22 @@ def contracted_append(
         batch.persist()
         try:
             good, bad = contract.split(batch)
-            path = f"{root}/{table}/batch={number}"
-            good.write.mode("overwrite").parquet(path)
+            earlier = _seen(spark, root, table, batch, number) if contract.unique else None
+            if earlier is not None:
+                key = list(contract.unique)
+                again = good.join(earlier.select(*key).distinct(), key, "left_semi")
+                why = F.array(F.lit("unique:" + ",".join(key)))
+                bad = bad.unionByName(again.withColumn("failed_checks", why))
+                good = good.join(earlier.select(*key), key, "left_anti").select(*batch.columns)
             bad.write.mode("overwrite").parquet(f"{root}/{table}_quarantine/batch={number}")
-            entry = content_hash(spark.read.schema(good.schema).parquet(path)).select(
-                F.lit(prov.source_id).alias("source_id"),
-                F.lit(table).alias("table"),
-                F.lit(f"{table}/batch={number}").alias("path"),
-                F.col("n_rows").alias("rows"),
-                "content_sha256",
-                F.lit(prov.retrieved_at).cast("timestamp").alias("retrieved_at"),
-                F.lit(prov.source_url).alias("source_url"),
-                F.lit(prov.transform_version).alias("transform_version"),
-            )
-            entry.coalesce(1).write.mode("overwrite").parquet(f"{root}/_batches/{table}/batch={number}")
+            append_batch(good, prov, table, root, number)
         finally:
             batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -85,19 +94,29 @@ def newest_arrivals(ledger: DataFrame) -> DataFrame:
 
 
 def freshness_monitor(
-    ledger: DataFrame, registry: DataFrame, now: str, path: str, checkpoint: str
+    ledger: DataFrame,
+    registry: DataFrame,
+    path: str,
+    checkpoint: str,
+    now: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Status of every registered source after each micro-batch, written to ``path``.
 
-    Update mode sends only changed sources, so their newest arrivals are merged
-    with those already written before they meet the registry.
+    Update mode sends only changed sources; they are merged with the arrivals that the
+    last batch wrote, one row per source, and never with older files. A running monitor
+    takes the time of each batch, unless ``now`` fixes it.
     """
 
     def report(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/arrivals/batch={number}")
-        seen = spark.read.schema(batch.schema).parquet(f"{path}/arrivals")
-        status = freshness(seen, registry, F.lit(now).cast("timestamp"))
+        seen, before = batch, f"{path}/arrivals/batch={number - 1}"
+        if number and exists(spark, before):
+            seen = newest_arrivals(batch.unionByName(spark.read.schema(batch.schema).parquet(before)))
+        own = f"{path}/arrivals/batch={number}"
+        seen.write.mode("overwrite").parquet(own)
+        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        status = freshness(spark.read.schema(batch.schema).parquet(own), registry, at)
         status.write.mode("overwrite").parquet(f"{path}/status/batch={number}")
 
     return (
@@ -105,6 +124,6 @@ def freshness_monitor(
         .writeStream.outputMode("update")
         .foreachBatch(report)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

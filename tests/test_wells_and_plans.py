@@ -14,6 +14,7 @@ from basinframe.plans.blocks import memo_fields, screen_blocks
 from basinframe.plans.gate import gate_run
 from basinframe.plans.labels import build_labels, stack_sources
 from basinframe.plans.report import build_report, summarize
+from basinframe.sources import store
 from basinframe.streaming import feeds
 
 WELL = "well_id string, source_id string, lat double, lon double, spud_year int, purpose string, content_raw string, td_m double, discovery_id string"
@@ -228,4 +229,32 @@ def test_contracted_append_is_repeatable(spark, tmp_path):
         feeds.contracted_append(stream, rule, prov, "t", str(tmp_path / "root"), str(tmp_path / f"cp{attempt}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "root/t")).count() == 1
     assert spark.read.parquet(str(tmp_path / "root/t_quarantine")).first()["failed_checks"] == ["v:ge"]
-    assert spark.read.parquet(str(tmp_path / "root/_batches/t")).agg(F.sum("rows")).first()[0] == 1
+    ledger = store.read_ledger(spark, str(tmp_path / "root"))
+    assert [r["rows"] for r in ledger.collect()] == [1] and ledger.first()["written_at"] is not None
+    assert store.read_table(spark, str(tmp_path / "root"), "t").count() == 1
+
+
+def test_contracted_append_keeps_keys_unique_over_batches(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "root")
+    rule = Contract("t", {"id": non_null("int"), "v": non_null("double", ge(0))}, unique=("id",))
+    prov = Provenance("t", dt.datetime(2026, 7, 18, tzinfo=dt.UTC), "https://t", "1")
+    for rows in ([(1, 5.0), (2, 1.0), (2, 2.0)], [(1, 7.0), (3, 1.0)]):
+        spark.createDataFrame(rows, "id int, v double").write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("id int, v double").parquet(str(src))
+        feeds.contracted_append(stream, rule, prov, "t", root, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r["id"], r["v"]) for r in store.read_table(spark, root, "t").collect()) == [(1, 5.0), (3, 1.0)]
+    bad = spark.read.parquet(f"{root}/t_quarantine").collect()
+    assert sorted((r["id"], r["failed_checks"][0]) for r in bad) == [(1, "unique:id"), (2, "unique:id"), (2, "unique:id")]
+
+
+def test_wells_without_coordinates_raise(spark):
+    wells = spark.createDataFrame([("s", "a", None, 1.0)], "source_id string, well_id string, lat double, lon double")
+    with pytest.raises(ContractViolation):
+        w.decision_points(wells)
+
+
+def test_lead_lag_needs_one_index(spark):
+    a = spark.createDataFrame([("m", 1, 1.0), ("m", 2, 2.0)], "k string, month int, value double")
+    b = spark.createDataFrame([("m", 1, 1.0), ("m", 3, 2.0)], "k string, month int, value double")
+    with pytest.raises(ContractViolation):
+        s.lead_lag(a, b, ["k"], "month", 1)
