@@ -159,7 +159,7 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     else:
         now = members.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("comp", F.coalesce("root", "d")).drop("root")
     several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return stored(now.join(several, "bucket"), "mixed")
+    return stored(now.join(stored(several, "several"), "bucket"), "mixed")
 
 
 def _cross_pairs(mixed: DataFrame, tested: DataFrame | None, percent: int, cap: int) -> DataFrame:
@@ -227,7 +227,7 @@ def near_duplicates(
         "classes",
     )
     slots = classes.select(F.col("_d").alias("d"), "n", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = stored(slots.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = stored(slots.join(shared, "bucket"), "members")
     inside = members.select(F.col("d").alias("_d")).distinct()
     texts = stored(rows.join(inside, "_d", "left_semi").select("_d", "_text").dropDuplicates(["_d"]), "texts")

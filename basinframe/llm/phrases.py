@@ -221,6 +221,7 @@ def repeated_phrases(
             "runs",
         )
         groups = folded.groupBy("g").agg(F.min("first").alias("f"), F.max("last").alias("l"), F.count("*").alias("kinds"))
+        groups = stored(groups, "groups")
         usable = groups.where(f"f < l and kinds <= {crowd}").select("g", "f")
         reps = folded.join(usable, "g").select("_d", "lo", "n", F.lit(True).alias("rep"), "g", "f", "first", "last")
         no_id = F.lit(None).cast(kind)

@@ -111,20 +111,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("_d", F.xxhash64("_id", "_text"))
 
 
-def find_anchors(rows: DataFrame, symbols: Callable[[bytes], np.ndarray], window: int, gram: int) -> DataFrame:
-    """One row (_d, _id, g, lo, n) per run of windows with one anchor."""
+def find_anchors(
+    rows: DataFrame, symbols: Callable[[bytes], np.ndarray], window: int, gram: int, with_id: bool
+) -> DataFrame:
+    """One row (_d, g, lo, n, and _id if asked for) per run of windows with one anchor."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 2 << 20):
                 text, lo, n, g = anchor_runs([symbols(t) for t in part.column(1).to_pylist()], window, gram)
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2).take(at), part.column(0).take(at), pa.array(g), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["_d", "_id", "g", "lo", "n"],
-                )
+                columns = [part.column(2).take(at), pa.array(g), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))]
+                own = [part.column(0).take(at)] if with_id else []
+                yield pa.RecordBatch.from_arrays([*columns, *own], names=["_d", "g", "lo", "n", *["_id"] * with_id])
 
-    return rows.mapInArrow(run, f"_d long, {id_ddl(rows, '_id')}, g long, lo int, n int")
+    return rows.mapInArrow(run, "_d long, g long, lo int, n int" + f", {id_ddl(rows, '_id')}" * with_id)
 
 
 Finish = Callable[[list[bytes], list[list[tuple[int, int]]]], list[pa.Array]]
@@ -144,26 +145,28 @@ def candidates(
 ) -> DataFrame:
     """The documents with the runs whose anchor recurs; the others are finished at once.
 
-    Columns: ``_id``, ``_d``, ``_text`` and ``_runs`` (g, first id of the anchor, hash of
-    the run's content, lo, n) for documents with such runs, and the columns of ``finish``,
-    null for these. The anchors are stored, counted by hash and joined back to the
-    hashes that recur (between ids, or at all); a hash that many share is counted before
-    the shuffle and its rows can be split in the join. Texts are shuffled once.
+    Columns: ``_id``, ``_d``, ``_text`` and ``_runs`` (g, hash of the run's content, lo, n)
+    for documents with such runs, and the columns of ``finish``, null for these. The
+    anchors are stored, counted by hash and joined back to the hashes that recur (between
+    ids, or at all); a hash that many share is counted before the shuffle, and its rows
+    can be split in the join, whose other side is stored. Texts are shuffled once.
     """
     rows = keyed(docs, id_col, text_col)
-    found = stored(find_anchors(rows, symbols, window, gram), "anchors")
-    again = found.groupBy("g").agg(F.min("_id").alias("f"), F.max("_id").alias("_last"), F.count("*").alias("_n"))
-    again = again.where("f < _last" if between_ids else "_n > 1").select("g", "f")
+    found = stored(find_anchors(rows, symbols, window, gram, between_ids), "anchors")
+    if between_ids:
+        again = found.groupBy("g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    else:
+        again = found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = stored(again.select("g"), "recurring")
     lists = (
         found.join(again, "g")
         .groupBy("_d")
-        .agg(F.collect_set(F.struct("g", "f", "lo", "n")).alias("_found"))
+        .agg(F.collect_set(F.struct("g", "lo", "n")).alias("_found"))
         .withColumnRenamed("_d", "_key")
     )
     joined = rows.join(lists, rows["_d"] == lists["_key"], "left").select("_id", "_text", "_d", "_found")
     names = [p.split()[0] for p in finish_ddl.split(", ")]
-    kind = rows.schema["_id"].dataType.simpleString()
-    runs = f"array<struct<g:bigint,f:{kind},w:bigint,lo:int,n:int>>"
+    runs = "array<struct<g:bigint,w:bigint,lo:int,n:int>>"
 
     def run(batches):
         for batch in batches:
@@ -182,7 +185,7 @@ def candidates(
                 done = finish([t if k is None else b"" for t, k in zip(texts, kept)], [[] for _ in texts])
                 open_ = pa.array([k is not None for k in kept])
                 done = [pa.compute.if_else(open_, pa.nulls(len(texts), c.type), c) for c in done]
-                own = pa.struct([("g", pa.int64()), ("f", part.column(0).type), ("w", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+                own = pa.struct([("g", pa.int64()), ("w", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(kept, pa.binary()), pa.array(held, pa.list_(own)), *done],
                     names=["_id", "_d", "_text", "_runs", *names],
