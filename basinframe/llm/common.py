@@ -65,6 +65,22 @@ def per_text(
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, mask: Callable[[list[bytes]], np.ndarray], max_bytes: int = 4 << 20) -> DataFrame:
+    """Whole rows whose text ``mask`` keeps, in slices of bounded size; no shuffle."""
+    extra = "_bytes"
+    while extra in df.columns:
+        extra += "_"
+    rows = df.select(*(F.col(f"`{c}`") for c in df.columns), utf8(f"`{text_col}`").alias(extra))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, max_bytes, batch.num_columns - 1):
+                kept = pa.array(mask(part.column(part.num_columns - 1).to_pylist()), pa.bool_())
+                yield part.select(range(part.num_columns - 1)).filter(kept)
+
+    return rows.mapInArrow(run, df.schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of the splitmix64 generator, on uint64 arrays."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

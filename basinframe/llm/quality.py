@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinframe.llm.common import Codes, per_text, utf8
+from basinframe.llm.common import Codes, keep_rows, per_text, utf8
 
 FEATURES = 12
 _MARKS, _UPPER, _LETTERS, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), b"0123456789"
@@ -193,6 +193,34 @@ def train_line_model(
     return fit_line_model(np.concatenate(xs), np.array([len(x) for x in xs]), good)
 
 
+def _counts(texts: list[bytes], model: LineModel | None, min_words: int, least_content: float) -> list[np.ndarray]:
+    """Per text: words, their characters, marks, repeated lines, repeated words, failed, content words, kept."""
+    found = [lines_of(t) for t in texts]
+    sizes = np.array([len(rows) for rows, _, _ in found], np.int64)
+    words = np.array([w for _, n, _ in found for w in n], np.int64)
+    if model is None or not sizes.sum():
+        content = np.ones(len(words), np.int64)
+    else:
+        content = model.label(np.array([r for rows, _, _ in found for r in rows]), sizes).astype(np.int64)
+    ends = np.append(0, np.cumsum(sizes))
+    n_words, n_content = (np.diff(np.append(0, np.cumsum(v))[ends]) for v in (words, words * content))
+    split = [t.split() for t in texts]
+    chars = np.array([len(b"".join(w).decode("utf-8", "replace")) for w in split], np.int64)
+    marks = np.array([len(t) - len(t.translate(None, _MARKS)) for t in texts], np.int64)
+    again = np.array([d for _, _, d in found], np.int64)
+    repeat = np.array([repeated_words(w) for w in split], np.int64)
+    failed = (n_words < min_words) | (100 * repeat > 50 * n_words)
+    kept = ~failed & (n_content >= least_content * n_words)
+    return [n_words, chars, marks, again, repeat, failed, n_content, kept]
+
+
+def keep_good(
+    docs: DataFrame, model: LineModel | None, min_words: int = 50, least_content: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """Whole rows of the documents that :func:`quality_rules` keeps."""
+    return keep_rows(docs, text_col, lambda texts: _counts(texts, model, min_words, least_content)[-1])
+
+
 def quality_rules(
     docs: DataFrame,
     model: LineModel | None,
@@ -214,24 +242,7 @@ def quality_rules(
     """
 
     def run(texts):
-        found = [lines_of(t) for t in texts]
-        sizes = np.array([len(rows) for rows, _, _ in found], np.int64)
-        words = np.array([w for _, n, _ in found for w in n], np.int64)
-        if model is None or not sizes.sum():
-            content = np.ones(len(words), np.int64)
-        else:
-            content = model.label(np.array([r for rows, _, _ in found for r in rows]), sizes).astype(np.int64)
-        ends = np.append(0, np.cumsum(sizes))
-        both = [np.append(0, np.cumsum(v))[ends] for v in (words, words * content)]
-        n_words, n_content = (np.diff(v) for v in both)
-        split = [t.split() for t in texts]
-        chars = np.array([len(b"".join(w).decode("utf-8", "replace")) for w in split], np.int64)
-        symbols = np.array([len(t) - len(t.translate(None, _MARKS)) for t in texts], np.int64)
-        again = np.array([d for _, _, d in found], np.int64)
-        repeat = np.array([repeated_words(w) for w in split], np.int64)
-        failed = (n_words < min_words) | (100 * repeat > 50 * n_words)
-        kept = ~failed & (n_content >= least_content * n_words)
-        return [pa.array(v) for v in (n_words, chars, symbols, again, repeat, failed, n_content, kept)]
+        return [pa.array(v) for v in _counts(texts, model, min_words, least_content)]
 
     ddl = (
         "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "

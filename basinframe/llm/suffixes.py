@@ -322,19 +322,24 @@ def _without(text: bytes, spans) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """Per row the id, ``kept`` (the remaining bytes, binary) and ``spans`` (removed byte ranges)."""
+def remove_repeats(
+    docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **more
+) -> DataFrame:
+    """Per row the id, ``kept`` (the remaining bytes, binary) and ``spans`` (removed byte ranges).
+
+    ``as_text`` gives ``kept`` as a string, without the rests of characters that a range cuts.
+    """
 
     def finish(texts, spans):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kept = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
         return [
-            pa.array([_without(t, s) for t, s in zip(texts, spans, strict=True)], pa.binary()),
+            pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind),
         ]
 
-    return repeated_spans(
-        docs, width, id_col=id_col, text_col=text_col, finish=finish, finish_ddl="kept binary, spans array<struct<start:bigint,stop:bigint>>", **more
-    )
+    ddl = f"kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>"
+    return repeated_spans(docs, width, id_col=id_col, text_col=text_col, finish=finish, finish_ddl=ddl, **more)
 
 
 def repeat_digests(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
