@@ -7,6 +7,9 @@ that lie too far away and taking cubes that lie wholly inside a radius by their
 totals. Only cubes with at most ``leaf`` points are opened. A dense cluster with
 a third of all points is therefore split by depth instead of being paired with
 every query near it, and the result is exact at all latitudes.
+
+Each point is stored once, under its leaf: the first cube on its way down that is
+small enough to be opened. A cube inside a leaf finds its points there.
 """
 
 from __future__ import annotations
@@ -117,7 +120,20 @@ class CubeIndex:
             crowded = self._crowded(nodes)
         # Below this level every cube is small enough to be opened.
         self.bottom = min(crowded + STEP, _LAST)
-        self.nodes = nodes.where(F.col("level") <= self.bottom)
+        nodes = nodes.where(F.col("level") <= self.bottom)
+        full = nodes.where((F.col("n") > leaf) & (F.col("level") < self.bottom))
+        part = {k: F.shiftright("cell", 21 * (2 - i)).bitwiseAND(2**21 - 1) for i, k in enumerate("xyz")}
+        placed = nodes.withColumns({f"__{k}": part[k] for k in "xyz"})
+        nodes = self._leaf(placed, F.col("level"), full, group).drop("__x", "__y", "__z")
+        self.nodes = materialize(nodes, "nodes")
+        fine = self.base.withColumns({f"__{k}": _index(F.col(k), _LAST) for k in "xyz"})
+        self.leaves = materialize(
+            self._leaf(fine, F.lit(_LAST), full, group).select(
+                *group, "leaf_level", "leaf_cell", *self.ids, *self.totals, F.col("n_here").alias("n_rows"),
+                *[F.col(k).alias(f"p{k}") for k in "xyz"], *[F.col(f"__{k}").alias(f"f{k}") for k in "xyz"],
+            ),
+            "leaves",
+        )
 
     def _count(self, points: DataFrame, top: int, deepest: int) -> DataFrame:
         """Cubes with what they hold. Boxes around the points actually present prune
@@ -138,6 +154,41 @@ class CubeIndex:
         deepest = nodes.where(F.col("n") > self.leaf).agg(F.max("level").alias("m")).first()["m"]
         return deepest if deepest is not None else _TOP - STEP
 
+    def _deepest(self, rows: DataFrame, own: Column, cubes: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """``__deep``: level of the deepest of ``cubes`` on the way to a row's place.
+
+        Every cube around one of them is one of them too, so the level is found by
+        halving the range, a join each. ``__x, __y, __z`` are the place at level ``own``.
+        """
+        out = rows.withColumns({"__deep": F.lit(_TOP - 1), "__to": F.least(own, F.lit(self.bottom))})
+        has = cubes.select(*keys, F.col("level").alias("__mid"), F.col("cell").alias("__at"), F.lit(True).alias("__hit"))
+        for _ in range((self.bottom - _TOP + 1).bit_length()):
+            out = out.withColumn("__mid", F.expr("(__deep + __to + 1) div 2").cast("int"))
+            out = out.withColumn("__at", self._cell_at(own, F.col("__mid"))).join(has, [*keys, "__mid", "__at"], "left")
+            hit = F.coalesce("__hit", F.lit(False))
+            out = out.withColumns(
+                {"__deep": F.when(hit, F.col("__mid")).otherwise(F.col("__deep")), "__to": F.when(hit, F.col("__to")).otherwise(F.greatest("__deep", F.col("__mid") - 1))}
+            ).drop("__mid", "__at", "__hit")
+        return out.drop("__to")
+
+    @staticmethod
+    def _cell_at(own: Column, level: Column, names: Sequence[str] = ("__x", "__y", "__z")) -> Column:
+        """Cube at ``level`` of a place given at the finer level ``own``."""
+        by = F.greatest(own - level, F.lit(0)).cast("int")
+        return _key(*[F.call_function("shiftright", F.col(n), by) for n in names])
+
+    def _leaf(self, rows: DataFrame, own: Column, full: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Attach ``leaf_level, leaf_cell``: the first cube below the crowded ones."""
+        level = F.least(F.col("__deep") + 1, own).cast("int")
+        out = self._deepest(rows, own, full, keys).withColumn("leaf_level", level)
+        return out.withColumn("leaf_cell", self._cell_at(own, F.col("leaf_level"))).drop("__deep")
+
+    def _opened(self, front: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The points inside the cubes of ``front``, from the leaves these lie in."""
+        inside = self._cell_at(F.lit(_LAST), F.col("level"), ("fx", "fy", "fz")) == F.col("cell")
+        found = front.join(self.leaves, [*self.scope, *keys, "leaf_level", "leaf_cell"]).where(inside)
+        return found.drop("fx", "fy", "fz")
+
     # -- building blocks ---------------------------------------------------------
 
     def _match(self, left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -170,7 +221,7 @@ class CubeIndex:
     def _descend(self, front: DataFrame, settle) -> DataFrame:
         """Replace crowded cubes by their children, one level per join; ``settle``
         prunes after each. Cubes that are small enough ride along unchanged."""
-        values = ["cell", *self.carry, "n", "n_rows", *self.totals]
+        values = ["cell", "leaf_level", "leaf_cell", *self.carry, "n", "n_rows", *self.totals]
         values += [f"{s}_{k}" for s in ("lo", "hi") for k in "xyz"]
         renamed = [*self.scope, "level", "parent", *values]
         child = self.nodes.selectExpr(*[f"`{v}` as `__{v}`" for v in renamed])
@@ -201,13 +252,6 @@ class CubeIndex:
             front = settle(f.join(child, on, "left").selectExpr(*picked))
         return front
 
-    def _points(self) -> DataFrame:
-        fine = _with_cells(self.base, self.bottom)
-        return fine.select(
-            *self.scope, *self.carry, "level", "cell", *self.ids, *self.totals,
-            F.col("n_here").alias("n_rows"), *[F.col(k).alias(f"p{k}") for k in "xyz"],
-        )
-
     # -- searches ------------------------------------------------------------------
 
     def nearest(self, queries: DataFrame, qid: Sequence[str], k: int = 1) -> DataFrame:
@@ -225,10 +269,15 @@ class CubeIndex:
         q = asked.select(*spot).distinct()
         # A cube that holds the query and at least k points bounds the distance
         # by its farthest corner.
-        own = _with_cells(q, self.bottom).select(*spot, "level", "cell")
-        full = self.nodes.where(F.col("n") >= k).drop("parent")
+        full = self.nodes.where(F.col("n") >= k)
+        boxes = full.select(*self.scope, "level", "cell", *[f"{s}_{k}" for s in ("lo", "hi") for k in "xyz"])
+        fine = q.withColumns({f"__{c}": _index(F.col(c), _LAST) for c in "xyz"})
+        # Several carried groups may share a cube; one is enough to go on.
+        cubes = full.select(*self.scope, "level", "cell").distinct()
+        own = self._deepest(fine, F.lit(_LAST), cubes, self.scope).where(F.col("__deep") >= _TOP)
+        own = own.withColumns({"level": F.col("__deep"), "cell": self._cell_at(F.lit(_LAST), F.col("__deep"))})
         bound = (
-            self._match(own, full, ["level", "cell"])
+            self._match(own.select(*spot, "level", "cell"), boxes, ["level", "cell"])
             .groupBy(*spot)
             .agg(F.min(_box_gap(True)).alias("bound"))
         )
@@ -245,9 +294,9 @@ class CubeIndex:
             f = f.withColumn("bound", F.least("bound", F.min("__enough").over(per_query)))
             return f.where(_box_gap(False) <= slack).drop("__far", "__enough")
 
-        leaves = self._descend(self._start(q), settle).select(*spot, "bound", "level", "cell")
+        leaves = self._descend(self._start(q), settle).select(*spot, "bound", "level", "cell", "leaf_level", "leaf_cell")
         pairs = (
-            self._match(leaves, self._points(), ["level", "cell"])
+            self._opened(leaves, [])
             .withColumn("chord", _chord())
             .where(F.col("chord") <= slack)
             .select(*spot, *self.ids, "chord")
@@ -269,9 +318,9 @@ class CubeIndex:
         front = self._descend(start, settle)
         out = [*self.scope, "x", "y", "z", *self.carry, "n_rows", *self.totals]
         cut = front.where(~F.col("__whole")).select(
-            *self.scope, "x", "y", "z", *self.carry, "bound", "level", "cell"
+            *self.scope, "x", "y", "z", *self.carry, "bound", "level", "cell", "leaf_level", "leaf_cell"
         )
-        pairs = self._match(cut, self._points(), ["level", "cell", *self.carry])
+        pairs = self._opened(cut, self.carry)
         inside = pairs.where(_chord() <= F.col("bound")).select(*out)
         return front.where("__whole").select(*out).unionByName(inside)
 
@@ -298,8 +347,8 @@ class CubeIndex:
         asked = queries.select(*self.scope, *qid, "x", "y", "z")
         q = asked.withColumn("bound", F.lit(chord_of_km(radius_km)))
         front = self._descend(self._start(q), lambda f: f.where(_box_gap(False) <= F.col("bound")))
-        cut = front.select(*self.scope, *qid, "x", "y", "z", "bound", "level", "cell")
-        found = self._match(cut, self._points(), ["level", "cell"]).withColumn("chord", _chord())
+        cut = front.select(*self.scope, *qid, "x", "y", "z", "bound", "level", "cell", "leaf_level", "leaf_cell")
+        found = self._opened(cut, []).withColumn("chord", _chord())
         return found.where(F.col("chord") <= F.col("bound")).select(*self.scope, *qid, *self.ids, "chord")
 
 

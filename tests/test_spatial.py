@@ -157,3 +157,15 @@ def test_decimate(spark):
     for n, want in ((188, [0, 50, 100, 150, 187]), (2, [0, 1]), (51, [0, 50]), (1, [0])):
         df = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("x"))
         assert df.select(pg.decimate_line("x", 50).alias("y")).first()["y"] == want
+
+
+def test_every_point_is_stored_once(spark):
+    rows = [(i, 10.0 + (i % 40) * 1e-3, 20.0 + (i // 40) * 1e-3) for i in range(2000)]
+    rows += [(2000 + i, -60.0 + i % 120, -170.0 + 0.085 * i) for i in range(4000)]
+    ref = spark.createDataFrame(rows, "id long, lat double, lon double").repartition(4)
+    index = sp.CubeIndex(ref, ids=["id"], keep=20)
+    leaves = index.leaves.groupBy("leaf_level", "leaf_cell").count().toPandas()
+    assert leaves["count"].sum() == 6000 and leaves["count"].max() <= index.leaf == 20
+    full = index.nodes.where(f"n > {index.leaf} and level < {index.bottom}")
+    on = [F.col("leaf_level") == F.col("level"), F.col("leaf_cell") == F.col("cell")]
+    assert index.leaves.join(full, on, "left_semi").count() == 0
