@@ -166,6 +166,6 @@ def test_every_point_is_stored_once(spark):
     index = sp.CubeIndex(ref, ids=["id"], keep=20)
     leaves = index.leaves.groupBy("leaf_level", "leaf_cell").count().toPandas()
     assert leaves["count"].sum() == 6000 and leaves["count"].max() <= index.leaf == 20
-    full = index.nodes.where(f"n > {index.leaf} and level < {index.bottom}")
+    full = index.nodes.where(f"n > {index.leaf} and level < {index.bottom}").select("level", "cell")
     on = [F.col("leaf_level") == F.col("level"), F.col("leaf_cell") == F.col("cell")]
     assert index.leaves.join(full, on, "left_semi").count() == 0
