@@ -864,7 +864,7 @@ def raster_cells(t):
 
     path = scratch_path(t.spark, "cells")
     write_cells(cells(t), path, tile=18)
-    hit = lookup(customers_as_points(t), read_cells(t.spark, path, ["w"]), Grid(5.0), ["w"])
+    hit = lookup(customers_as_points(t), read_cells(t.spark, path, ["w"]), Grid(5.0), ["w"], tile=18)
     return hit.select("c_custkey", F.coalesce("w", F.lit(-1.0)).alias("w"))
 
 

@@ -15,15 +15,26 @@ from pyspark.sql import functions as F
 from basinframe.functions.geo import EARTH_RADIUS_KM, Grid, km_of_chord
 from basinframe.functions.scalars import finite_or_null
 from basinframe.operators.contracts import require_none, unknown_codes
+from basinframe.operators.ordered import prefix
 from basinframe.operators.spatial import CubeIndex, as_queries
 from basinframe.session import materialize
 
 KM_PER_DEGREE = pi * EARTH_RADIUS_KM / 180.0
 
 
-def lookup(points: DataFrame, cells: DataFrame, grid: Grid, channels: Sequence[str]) -> DataFrame:
-    """Value of each channel in the cell that contains the point."""
+def lookup(
+    points: DataFrame, cells: DataFrame, grid: Grid, channels: Sequence[str], tile: int | None = None
+) -> DataFrame:
+    """Value of each channel in the cell that contains the point.
+
+    ``tile`` is the tile size that stored cells were written with: only the tiles that
+    hold a point are then read. Their list is bounded by the tiles of the grid.
+    """
     located = points.withColumns({"row": grid.row_of("lat"), "col": grid.col_of("lon")})
+    if tile:
+        at = [F.expr(f"`{c}` div {tile}").cast("int") for c in ("row", "col")]
+        used = located.select(*at).distinct().dropna().collect()
+        cells = cells.where((F.col("tile_row") * 100_000 + F.col("tile_col")).isin([a * 100_000 + b for a, b in used]))
     return located.join(cells.select("row", "col", *channels), ["row", "col"], "left")
 
 
@@ -63,13 +74,12 @@ def slope_degrees(cells: DataFrame, grid: Grid, elevation: str, out: str) -> Dat
     return g.withColumn(out, F.degrees(F.atan(F.col("__g") / 1000.0))).drop("__g")
 
 
-def channel_stats(cells: DataFrame, channels: Sequence[str], exact: bool = True) -> DataFrame:
-    """``channel, median, iqr, n_valid, n_cells`` over finite cells.
+def channel_stats(cells: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """``channel, median, iqr, n_valid, n_cells`` over finite cells, exact at any size.
 
-    The exact form keeps one counter per distinct value; use the approximate one
-    for continuous channels at full resolution.
+    Values are counted, their counts run up in order over all partitions, and the values
+    at the quartiles' places are picked and interpolated; no task holds a channel.
     """
-    quantile = F.percentile if exact else F.percentile_approx
     stacked = cells.select(
         F.explode(
             F.array(
@@ -80,18 +90,23 @@ def channel_stats(cells: DataFrame, channels: Sequence[str], exact: bool = True)
             )
         ).alias("s")
     ).select("s.channel", "s.v")
-    q = stacked.groupBy("channel").agg(
-        quantile("v", [0.25, 0.5, 0.75]).alias("q"),
-        F.count("v").alias("n_valid"),
-        F.count(F.lit(1)).alias("n_cells"),
-    )
-    return q.select(
-        "channel",
-        F.col("q")[1].alias("median"),
-        (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
-        "n_valid",
-        "n_cells",
+    sizes = stacked.groupBy("channel").agg(F.count("v").alias("n_valid"), F.count(F.lit(1)).alias("n_cells"))
+    counted = stacked.where("v is not null").groupBy("channel", "v").agg(F.count(F.lit(1)).alias("n_here"))
+    ranked = prefix(counted, ["channel"], ["v"], sums={"below": "n_here"}).join(sizes, "channel")
+    last = F.col("below") + F.col("n_here")
+    places = {q: (F.col("n_valid") - 1) * q for q in (0.25, 0.5, 0.75)}
+
+    def value(place: Column) -> Column:
+        return F.max(F.when((F.col("below") <= place) & (place < last), F.col("v")))
+
+    found = ranked.groupBy("channel").agg(
+        *[value(F.floor(p)).alias(f"lo{q}") for q, p in places.items()],
+        *[value(F.ceil(p)).alias(f"hi{q}") for q, p in places.items()],
     )
+    out = sizes.join(found, "channel", "left")
+    lo, hi, part = (lambda q: F.col(f"`lo{q}`")), (lambda q: F.col(f"`hi{q}`")), (lambda q: places[q] - F.floor(places[q]))
+    at = {q: F.when(lo(q) == hi(q), lo(q)).otherwise((1 - part(q)) * lo(q) + part(q) * hi(q)) for q in places}
+    return out.select("channel", at[0.5].alias("median"), (at[0.75] - at[0.25]).alias("iqr"), "n_valid", "n_cells")
 
 
 def robust_z(cells: DataFrame, value: str, out: str, stats: DataFrame) -> DataFrame:
@@ -223,7 +238,7 @@ def neighbourhood(
     then along columns) serve every radius; values are centred on the channel
     median first so that squares do not cancel.
     """
-    stats = {r["channel"]: r["median"] for r in channel_stats(cells, channels, exact=False).collect()}
+    stats = {r["channel"]: r["median"] for r in channel_stats(cells, channels).collect()}
     # Every cell takes part, also one without a row of its own: its neighbours count.
     full = grid.centres(cells.sparkSession).select("row", "col")
     full = full.join(cells.select("row", "col", *channels), ["row", "col"], "left")

@@ -42,26 +42,29 @@ def with_second_index(gov: DataFrame, index: DataFrame | None) -> DataFrame:
 
 def sanctions_screen(blocks: DataFrame, programs: DataFrame, block_id: str = "block_id") -> DataFrame:
     """``sanctioned``, programmes and lists per block, matched on country code or on
-    country name. Two equi-joins instead of one join on an OR."""
+    country name. The list is gathered per code and per name first (a few hundred rows),
+    so blocks meet one row each way and are not shuffled while the list is small."""
     places = blocks.select(
         block_id, F.upper("iso3").alias("iso3"), F.lower("country_name").alias("name")
     )
     listed = programs.select(
         "iso3", F.lower("country_name").alias("name"), "program", "list_source"
     ).distinct()
-    by_code = places.select(block_id, "iso3").join(listed.drop("name"), "iso3").drop("iso3")
-    by_name = places.select(block_id, "name").join(listed.drop("iso3"), "name").drop("name")
-    hits = by_code.unionByName(by_name).groupBy(block_id).agg(
+
+    def gathered(key: str) -> DataFrame:
         # One country has a few dozen programmes at most.
-        F.array_sort(F.collect_set("program")).alias("programs"),
-        F.array_sort(F.collect_set("list_source")).alias("lists"),
-    )
+        return listed.groupBy(key).agg(
+            F.collect_set("program").alias(f"{key}_programs"), F.collect_set("list_source").alias(f"{key}_lists")
+        )
+
+    hits = places.join(gathered("iso3"), "iso3", "left").join(gathered("name"), "name", "left")
     none = F.array().cast("array<string>")
-    return blocks.select(block_id).join(hits, block_id, "left").select(
+    both = lambda c: F.array_sort(F.array_union(F.coalesce(f"iso3_{c}", none), F.coalesce(f"name_{c}", none)))
+    return hits.select(
         block_id,
-        F.col("programs").isNotNull().alias("sanctioned"),
-        F.coalesce("programs", none).alias("programs"),
-        F.coalesce("lists", none).alias("lists"),
+        (F.col("iso3_programs").isNotNull() | F.col("name_programs").isNotNull()).alias("sanctioned"),
+        both("programs").alias("programs"),
+        both("lists").alias("lists"),
     )
 
 

@@ -178,8 +178,9 @@ def write_cells(cells: DataFrame, path: str, tile: int = 100) -> None:
 
 
 def read_cells(spark: SparkSession, path: str, channels: list[str] | None = None) -> DataFrame:
+    """Stored cells with their tile; a filter on the tile columns reads those folders only."""
     cells = spark.read.parquet(path)
-    return cells.select("row", "col", *channels) if channels else cells
+    return cells.select("row", "col", *channels, "tile_row", "tile_col") if channels else cells
 
 
 def write_records(df: DataFrame, path: str, columns: dict[str, Column]) -> None:
