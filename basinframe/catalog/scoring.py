@@ -340,12 +340,12 @@ def importance_ranking(t):
 
 @query("permutation_importance")
 def permutation_importance(t):
-    """Loss of average precision per shuffled feature, on the rows of one fold."""
+    """Loss of average precision per shuffled feature, on the held-out rows of one fold."""
     rows = materialize(_gate_rows(t), "rows")
     first = rows.agg(F.max("fold").alias("f")).first()["f"]
     part = rows.where(F.col("fold") == first)
     return m.permutation_importance(
-        part.where("role = 'train'"), part.where("role = 'train'"), _FEATURES, rounds=5, depth=3
+        part.where("role = 'train'"), part.where("role = 'test'"), _FEATURES, rounds=5, depth=3
     )
 
 
