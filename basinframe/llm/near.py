@@ -278,7 +278,7 @@ def near_duplicates(
     band_rows: int = 4,
     share: int = 2000,
     crowd: int = 64,
-    block: int = 400,
+    block: int = 800,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
