@@ -13,3 +13,18 @@ def test_scans_read_only_what_they_need(spark, sf):
     assert "ReadSchema: struct<l_discount:double>" in plan
     plan = entry.queries()["country_flows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan
+
+
+def test_intermediate_tables_can_be_discarded(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pathlib import Path
+from basinframe.session import discard_scratch, local_session, materialize
+spark = local_session("2", "scratch", spark__checkpoint__dir="{tmp_path}")
+assert materialize(spark.range(3)).count() == 3 and len(list(Path("{tmp_path}").rglob("*.parquet"))) > 0
+discard_scratch(spark)
+assert not list(Path("{tmp_path}").rglob("*.parquet"))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
