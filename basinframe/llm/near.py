@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basinframe.llm.common import chunks, id_ddl, mix64
+from basinframe.llm.common import chunks, id_ddl, mix64, utf8
 from basinframe.llm.repeats import gram_hashes, keyed, stored, word_symbols
 
 _BLOCK = 1 << 17
@@ -270,19 +270,13 @@ def _pivots_needed(mixed: DataFrame) -> int:
     return need.agg(F.max("need")).first()[0] or 0
 
 
-def near_duplicates(
-    docs: DataFrame,
-    size: int = 5,
-    percent: int = 80,
-    bands: int = 20,
-    band_rows: int = 4,
-    share: int = 2000,
-    crowd: int = 64,
-    block: int = 800,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Group documents linked by 100 * intersection >= ``percent`` * union of their shingles.
+def _grouped(
+    docs: DataFrame, size: int, percent: int, bands: int, band_rows: int, share: int, crowd: int, block: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketch; the classes (root, k1, k2, _d); the components (root, least)).
+
+    ``least`` is the component's first row by id, then by row hash: (whether the id is
+    null, first, _d).
 
     Equal sets are one class. Classes that agree on a band of the signature share a
     bucket; of a bucket with several components, a member becomes a pivot, is compared
@@ -293,11 +287,6 @@ def near_duplicates(
     no link within a bucket is lost and copies of one text are never paired with each
     other. With the default bands a pair at 0.85 shares no bucket with probability 4e-7,
     one at 0.8 with 3e-5.
-
-    Per row: the id, ``n_shingles``, ``component_id`` (the least id of its component) and
-    ``kept`` (whether that is its own). A null or wordless text has no shingles, its own id
-    as component and stays; repeated rows are copies, all of the least id are kept; null
-    ids count as larger than others; no rows give no rows.
     """
     rows = keyed(docs, id_col, text_col)
     sketch = stored(_sketch(rows, size, bands, band_rows), "sketch")
@@ -338,10 +327,63 @@ def near_duplicates(
     if roots is None:
         roots = texts.select(F.col("_d").alias("node"), F.col("_d").alias("root"))
     named = classes.join(roots.withColumnRenamed("node", "_d"), "_d", "left").withColumn("root", F.coalesce("root", "_d"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select("k1", "k2", "component_id")
+    names = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "_d")).alias("least"))
+    return sketch, named, names
+
+
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    bands: int = 20,
+    band_rows: int = 4,
+    share: int = 2000,
+    crowd: int = 64,
+    block: int = 800,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Group documents linked by 100 * intersection >= ``percent`` * union of their shingles.
+
+    See :func:`_grouped` for how links are found.
+
+    Per row: the id, ``n_shingles``, ``component_id`` (the least id of its component) and
+    ``kept`` (whether that is its own). A null or wordless text has no shingles, its own id
+    as component and stays; repeated rows are copies, all of the least id are kept; null
+    ids count as larger than others; no rows give no rows.
+    """
+    sketch, named, names = _grouped(docs, size, percent, bands, band_rows, share, crowd, block, id_col, text_col)
+    named = named.join(names, "root").select("k1", "k2", F.col("least.first").alias("component_id"))
     out = sketch.join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "_id")
     return out.select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept")
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    bands: int = 20,
+    band_rows: int = 4,
+    share: int = 2000,
+    crowd: int = 64,
+    block: int = 800,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Whole rows of ``docs``: one of each component of :func:`near_duplicates`.
+
+    It is the row of the least id, a null id after all others, then of the least hash of id
+    and text; of rows that agree in both, the first by all columns. Rows are told apart by
+    that hash, so ids may be null or used again. Rows without words have no shingles and all stay.
+    """
+    *_, names = _grouped(docs, size, percent, bands, band_rows, share, crowd, block, id_col, text_col)
+    worded = F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
+    rows = docs.where(worded).select(F.struct(docs.columns).alias("_doc"), F.xxhash64(id_col, utf8(text_col)).alias("_d"))
+    # Repeated rows are cut before the shuffle, by the limit on the row number.
+    one = W.partitionBy("_d").orderBy("_doc")
+    rows = rows.withColumn("_row", F.row_number().over(one)).where("_row = 1")
+    rows = rows.join(names.select("least._d"), "_d", "left_semi").select("_doc.*")
+    return rows.unionByName(docs.where(~worded))

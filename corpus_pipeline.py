@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basinframe.llm import near, packing, private, quality, suffixes
@@ -23,12 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group linked by 5-word shingles at 0.8."""
-    kept = near.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # Rows that repeat an id: one of them.
-    one = W.partitionBy("doc_id").orderBy("text")
-    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(docs.columns)
+    """Keep one row of each group linked by 5-word shingles at 0.8, that of the least id."""
+    return near.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
