@@ -80,77 +80,94 @@ def _each(kind: str, fn) -> Column:
     return F.transform(F.col(f"_{kind}"), lambda s: fn(s, kind))
 
 
-def _context(text: Column, s: Column, kind: Column, reach: int) -> Column:
-    """Up to ``reach`` characters of the same line on either side of a span, whole words only."""
-    low = F.greatest(s["start"] - reach, F.lit(0))
-    left = F.substring_index(F.substring(text, low + 1, s["start"] - low), "\n", -1)
-    left = F.when((low > 0) & (F.length(left) == s["start"] - low), F.regexp_replace(left, rf"^{TERM}", "")).otherwise(left)
-    right = F.substring_index(F.substring(text, s["end"] + 1, F.lit(reach)), "\n", 1)
-    right = F.when(F.length(right) == reach, F.regexp_replace(right, rf"(?<!{TERM[:-1]}){TERM}$", "")).otherwise(right)
-    return F.struct(
-        kind.alias("kind"),
-        F.lower(s["value"]).alias("entity"),
-        left.alias("left"),
-        (s["start"] - F.length(left)).alias("left_at"),
-        right.alias("right"),
-        s["end"].alias("right_at"),
-    )
+def _words(text: Column, shortest: int) -> Column:
+    """Distinct terms of a text in lower case."""
+    words = F.array_distinct(F.transform(F.split(text, NOT_TERM), F.lower))
+    return F.filter(words, lambda w: F.length(w) >= shortest)
 
 
-def _disclosing(base: DataFrame, docs: DataFrame, text: Column, theta: float, support: int, shortest: int) -> DataFrame:
-    """(row, start, end) of the terms near an entity that reveal it.
+def _reveals(n: Column, c_te: Column, c_t: Column, c_e: Column, theta: float) -> Column:
+    """Whether c(t, e) documents of both are enough; more of them never are too many.
 
-    Of N documents let e occur in c(e), t in c(t), and t near e in c(t, e). The term
-    discloses the entity if their pointwise mutual information log(N c(t,e) / (c(t) c(e)))
-    reaches ``theta`` times the entity's own information log(N / c(e)), and the two were
-    seen together in ``support`` documents at least.
+    A term seen with the entity no more often than by chance reveals nothing.
     """
-    near = base.where("_hit").select("_row", F.explode("_near").alias("c")).select("_row", "c.*")
-    tokens = F.concat(matches(F.col("left"), TERM, F.col("left_at")), matches(F.col("right"), TERM, F.col("right_at")))
-    seen = (
-        near.select("_row", "kind", "entity", F.explode(tokens).alias("s"))
-        .where(F.length("s.value") >= shortest)
-        .select("_row", "kind", "entity", "s.start", "s.end", F.lower("s.value").alias("term"))
-    )
-    seen = materialize(seen, "near")
-    together = (
-        seen.select("_row", "kind", "entity", "term").distinct().groupBy("kind", "entity", "term").agg(F.count("*").alias("c_te"))
-    ).where(F.col("c_te") >= support)
-    together = materialize(together, "together")
-    words = F.array_distinct(F.transform(F.split(text, NOT_TERM), F.lower))
-    c_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    c_e = near.select("_row", "kind", "entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("c_e"))
-    n = F.lit(docs.count())
-    told = (
-        together.join(c_t, "term")
-        .join(c_e, ["kind", "entity"])
-        .where(F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) >= theta * F.log(n / F.col("c_e")) - 1e-9)
-        .select("kind", "entity", "term")
-    )
-    return seen.join(told, ["kind", "entity", "term"]).select("_row", "start", "end").distinct()
+    c_te, both = c_te.cast("double"), c_t.cast("double") * c_e
+    return (n * c_te > both) & (F.log(n * c_te / both) >= theta * F.log(n / c_e) - 1e-9)
 
 
-def _found(
-    docs: DataFrame, text_col: str, theta: float, support: int, reach: int, shortest: int
-) -> tuple[DataFrame, DataFrame]:
-    """Base spans of every row, stored, and the disclosing terms by row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = base_spans(text)
-    base = docs.withColumns({f"_{k}": c for k, c in own.items()})
+def _disclosing(base: DataFrame, docs: DataFrame, text: Column, theta: float, shortest: int) -> DataFrame:
+    """(row, terms): for every row with an entity, its terms that reveal one of its entities.
+
+    Of N documents let e occur in c(e), t in c(t), and both in c(t, e), wherever they are in
+    the text. The term discloses the entity if their pointwise mutual information
+    log(N c(t,e) / (c(t) c(e))) is positive and reaches ``theta`` times the entity's own
+    information log(N / c(e)). For an entity of one document this is the term's own
+    information log(N / c(t)) against log N.
+
+    c(t, e) lies between 1 and the lesser of c(t) and c(e). Where 1 is enough, or the
+    greatest value is not, the pair is decided without counting; only the others are paired.
+    """
+    hits = base.where("_hit")
+    entity = F.concat(*(_each(k, lambda s, k: F.struct(F.lit(k).alias("kind"), F.lower(s["value"]).alias("entity"))) for k in KINDS))
+    entities = hits.select("_row", F.explode(F.array_distinct(entity)).alias("e")).select("_row", "e.*")
+    c_e = materialize(entities.groupBy("kind", "entity").agg(F.count("*").alias("c_e")), "entities")
+    most = c_e.agg(F.max("c_e")).first()[0] or 1
+    n = F.lit(docs.count()).cast("double")
+    at_most = lambda c_t, e: _reveals(n, F.least(c_t, e), c_t, e, theta)
+    c_t = docs.select(F.explode(_words(text, shortest)).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    c_t = materialize(c_t.where(at_most(F.col("c_t"), F.lit(most))), "terms")
+    by_row = entities.join(c_e, ["kind", "entity"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "c_e")).alias("entities"))
+    terms = hits.select("_row", F.explode(_words(text, shortest)).alias("term")).join(c_t, "term")
+    sure = lambda e: _reveals(n, F.lit(1), F.col("c_t"), e["c_e"], theta)
+    judged = (
+        materialize(terms, "candidates").join(materialize(by_row, "by_row"), "_row")
+        .select(
+            "_row", "term", "c_t",
+            F.exists("entities", sure).alias("sure"),
+            F.filter("entities", lambda e: ~sure(e) & at_most(F.col("c_t"), e["c_e"])).alias("open"),
+        )
+        .where("sure or size(open) > 0")
+    )
+    judged = materialize(judged, "judged")
+    pairs = judged.select("_row", "term", "c_t", F.explode("open").alias("e")).select("_row", "term", "c_t", "e.*")
+    together = pairs.groupBy("term", "kind", "entity", "c_t", "c_e").agg(F.count("*").alias("c_te"))
+    told = together.where(_reveals(n, F.col("c_te"), F.col("c_t"), F.col("c_e"), theta)).select("term", "kind", "entity")
+    told = pairs.join(materialize(told, "told"), ["term", "kind", "entity"]).select("_row", "term")
+    found = judged.where("sure").select("_row", "term").unionByName(told)
+    return found.groupBy("_row").agg(F.collect_set("term").alias("_told"))
+
+
+def _found(docs: DataFrame, text: Column) -> DataFrame:
+    """Base spans of every row, and a number of the row."""
+    base = docs.withColumns({f"_{k}": c for k, c in base_spans(text).items()})
     base = base.withColumn("_hit", sum(F.size(f"_{k}") for k in KINDS) > 0)
-    contexts = F.concat(
-        *(_each(k, lambda s, k: _context(text, s, F.lit(k), reach)) for k in KINDS)
-    )
-    base = base.withColumn("_near", F.when(F.col("_hit"), contexts)).withColumn("_row", F.monotonically_increasing_id())
-    return base, text
+    return base.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _occurrences(text: Column) -> Column:
+    """Spans of all occurrences of the terms ``_told`` that do not lie inside a base span."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.split(text, TERM, -1)
+    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+
+    def add(acc, x):
+        a = acc["at"] + x["g"]
+        b = a + F.length(x["m"])
+        span = F.struct(a.alias("start"), b.alias("end"), F.lit("").alias("value"))
+        told = F.array_contains("_told", F.lower(x["m"]))
+        return F.struct(b.alias("at"), F.when(told, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    spans = F.aggregate(both, start, add, lambda acc: acc["out"])
+    own = F.concat(*(F.col(f"_{k}") for k in KINDS))
+    return F.filter(spans, lambda s: ~F.exists(own, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])))
 
-def _with_terms(base: DataFrame, terms: DataFrame) -> DataFrame:
+
+def _with_terms(base: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
     """Rows with a base span get their term spans; the others take no part in the join."""
-    by_row = terms.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit("").alias("value")))).alias("_term"))
-    hits = base.where("_hit").join(by_row, "_row", "left")
     none = F.array().cast(_SPANS)
-    hits = hits.withColumn("_term", F.coalesce(F.col("_term").cast(_SPANS), none))
+    hits = base.where("_hit").join(terms, "_row", "left")
+    hits = hits.withColumn("_term", F.when(F.col("_told").isNotNull(), _occurrences(text)).otherwise(none)).drop("_told")
     return hits.unionByName(base.where("not _hit").withColumn("_term", none))
 
 
@@ -162,8 +179,6 @@ def _joined(kinds) -> Column:
 def find_private(
     docs: DataFrame,
     theta: float = 0.8,
-    support: int = 2,
-    reach: int = 80,
     shortest: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -175,15 +190,16 @@ def find_private(
     (terms after them). Places are code points, ends exclusive. A null text is an empty
     one; repeated rows repeat and count as documents of their own; other columns are ignored.
 
-    Candidate terms are those within ``reach`` characters of an entity on its line, of
-    ``shortest`` letters or more; see :func:`_disclosing` for what reveals. All counts are
-    over all documents. Only rows with a span enter joins by row.
+    Candidates are all terms of ``shortest`` letters or more of a text with an entity; see
+    :func:`_disclosing` for what reveals. A term that reveals an entity has a span at each
+    of its occurrences in the documents with that entity. All counts are over all
+    documents. Only rows with a span enter joins by row.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    base, text = _found(rows, "_text", theta, support, reach, shortest)
-    base = materialize(base.drop("_text"), "private")
-    terms = _disclosing(base, rows, text, theta, support, shortest)
-    return _with_terms(base, terms).select(
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    base = materialize(_found(rows, text).withColumn("_text", F.when(F.col("_hit"), text)), "private")
+    terms = _disclosing(base, rows, text, theta, shortest)
+    return _with_terms(base, terms, text).select(
         id_col,
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ORDER),
         _joined(KINDS).alias("base"),
@@ -194,17 +210,15 @@ def find_private(
 def sanitise(
     docs: DataFrame,
     theta: float = 0.8,
-    support: int = 2,
-    reach: int = 80,
     shortest: int = 4,
     text_col: str = "text",
 ) -> DataFrame:
     """The documents with their spans generalised to the kind, as ``[EMAIL]``, and disclosing
     terms to ``[TERM]``. Overlapping spans become one, named after the first. Texts without a
     span, null ones too, and all other columns stay as they are."""
-    base, text = _found(docs, text_col, theta, support, reach, shortest)
-    base = materialize(base, "private")
-    terms = _disclosing(base, docs, text, theta, support, shortest)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = materialize(_found(docs, text), "private")
+    terms = _disclosing(base, docs, text, theta, shortest)
     named = F.concat(
         *(
             _each(k, lambda s, k: F.struct(s["start"].alias("a"), F.lit(ORDER.index(k)).alias("i"), s["end"].alias("b"), F.lit(k).alias("k")))
@@ -221,5 +235,5 @@ def sanitise(
 
     done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     masked = F.aggregate(F.array_sort(named), start, add, done)
-    out = _with_terms(base, terms).withColumn(text_col, F.when(F.col("_hit"), masked).otherwise(F.col(text_col)))
+    out = _with_terms(base, terms, text).withColumn(text_col, F.when(F.col("_hit"), masked).otherwise(F.col(text_col)))
     return out.select(docs.columns)
