@@ -219,7 +219,7 @@ def _screened(t):
         F.concat(F.lit("N"), "s_nationkey").alias("iso3"), F.lit("nowhere").alias("country_name"), F.lit("PR").alias("program"), F.lit("L").alias("list_source")
     )
     strip = curve_strip(feeds.strip_quotes(t)).withColumn("settle_usd_bbl", F.col("settle_usd_bbl") * 0 + 82.49)
-    return screen_blocks(base, wells=mapped_wells(t), regimes=regimes, costs=costs, strip=strip, programs=programs, n_draws=50)
+    return screen_blocks(base, wells=mapped_wells(t), regimes=regimes, costs=costs, strip=strip, programs=programs)
 
 
 @query("block_screening")
