@@ -22,6 +22,12 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def table_columns(df: DataFrame, **names: str) -> DataFrame:
+    """The named columns alone, under the names an operator works with, so that no other
+    column of the caller can clash with its own."""
+    return df.select(*(F.col(f"`{column}`").alias(name) for name, column in names.items()))
+
+
 def id_ddl(df: DataFrame, column: str) -> str:
     return f"`{column}` {df.schema[column].dataType.simpleString()}"
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinframe.llm import near, packing, phrases, pieces, pivots, private, quality, suffixes, tokens, urls
+from basinframe.llm import audit, near, packing, phrases, pieces, pivots, positive, private, quality, suffixes, tokens, urls, variants
 from basinframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,56 @@ def _(spark, folder):
 @query("op10_suffix_dedup")
 def _(spark, folder):
     return suffixes.repeat_digests(table(spark, folder, "documents"))
+
+
+_OP13 = """
+with words as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+marks as (
+  select doc_id, max(cast(quality = 1 as integer)) as good, max(cast(toxic = 1 as integer)) as toxic from labels group by 1),
+masks as (
+  select part, doc_id,
+    cast(len(w) < 100 as integer) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) as integer)
+    + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as integer)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as integer)
+    + 16 * cast(coalesce(doc_id > min(doc_id) over (partition by t), false) as integer) as mask from words),
+cells as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from masks left join marks using (doc_id) group by all),
+filters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from filters a, filters b, filters c, filters d, filters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+  select filter_order, s as step, bits[s] as bit, cast(coalesce(list_sum(bits[1:s - 1]), 0) as integer) as before
+  from orders, (select unnest([1, 2, 3, 4, 5]) as s)),
+counts as (
+  select part, filter_order, step, bit,
+    sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+    sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end) as removed,
+    sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & before = 0 and mask & bit <> 0 then good else 0 end) as good_lost,
+    sum(case when mask & before = 0 and mask & bit <> 0 then toxic else 0 end) as toxic_lost
+  from cells, steps group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from counts
+"""
+
+
+@query("op13_filter_audit", _OP13)
+def _(spark, folder):
+    return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_spelling_variants")
+def _(spark, folder):
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op11_quality_score")
+def _(spark, folder):
+    return positive.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
