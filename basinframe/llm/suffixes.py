@@ -12,107 +12,208 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinframe.llm.repeats import byte_symbols, candidates, finer_runs, finished, run_texts, stored
+from basinframe.session import shuffle_width
+
+
+#: Entries handled at once, and "no limit" for a count of shared symbols.
+_BLOCK = 1 << 16
+_ALL = np.uint16(65535)
 
 
 class BucketQueues:
-    """A queue of suffix positions per first symbol: out in order of symbol, then of entry.
+    """A queue of suffixes per first symbol: out in order of symbol, then of entry.
 
-    Suffixes enter in the order of the suffixes they precede, so a queue is in suffix
-    order by itself. Beyond ``budget`` entries in memory, all queues move to a temporary
-    file without a name, which goes with the process.
+    An entry is a suffix's position and the number of symbols it shares with the entry
+    before it. Suffixes enter in the order of the suffixes they precede, so the queues
+    together are a priority queue. Beyond ``budget`` entries in memory, all move to a
+    temporary file without a name, which goes with the process.
     """
 
+    spills = 0
+
     def __init__(self, budget: int):
         self.budget, self.held, self.file = budget, 0, None
-        self.memory: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.memory: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         self.disk: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
-    def push(self, positions: np.ndarray, symbols: np.ndarray) -> None:
-        if not len(positions):
-            return
-        order = np.argsort(symbols, kind="stable")
-        positions, symbols = positions[order], symbols[order]
-        cuts = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(symbols)]):
-            self.memory[int(symbols[a])].append(positions[a:b])
+    def push(self, symbol: int, positions: np.ndarray, shared: np.ndarray) -> None:
+        self.memory[symbol].append((positions, shared))
         self.held += len(positions)
         if self.held > self.budget:
-            self.spill()
+            self._spill()
+
+    def push_all(self, positions: np.ndarray, symbols: np.ndarray, shared: np.ndarray) -> None:
+        """Entries whose symbols are in order."""
+        cuts = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])).tolist() if len(symbols) else []
+        for a, b in zip(cuts, [*cuts[1:], len(symbols)]):
+            self.push(int(symbols[a]), positions[a:b], shared[a:b])
 
-    def spill(self) -> None:
+    def _spill(self) -> None:
+        BucketQueues.spills += 1
         self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(0, 2)
         for symbol, parts in self.memory.items():
-            for part in parts:
+            own, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for low in range(0, len(own), _BLOCK):
+                part = own[low : low + _BLOCK]
                 self.disk[symbol].append((self.file.tell(), len(part)))
-                self.file.write(part.astype(np.int64).tobytes())
+                self.file.write(part.astype(np.int32).tobytes())
+                self.file.write(shared[low : low + _BLOCK].astype(np.uint16).tobytes())
         self.memory.clear()
         self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        parts = []
-        for at, n in self.disk.pop(symbol, ()):
-            self.file.seek(at)
-            parts.append(np.frombuffer(self.file.read(8 * n), np.int64))
-        own = self.memory.pop(symbol, [])
-        self.held -= sum(map(len, own))
-        parts += own
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    def _read(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        self.file.seek(at)
+        own = np.frombuffer(self.file.read(4 * n), np.int32)
+        return own, np.frombuffer(self.file.read(2 * n), np.uint16)
+
+    def pop(self, symbol: int):
+        """Blocks (positions, shared) of a symbol, those that enter meanwhile included."""
+        while symbol in self.disk or symbol in self.memory:
+            if symbol in self.disk:
+                # What is in memory came later, and what comes now later still.
+                for at, n in self.disk.pop(symbol):
+                    yield self._read(at, n)
+            else:
+                parts = self.memory.pop(symbol)
+                self.held -= sum(len(p) for p, _ in parts)
+                own, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+                for low in range(0, len(own), _BLOCK):
+                    yield own[low : low + _BLOCK], shared[low : low + _BLOCK]
+
+    def pop_back(self, symbol: int):
+        """Blocks of a symbol from the last entry to the first, each block reversed."""
+        for own, shared in reversed(self.memory.pop(symbol, ())):
+            self.held -= len(own)
+            yield own[::-1], shared[::-1]
+        for at, n in reversed(self.disk.pop(symbol, ())):
+            own, shared = self._read(at, n)
+            yield own[::-1], shared[::-1]
+
+
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of ``values[low : high + 1]`` for each pair of places, by halves."""
+    span = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    table = np.empty((int(span.max(initial=0)) + 1, len(values)), values.dtype)
+    table[0] = values
+    for k in range(1, len(table)):
+        half, n = 1 << (k - 1), len(values) - (1 << k) + 1
+        np.minimum(table[k - 1, :n], table[k - 1, half : half + n], out=table[k, :n])
+    return np.minimum(table[span, low], table[span, high - (1 << span.astype(np.int64)) + 1])
+
+
+class _Shared:
+    """Common prefixes of suffixes that enter one queue, from those of the suffixes behind them.
+
+    Two suffixes with one first symbol share one symbol more than the two behind them do,
+    which share the least common prefix of all suffixes taken between the two.
+    """
+
+    def __init__(self, symbols: int, cap: int):
+        self.cap = cap
+        self.low = np.zeros(symbols, np.uint16)
+
+    def fresh(self) -> None:
+        """The next suffixes share nothing with those before."""
+        self.low[:] = 0
+
+    def of(self, shared: np.ndarray, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """For a block with common prefixes ``shared``, of which ``places`` put a suffix into
+        the queues ``symbols`` (in order of symbol, then place), what those share."""
+        head = np.append(True, symbols[1:] != symbols[:-1])
+        last = np.append(head[1:], True)
+        low = np.where(head, 0, np.append(0, places[:-1] + 1))
+        found = _least(shared, low, places)
+        found[head] = np.minimum(found[head], self.low[symbols[head]])
+        np.minimum(self.low, shared.min(), out=self.low)
+        after = places[last] + 1
+        rest = np.minimum.accumulate(shared[::-1])[::-1]
+        self.low[symbols[last]] = np.where(after < len(shared), rest[np.minimum(after, len(shared) - 1)], _ALL)
+        return np.minimum(found, self.cap - 1) + np.uint16(1)
 
 
 def _suffix_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the last counts as such)."""
     n = len(text)
-    rise = np.sign(np.diff(text.astype(np.int32), append=text[-1]))
+    rise = np.sign(np.diff(text, append=text[-1])).astype(np.int8)
     rise[-1] = 1
-    known = np.where(rise != 0, np.arange(n), n)
+    known = np.where(rise != 0, np.arange(n, dtype=np.int32), np.int32(n))
     return rise[np.minimum.accumulate(known[::-1])[::-1]] > 0
 
 
-def _induce(text, small, seeds, budget) -> np.ndarray:
-    """All suffixes in order, from the seeds (leftmost small suffixes) in order.
+def _seam(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    """Symbols that two suffixes share, at most ``cap``; separators are all different."""
+    n = min(cap, len(text) - max(a, b))
+    x, y = text[a : a + n], text[b : b + n]
+    stop = np.flatnonzero((x != y) | (x <= 1))
+    return int(stop[0]) if len(stop) else n
+
 
+def _induce(text, small, seeds, seed_shared, budget, cap):
+    """All suffixes from the last to the first, from the seeds (leftmost small suffixes) in order.
+
+    Yields blocks (positions, symbols shared with the suffix yielded before, up to ``cap``).
     Large suffixes follow from left to right, then small ones from right to left: each
-    taken suffix puts the one before it into that one's queue. Separators (symbol 1) are in
-    order by place.
+    taken suffix puts the one before it into that one's queue, with what it shares there.
+    Separators (symbol 1) are in order by place. A ``cap`` of 0 leaves common prefixes out.
     """
-    last, own_places = int(text.max()), np.flatnonzero(text == 1)
-    by_symbol = text[seeds]
-    starts = np.searchsorted(by_symbol, np.arange(last + 2))
-    queues, large = BucketQueues(budget), {}
+    last = int(text.max())
+    starts = np.searchsorted(text[seeds], np.arange(last + 2))
+    queues, large, shares = BucketQueues(budget), BucketQueues(budget), _Shared(last + 1, cap)
+
+    def put(own, shared, kind):
+        places = np.flatnonzero(own > 0)
+        places = places[small[own[places] - 1] == kind]
+        if len(places):
+            symbols = text[own[places] - 1]
+            order = np.argsort(symbols, kind="stable")
+            places, symbols = places[order], symbols[order]
+            new = shares.of(shared, places, symbols) if cap else np.zeros(len(places), np.uint16)
+            queues.push_all(own[places] - 1, symbols, new)
+        elif cap:
+            np.minimum(shares.low, shared.min(initial=_ALL), out=shares.low)
+
+    def headed(shared, first):
+        shared = shared.copy()
+        shared[0] = first
+        return shared
+
     for c in range(last + 1):
-        parts, now = [], queues.pop(c)
-        while len(now):
-            parts.append(now)
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            same = text[before] == c
-            queues.push(before[~same], text[before[~same]])
-            now = before[same]
-        large[c] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        own = seeds[starts[c] : starts[c + 1]]
-        before = own[own > 0] - 1
-        before = before[~small[before]]
-        queues.push(before, text[before])
-    queues, out = BucketQueues(budget), []
-    queues.push(np.array([len(text) - 1]), text[-1:])
+        shares.fresh()
+        before = None
+        for own, shared in queues.pop(c):
+            shared = headed(shared, 0) if before is None else shared
+            large.push(c, own, shared)
+            put(own, shared, False)
+            before = int(own[-1])
+        for at in range(starts[c], starts[c + 1], _BLOCK):
+            own, shared = (x[at : min(at + _BLOCK, starts[c + 1])] for x in (seeds, seed_shared))
+            if at == starts[c]:
+                shared = headed(shared, 0 if before is None else _seam(text, before, int(own[0]), cap))
+            put(own, shared, False)
+    shares.fresh()
+    queues.push(0, np.array([len(text) - 1], np.int32), np.zeros(1, np.uint16))
     for c in range(last, -1, -1):
-        parts, now = [], queues.pop(c)
-        while len(now):
-            parts.append(now)
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            same = text[before] == c
-            queues.push(before[~same], text[before[~same]])
-            now = before[same]
+        shares.fresh()
+        before = None
+        blocks = queues.pop(c)
         if c == 1:
-            parts = [own_places[::-1]]
-        down = large.pop(c)[::-1]
-        before = down[down > 0] - 1
-        before = before[small[before]]
-        queues.push(before, text[before])
-        out += [*parts, down]
-    return np.concatenate(out)[::-1]
+            list(blocks)
+            own = np.flatnonzero(text == 1)[::-1].astype(np.int32)
+            blocks = [(own[k : k + _BLOCK], np.zeros(len(own[k : k + _BLOCK]), np.uint16)) for k in range(0, len(own), _BLOCK)]
+        for own, shared in blocks:
+            shared = headed(shared, 0) if before is None else shared
+            put(own, shared, True)
+            yield own, shared
+            before = int(own[-1])
+        ahead = None
+        for own, shared in large.pop_back(c):
+            if ahead is None:
+                ahead = 0 if before is None else _seam(text, before, int(own[0]), cap)
+            moved = np.append(np.uint16(ahead), shared[:-1])
+            ahead = shared[-1]
+            put(own, moved, True)
+            yield own, moved
 
 
 def _rank_names(names: np.ndarray) -> np.ndarray:
@@ -121,105 +222,145 @@ def _rank_names(names: np.ndarray) -> np.ndarray:
     The string ends with its least name. Only names that still tie are sorted again.
     """
     n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(names, kind="stable").astype(np.int32)
     # A tie's members share the place of the first of them.
-    sorted_rank = rank[order]
-    head = np.append(True, sorted_rank[1:] != sorted_rank[:-1])
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    head = np.append(True, np.diff(names[order]) != 0)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     width = 1
     while True:
         size = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(size[rank] > 1)
+        tied = np.flatnonzero(size[rank] > 1).astype(np.int32)
+        del size
         if not len(tied):
-            return np.argsort(rank, kind="stable")
+            return np.argsort(rank, kind="stable").astype(np.int32)
         nxt = rank[np.minimum(tied + width, n - 1)]
         own = rank[tied]
-        at = np.argsort(own * n + nxt)
+        at = np.argsort(own.astype(np.int64) * n + nxt)
         a, b, who = own[at], nxt[at], tied[at]
         new_group = np.append(True, a[1:] != a[:-1])
         head = new_group | np.append(True, b[1:] != b[:-1])
-        index = np.arange(len(at))
-        first = np.maximum.accumulate(np.where(new_group, index, 0))
-        lead = np.maximum.accumulate(np.where(head, index, 0))
+        index = np.arange(len(at), dtype=np.int32)
+        first = np.maximum.accumulate(np.where(new_group, index, np.int32(0)))
+        lead = np.maximum.accumulate(np.where(head, index, np.int32(0)))
         rank[who] = a + lead - first
         width *= 2
 
 
-def suffix_array(strings: list[bytes], budget: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of all strings in order: the array, the joined text and where each string begins.
-
-    Separators are smaller than all bytes and differ, so no order depends on what follows
-    a string. Sorted leftmost small substrings get names; the order of the string of names
-    seeds the final induction.
-    """
+def _joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all strings, each after a separator (1), and a last 0; where strings begin."""
     lens = np.fromiter(map(len, strings), np.int64, len(strings))
     begin = np.cumsum(lens + 1) - lens
-    total = int(lens.sum()) + len(strings) + 1
-    text = np.ones(total, np.int16)
-    raw = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 2
-    inside = np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(len(raw))
-    text[inside] = raw
-    text[-1] = 0
-    text[0] = 1
+    text = np.frombuffer(b"\0".join([b"", *strings, b""]), np.uint8).astype(np.int16)
+    text += 2
+    text[begin - 1] = 1
+    text[0], text[-1] = 1, 0
+    return text, begin
+
+
+def _neighbours_share(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """Symbols that each suffix of ``order`` shares with the one before it, at most ``cap``."""
+    flat = np.zeros(len(text) + cap + 8, np.uint8)
+    flat[: len(text)] = text.astype(np.uint8)
+    words = np.ndarray((len(flat) - 7,), np.uint64, flat, strides=(1,))
+    out = np.full(len(order), cap, np.uint16)
+    out[:1] = 0
+    live = np.arange(1, len(order), dtype=np.int32)
+    for step in range(0, cap, 8):
+        differ = words[order[live] + step] ^ words[order[live - 1] + step]
+        done = differ != 0
+        low = differ[done]
+        low &= np.uint64(0) - low
+        out[live[done]] = np.minimum(step + (np.frexp(low.astype(np.float64))[1] - 1) // 8, cap)
+        live = live[~done]
+        if not len(live):
+            break
+    # No common prefix goes past a separator; those hold none at all.
+    ends = np.append(np.flatnonzero(text <= 1), len(text))
+    left = ends[np.searchsorted(ends, order)] - order
+    out[1:] = np.minimum(out[1:], np.minimum(left[1:], left[:-1]))
+    return out
+
+
+def sorted_suffixes(strings: list[bytes], cap: int, budget: int = 1 << 20):
+    """Suffixes of all strings from the last to the first, as blocks (positions, shared).
+
+    Positions are those in the joined text; ``shared`` counts the symbols a suffix shares
+    with the one yielded before it, up to ``cap``. Separators are smaller than all bytes
+    and differ, so no order depends on what follows a string. Leftmost small substrings,
+    sorted by a first induction, get names; the order of the string of names seeds the
+    final one. Both inductions go through queues of at most ``budget`` entries in memory;
+    besides, the text takes three bytes a symbol, and its seeds, at most every other
+    symbol, some thirty bytes each.
+    """
+    text, _ = _joined(strings)
+    total = len(text)
     small = _suffix_types(text)
     # Neighbouring separators (empty strings) are told apart by place like all others.
     separator = text == 1
-    small[separator] = True
-    seeds = np.flatnonzero(small & np.append(False, ~small[:-1]) | separator)
-    if seeds[-1] != total - 1:
-        seeds = np.append(seeds, total - 1)
+    small |= separator
+    is_seed = separator | (small & np.append(False, ~small[:-1]))
+    is_seed[-1] = True
+    seeds = np.flatnonzero(is_seed).astype(np.int32)
     first = seeds[np.argsort(text[seeds], kind="stable")]
-    rough = _induce(text, small, first, budget)
-    is_seed = np.zeros(total, bool)
-    is_seed[seeds] = True
-    rough = rough[is_seed[rough]]
-    rough = np.concatenate([rough[:1], np.flatnonzero(separator), rough[1:][text[rough[1:]] > 1]])
+    none = np.zeros(len(seeds), np.uint16)
+    rough = np.concatenate([own[is_seed[own]] for own, _ in _induce(text, small, first, none, budget, 0)])[::-1]
+    del first, separator
     # Equal neighbours in this order share a name: same length, same symbols.
-    nxt = np.append(seeds[1:], total)
-    length = np.zeros(total, np.int64)
-    length[seeds] = np.minimum(nxt + 1, total) - seeds
+    length = np.minimum(np.append(seeds[1:], total) + 1, total).astype(np.int32) - seeds
+    at = (np.cumsum(is_seed, dtype=np.int32) - np.int32(1))[rough]
     a, b = rough[:-1], rough[1:]
-    same = (length[a] == length[b]) & (text[a] > 1)
-    step, live = 0, np.flatnonzero(same)
+    span = length[at[:-1]]
+    same = (span == length[at[1:]]) & (text[a] > 1)
+    step, live = 0, np.flatnonzero(same).astype(np.int32)
     while len(live):
-        live = live[length[a[live]] > step]
+        live = live[span[live] > step]
         differ = text[a[live] + step] != text[b[live] + step]
         same[live[differ]] = False
         live = live[~differ]
         step += 1
     # A substring that ends at a separator ends at one of its own.
-    tail = a[same] + length[a[same]] - 1
-    same[np.flatnonzero(same)[text[tail] <= 1]] = False
-    name = np.zeros(total, np.int64)
-    name[rough] = np.append(0, np.cumsum(~same))
-    order = seeds[_rank_names(name[seeds])]
-    return _induce(text, small, order, budget), text, begin
-
-
-def repeated_windows(strings: list[bytes], windows: list[int], copies: list[int], width: int) -> list[np.ndarray]:
+    same[np.flatnonzero(same)[text[a[same] + span[same] - 1] <= 1]] = False
+    name = np.empty(len(seeds), np.int32)
+    name[at] = np.append(0, np.cumsum(~same))
+    del a, b, same, span, at, rough, length, is_seed
+    order = seeds[_rank_names(name)]
+    del seeds, name
+    yield from _induce(text, small, order, _neighbours_share(text, order, cap), budget, cap)
+
+
+def repeated_windows(
+    strings: list[bytes], windows: list[int], copies: list[int], width: int, budget: int = 1 << 20
+) -> list[np.ndarray]:
     """For each string, which of its first ``windows`` substrings of ``width`` bytes occur
-    twice or more among all strings, a string counting ``copies`` times."""
-    order, text, begin = suffix_array(strings)
+    twice or more among all strings, a string counting ``copies`` times.
+
+    The sorted suffixes are read as they come: a window joins the group of the one before
+    if both share ``width`` bytes. Suffixes with fewer bytes left are in no group.
+    """
     lens = np.fromiter(map(len, strings), np.int64, len(strings))
-    owner = np.full(len(text), -1)
+    begin = np.cumsum(lens + 1) - lens
     count = np.array(windows, np.int64)
+    hit = np.zeros(int(lens.sum()) + len(strings) + 2, bool)
+    # Copies of the window that starts at a place, two standing for more; 0 where none starts.
+    weight = np.zeros(len(hit), np.uint8)
     starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    owner[starts] = np.repeat(np.arange(len(strings)), count)
-    order = order[owner[order] >= 0]
-    # Common prefix of neighbours, up to the width, eight bytes at a time.
-    flat = np.zeros(len(text) + width + 8, np.uint8)
-    flat[: len(text)] = (text - 2).astype(np.uint8)
-    words = np.ndarray((len(flat) - 7,), np.uint64, flat, strides=(1,))
-    live = np.arange(len(order) - 1)
-    for step in [*range(0, width - 8, 8), width - 8]:
-        live = live[words[order[live] + step] == words[order[live + 1] + step]]
-    joined = np.zeros(len(order), bool)
-    joined[live + 1] = True
-    group = np.cumsum(~joined) - 1
-    total = np.bincount(group, weights=np.array(copies, float)[owner[order]])
-    hit = np.zeros(len(text), bool)
-    hit[order] = total[group] > 1
+    weight[starts] = np.repeat(np.minimum(copies, 2).astype(np.uint8), count)
+    del starts
+    held, total = -1, 0  # The last group's copies so far, and its member while it is alone.
+    for own, shared in sorted_suffixes(strings, width, budget):
+        own, shared = own[inside := weight[own] > 0], shared[inside]
+        if not len(own):
+            continue
+        group = np.cumsum(shared < width)
+        sums = np.bincount(group, weights=weight[own], minlength=int(group[-1]) + 1)
+        if group[0] == 0:
+            sums[0] += total
+            if sums[0] > 1 and held >= 0:
+                hit[held] = True
+        hit[own] = sums[group] > 1
+        total = int(sums[-1])
+        held = int(own[-1]) if total <= 1 else -1
     return [hit[a : a + n] for a, n in zip(begin.tolist(), windows, strict=True)]
 
 
@@ -233,14 +374,14 @@ def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-def _sort_shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def _sort_shards(rows: DataFrame, width: int, shard_bytes: int, queue_entries: int) -> DataFrame:
     """Rows (g, w, n, copies, cut): the repeated windows of each run, as (g, w, from, count).
 
     Rows with one g come together, in order; a shard is as many of them as fit, one at least.
     """
 
     def flush(held):
-        hits = repeated_windows([h[4] for h in held], [h[2] for h in held], [h[3] for h in held], width)
+        hits = repeated_windows([h[4] for h in held], [h[2] for h in held], [h[3] for h in held], width, queue_entries)
         found = [(h[0], h[1], a, n) for h, hit in zip(held, hits, strict=True) for a, n in spans_of(hit)]
         g, w, a, n = zip(*found) if found else ((), (), (), ())
         arrays = [pa.array(g, pa.int64()), pa.array(w, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32())]
@@ -258,7 +399,9 @@ def _sort_shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.repartition("g").sortWithinPartitions("g", "w").mapInArrow(run, "g long, w long, at int, count int")
+    # Sorting costs more than the rows' bytes tell, so their partitions are not merged.
+    rows = rows.repartition(shuffle_width(rows.sparkSession), "g").sortWithinPartitions("g", "w")
+    return rows.mapInArrow(run, "g long, w long, at int, count int")
 
 
 def repeated_spans(
@@ -267,6 +410,7 @@ def repeated_spans(
     gram: int = 50,
     crowd: int = 20_000,
     shard_bytes: int = 6 << 20,
+    queue_entries: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     finish=None,
@@ -279,7 +423,8 @@ def repeated_spans(
     no order; strings of other groups are dealt to shards by their anchor, sorted as suffix
     arrays, and windows whose neighbours share ``width`` bytes are repeats. An anchor with
     over ``crowd`` different strings is cut by longer grams, at last by whole windows,
-    where equal ones fold, so that no shard grows with a common phrase.
+    where equal ones fold, so that no shard grows with a common phrase. A shard's queues
+    keep ``queue_entries`` suffixes in memory, the others on the task's disk.
 
     ``finish(texts, spans)`` gives the output columns of ``finish_ddl`` from whole texts
     and their removed spans. A null text is empty; repeated rows repeat each other and
@@ -299,7 +444,7 @@ def repeated_spans(
         one = folded.join(groups.where("kinds = 1 and total > 1").select("g"), "g", "left_semi")
         several = folded.join(groups.where(f"kinds > 1 and kinds <= {crowd}").select("g"), "g", "left_semi")
         cuts = run_texts(found, several, _byte_cut, width, "g bigint, w bigint, copies bigint")
-        hits = _sort_shards(cuts, width, shard_bytes).unionByName(
+        hits = _sort_shards(cuts, width, shard_bytes, queue_entries).unionByName(
             one.select("g", "w", F.lit(0).alias("at"), F.col("n").alias("count"))
         )
         places = runs.select("_d", "g", "w", "lo").join(hits, ["g", "w"])

@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 from basinframe.llm import near, phrases, pivots, suffixes
 
 
-def test_suffix_arrays(rng):
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_sorted_suffixes(rng, monkeypatch):
+    monkeypatch.setattr(suffixes, "_BLOCK", 7)
     for trial in range(120):
         letters = "ab" if trial % 2 else "abcd"
         strings = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))).encode() for _ in range(rng.randint(1, 12))]
         strings += [strings[0] + b"\x00\xff\xff" + strings[0]] * (trial % 3 == 0)
-        order, text, _ = suffixes.suffix_array(strings, budget=rng.choice([5, 1000]))
-        plain = [(1, i) if v == 1 else (v, 0) for i, v in enumerate(text.tolist())]
-        assert order.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])  # noqa: B023
+        cap, budget = rng.choice([3, 9, 30]), rng.choice([5, 1000])
+        blocks = list(suffixes.sorted_suffixes(strings, cap, budget))
+        order, shared = (np.concatenate(x).tolist() for x in zip(*blocks, strict=True))
+        plain = [(1, i) if v == 1 else (v, 0) for i, v in enumerate(suffixes._joined(strings)[0].tolist())]
+        assert order == sorted(range(len(plain)), key=lambda i: plain[i:], reverse=True)  # noqa: B023
+        want = [0] + [min(cap, common(plain[i:], plain[j:])) for i, j in zip(order, order[1:])]
+        assert shared == want
         width, windows = rng.choice([8, 9, 12]), []
         windows = [max(0, len(s) - width + 1) for s in strings]
         copies = [rng.choice([1, 1, 2]) for _ in strings]
@@ -26,11 +35,29 @@ def test_suffix_arrays(rng):
         for s, n, c in zip(strings, windows, copies, strict=True):
             for i in range(n):
                 count[s[i : i + width]] += c
-        got = suffixes.repeated_windows(strings, windows, copies, width)
+        got = suffixes.repeated_windows(strings, windows, copies, width, budget)
         for hit, s, n in zip(got, strings, windows, strict=True):
             assert hit.tolist() == [count[s[i : i + width]] > 1 for i in range(n)]
 
 
+def test_shards_beyond_their_queues(spark, rng):
+    """One shard of over ten times what its queues may keep: the rest goes to disk."""
+    base = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    texts = [base[a : a + 400] + rng.choice("xyz") * rng.randint(0, 3) for a in [rng.randrange(29_600) for _ in range(300)]]
+    held, before = sum(map(len, texts)), suffixes.BucketQueues.spills
+    raw = [t.encode() for t in texts]
+    hits = suffixes.repeated_windows(raw, [len(t) - 199 for t in raw], [1] * len(raw), 200, held // 12)
+    assert suffixes.BucketQueues.spills - before >= 4
+    count = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    for t, hit in zip(raw, hits, strict=True):
+        assert hit.tolist() == [count[t[i : i + 200]] > 1 for i in range(len(t) - 199)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = (
+        Counter(tuple(r) for r in suffixes.repeat_digests(docs.coalesce(1), queue_entries=n).collect()) for n in (held // 50, 1 << 24)
+    )
+    assert few == many and sum(r[2] for r in few) > 1000
+
+
 def covered(items, width, gone):
     mark = bytearray(len(items))
     for i in range(len(items) - width + 1):
