@@ -133,12 +133,15 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int, share:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _block_links(sets: list[np.ndarray], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links between the sets of a block, only as many as join its components: a forest.
+def _block_links(sets: list[np.ndarray], comps: list[int], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of components that links between the sets join, only as many as join them: a forest.
 
     Intersections come from products of 0/1 matrices over the shared elements, some
     columns at a time; counts stay exact in single precision.
     """
+    _, comp = np.unique(np.array(comps, np.int64), return_inverse=True)
+    if comp.max(initial=0) == 0:
+        return []
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, code, times = np.unique(items, return_inverse=True, return_counts=True)
@@ -152,61 +155,68 @@ def _block_links(sets: list[np.ndarray], percent: int, columns: int = 4096) -> l
         matrix = np.zeros((len(sets), columns), np.float32)
         matrix[owner[a:b], place[a:b] - low] = 1
         both += matrix @ matrix.T
-    both = both.astype(np.int64)
     link = 100 * both >= percent * (sizes[:, None] + sizes - both)
-    out, open_ = [], np.ones(len(sets), bool)
-    for start in range(len(sets)):
+    out, open_ = [], np.ones(comp.max() + 1, bool)
+    mates = np.split(np.argsort(comp, kind="stable"), np.cumsum(np.bincount(comp))[:-1])
+    for start in range(len(open_)):
         todo = [start] if open_[start] else []
         open_[start] = False
         while todo:
-            i = todo.pop()
-            near = np.flatnonzero(link[i] & open_)
+            c = todo.pop()
+            near = np.unique(comp[link[mates[c]].any(axis=0)])
+            near = near[open_[near]]
             open_[near] = False
-            out += [(i, j) for j in near.tolist()]
+            out += [(comps[mates[c][0]], comps[mates[k][0]]) for k in near.tolist()]
             todo += near.tolist()
     return out
 
 
 def _crowded_links(mixed: DataFrame, texts: DataFrame, size: int, percent: int, crowd: int, block: int) -> DataFrame:
-    """Links (a, b) that join the members of crowded buckets, every pair of them compared.
+    """Pairs (a, b) of components that links inside crowded buckets join, each pair once.
 
-    A document's home is the least of its crowded buckets; homes are cut into blocks. Two
-    blocks meet in a task once, if some bucket has members in both, however many do.
+    A document's home is the least of its crowded buckets. In a home, components of over
+    ``block`` members are cut into blocks of their own, smaller ones share blocks. Two
+    blocks meet in a task once, if some bucket has members in both, however many do;
+    blocks of one component never meet, as there is nothing left to join.
     """
     large = stored(mixed.groupBy("bucket").agg(F.count("*").alias("c")).where(f"c > {crowd}").select("bucket"), "crowded")
-    inside = mixed.join(large, "bucket").select("bucket", "d")
-    homes = inside.groupBy("d").agg(F.min("bucket").alias("home"))
-    width = homes.groupBy("home").agg(F.expr(f"count(*) div {block} + 1").alias("parts"))
-    own = F.struct("home", F.expr("pmod(hash(d), parts)").alias("part"))
-    homes = stored(homes.join(width, "home").select("d", own.alias("block")), "homes")
-    seen = inside.join(homes, "d").select("bucket", "block").distinct()
+    inside = mixed.join(large, "bucket").select("bucket", "d", "comp")
+    homes = inside.groupBy("d", "comp").agg(F.min("bucket").alias("home"))
+    sizes = homes.groupBy("home", "comp").agg(F.count("*").alias("size")).withColumn("alone", F.when(F.col("size") > block, F.col("comp")))
+    width = sizes.groupBy("home", "alone").agg(F.expr(f"sum(size) div {block} + 1").alias("parts"))
+    homes = homes.join(sizes.select("home", "comp", "alone"), ["home", "comp"])
+    homes = homes.join(width.withColumnRenamed("alone", "own"), F.expr("own <=> alone") & (homes["home"] == width["home"])).drop(width["home"])
+    part = F.expr("pmod(hash(if(alone is null, comp, d)), parts)").alias("part")
+    homes = stored(homes.select("d", "comp", F.struct("home", "alone", part).alias("block")), "homes")
+    seen = inside.join(homes.select("d", "block"), "d").select("bucket", "block").distinct()
     meets = seen.join(seen.select("bucket", F.col("block").alias("other")), "bucket").where("block <= other")
+    meets = meets.where("not coalesce(block.alone = other.alone, false)")
     meets = stored(meets.select("block", "other").distinct(), "meets")
     key = F.xxhash64("block", "other").alias("task")
-    left = meets.select(key, "block", "other").join(homes, "block").select("task", "d")
-    right = meets.where("block < other").select(key, F.col("other").alias("block")).join(homes, "block").select("task", "d")
-    rows = left.unionByName(right).distinct().join(texts.withColumnRenamed("_d", "d"), "d").select("task", "d", "_text")
+    left = meets.select(key, "block", "other").join(homes, "block").select("task", "d", "comp")
+    right = meets.where("block < other").select(key, F.col("other").alias("block")).join(homes, "block").select("task", "d", "comp")
+    rows = left.unionByName(right).distinct().join(texts.withColumnRenamed("_d", "d"), "d").select("task", "d", "comp", "_text")
     rows = rows.repartition("task").sortWithinPartitions("task")
 
     def run(batches):
         now, held = None, []
 
         def flush():
-            pairs = _block_links([s for _, s in held], percent)
-            ends = [[held[p[k]][0] for p in pairs] for k in (0, 1)]
+            pairs = _block_links([s for _, s in held], [c for c, _ in held], percent)
+            ends = [[f(p) for p in pairs] for f in (min, max)]
             return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
         for batch in batches:
-            for task, d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for task, _, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if task != now and held:
                     yield flush()
                     held = []
                 now = task
-                held.append((d, shingle_set(text, size)))
+                held.append((comp, shingle_set(text, size)))
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,6 +238,20 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: the old ones are joined, not built again."""
+    if roots is None:
+        return components(links)
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias("up"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+    links = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
+    above = components(links)
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return stored(old.unionByName(above.join(roots, "node", "left_anti")), "roots")
+
+
 def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members (bucket, d, n, comp) of the buckets that hold several components."""
     if roots is None:
@@ -260,18 +284,8 @@ def _cross_pairs(mixed: DataFrame, tested: DataFrame | None, percent: int, cap:
     return pairs if tested is None else pairs.join(tested, ["lo", "hi"], "left_anti")
 
 
-def _pivots_needed(mixed: DataFrame) -> int:
-    """Pivots a bucket needs at most until all its members outside its largest component,
-    and as many of each component, have been pivots: then no pair across is untested."""
-    sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    top = W.partitionBy("bucket").orderBy(F.desc("size"), "comp")
-    second = sizes.withColumn("r", F.row_number().over(top)).where("r <= 2").where("r = 2").select("bucket", F.col("size").alias("s2"))
-    need = sizes.join(second, "bucket").groupBy("bucket").agg(F.sum(F.least("size", "s2")).alias("need"))
-    return need.agg(F.max("need")).first()[0] or 0
-
-
 def _grouped(
-    docs: DataFrame, size: int, percent: int, bands: int, band_rows: int, share: int, crowd: int, block: int, id_col: str, text_col: str
+    docs: DataFrame, size: int, percent: int, bands: int, band_rows: int, share: int, crowd: int, block: int, id_col: str, text_col: str, few: int = 4
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketch; the classes (root, k1, k2, _d); the components (root, least)).
 
@@ -279,12 +293,11 @@ def _grouped(
     null, first, _d).
 
     Equal sets are one class. Classes that agree on a band of the signature share a
-    bucket; of a bucket with several components, a member becomes a pivot, is compared
-    with all members of other components on full sets, and the links join components.
-    Buckets of over ``crowd`` members that still hold several components are then
-    compared whole, in blocks. For the others the rounds go on, with twice the pivots
-    each, until every bucket lies in one component or has no untested pair across two; so
-    no link within a bucket is lost and copies of one text are never paired with each
+    bucket; of a bucket with several components, one member, and later ``few``, become
+    pivots, are compared with all members of other components on full sets, and the links
+    join components. Buckets of over ``crowd`` members that still hold several components
+    are then compared whole, in blocks, and in the others all members become pivots; so no
+    link within a bucket is lost and members of one component are not paired with each
     other. With the default bands a pair at 0.85 shares no bucket with probability 4e-7,
     one at 0.8 with 3e-5.
     """
@@ -300,30 +313,23 @@ def _grouped(
     members = stored(slots.join(shared, "bucket"), "members")
     inside = members.select(F.col("d").alias("_d")).distinct()
     texts = stored(rows.join(inside, "_d", "left_semi").select("_d", "_text").dropDuplicates(["_d"]), "texts")
-    edges = roots = tested = None
-    cap = 1
-    while True:
+    roots = tested = None
+    for cap in (1, few, crowd):
         mixed = _mixed(members, roots)
-        if cap == 2:
+        if cap == crowd:
             more = stored(_crowded_links(mixed, texts, size, percent, crowd, block), "links")
             if not more.isEmpty():
-                edges = more if edges is None else edges.unionByName(more)
-                roots = components(edges)
+                roots = _joined(roots, more)
             sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where(f"c <= {crowd}").select("bucket")
-            members = stored(members.join(sizes, "bucket", "left_semi"), "members")
-            mixed = _mixed(members, roots)
+            mixed = _mixed(members.join(sizes, "bucket", "left_semi"), roots)
         pairs = stored(_cross_pairs(mixed, tested, percent, cap), "pairs")
         if pairs.isEmpty():
-            if cap > 1 and _pivots_needed(mixed) <= cap:
-                break
-        else:
-            found = stored(_linked(pairs.select("a", "b"), texts, size, percent, share), "links")
-            pairs = pairs.select("lo", "hi")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not found.isEmpty():
-                edges = found if edges is None else edges.unionByName(found)
-                roots = components(edges)
-        cap *= 2
+            continue
+        found = stored(_linked(pairs.select("a", "b"), texts, size, percent, share), "links")
+        pairs = pairs.select("lo", "hi")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not found.isEmpty():
+            roots = _joined(roots, found)
     if roots is None:
         roots = texts.select(F.col("_d").alias("node"), F.col("_d").alias("root"))
     named = classes.join(roots.withColumnRenamed("node", "_d"), "_d", "left").withColumn("root", F.coalesce("root", "_d"))

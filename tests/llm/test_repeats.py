@@ -141,12 +141,60 @@ def test_near_duplicates(spark, rng, odd_rows, no_docs, size, percent):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((1000 + len(rows), " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = near.near_duplicates(docs, size, percent, share=5).collect()
-    assert Counter(tuple(r) for r in out) == groups(rows, size, percent)
+    want = groups(rows, size, percent)
+    for crowd in (64, 5):
+        out = near.near_duplicates(docs, size, percent, share=5, crowd=crowd, block=4).collect()
+        assert Counter(tuple(r) for r in out) == want
     if size == 3:
         assert near.near_duplicates(no_docs).count() == 0
 
 
+def near_copies(rng, n):
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            copy[rng.randrange(60)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [1000, 2000])
+def test_edges_of_one_crowd(spark, rng, monkeypatch, n):
+    """Many near copies of one text: whole groups, and links in proportion to documents."""
+    rows, edges = near_copies(rng, n), []
+    real = near.components
+    monkeypatch.setattr(near, "components", lambda e: edges.append(e.count()) or real(e))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near.near_duplicates(docs, 3, 85, block=100).collect()
+    assert sum(edges) <= 2 * n
+    if n == 1000:
+        assert Counter(tuple(r) for r in out) == groups(rows, 3, 85)
+
+
+def test_blocks_join_components_once(rng):
+    sets = [np.unique(np.array([rng.randrange(12) for _ in range(8)], np.uint64)) for _ in range(60)]
+    comps = [100 + rng.randrange(20) for _ in sets]
+    pairs = near._block_links(sets, comps, 70)
+    root = {c: c for c in comps}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for a, b in pairs:
+        assert find(a) != find(b)
+        root[find(a)] = find(b)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if 100 * len(set(s.tolist()) & set(t.tolist())) >= 70 * len(set(s.tolist()) | set(t.tolist())):
+                assert find(comps[i]) == find(comps[j])
+    assert near._block_links(sets, [5] * 60, 70) == []
+
+
 def test_signatures_estimate_similarity(rng):
     items = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
     pairs = [(items[:300], items[50:350]), (items[:40], items[10:50]), (items[:5], items[2:6])]
