@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def chunks(batch: pa.RecordBatch, max_bytes: int, column: int = 1) -> Iterator[p
     """Slices of a batch whose texts are about ``max_bytes`` long, one row at least."""
     if not batch.num_rows:
         return
-    sizes = np.array(batch.column(column).cast(pa.large_binary()).to_pandas().map(len).to_numpy(), dtype=np.int64)
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // max_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -72,19 +73,20 @@ def per_text(
 
 
 def keep_rows(df: DataFrame, text_col: str, mask: Callable[[list[bytes]], np.ndarray], max_bytes: int = 4 << 20) -> DataFrame:
-    """Whole rows whose text ``mask`` keeps, in slices of bounded size; no shuffle."""
-    extra = "_bytes"
-    while extra in df.columns:
-        extra += "_"
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns), utf8(f"`{text_col}`").alias(extra))
+    """Whole rows whose text ``mask`` keeps, in slices of bounded size; no shuffle.
+
+    Rows travel as they are, their text once; a null text is shown to ``mask`` as empty.
+    """
+    at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, max_bytes, batch.num_columns - 1):
-                kept = pa.array(mask(part.column(part.num_columns - 1).to_pylist()), pa.bool_())
-                yield part.select(range(part.num_columns - 1)).filter(kept)
+            for part in chunks(batch, max_bytes, at):
+                texts = part.column(at)
+                texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+                yield part.filter(pa.array(mask([t or b"" for t in texts]), pa.bool_()))
 
-    return rows.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ def stages(spark, sf, tmp_path_factory):
 def test_names_and_columns(stages):
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "repeats", "private", "packing"]
     assert all(t.columns == stages[0].columns for t in stages[1:5])
-    assert cp.ORACLE_SQL is None and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert cp.ORACLE_SQL is None and {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
 
 
 def test_each_stage_decides_on_what_it_gets(spark, sf, stages):
