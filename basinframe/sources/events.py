@@ -9,7 +9,7 @@ from basinframe.functions.codes import EVENT_THEMES
 from basinframe.functions.scalars import blank_to_null, parse_seen_at
 from basinframe.operators.contracts import Contract, non_null, nullable, startswith
 from basinframe.operators.ordered import first_row
-from basinframe.sources.spec import Feed
+from basinframe.sources.spec import Feed, at_of
 
 EVENTS_JSON = (
     "articles array<struct<url string, title string, seendate string, domain string, "
@@ -20,9 +20,9 @@ COLUMNS = ["seen_at", "title", "url", "domain", "source_country", "theme_tags"]
 
 def event_rows(docs: DataFrame, file: str = "file") -> DataFrame:
     """One row per article with its place: file, then position in the file."""
-    return docs.select(file, F.posexplode("articles").alias("pos", "a")).select(
-        F.col(file).alias("file"), "pos", "a.*"
-    )
+    found = docs.select(file, *at_of(docs), F.posexplode("articles").alias("pos", "a"))
+    pos = F.col("at") if "at" in docs.columns else F.col("pos")
+    return found.select(F.col(file).alias("file"), pos.alias("pos"), "a.*")
 
 
 def clean_events(raw: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from basinframe.operators.contracts import (
 from basinframe.operators.ordered import prefix
 from basinframe.operators.polygons import decimate_line
 from basinframe.session import small_table
-from basinframe.sources.spec import Feed
+from basinframe.sources.spec import Feed, at_of
 
 _PROPS = (
     "struct<`project-id`: string, name: string, status: string, `country-area1`: string, "
@@ -35,13 +35,14 @@ _PROPS = (
     "Latitude: string, Longitude: string>"
 )
 #: Coordinates nest by geometry type, so they arrive as JSON text.
-FEATURES_JSON = (
-    f"features array<struct<properties: {_PROPS}, geometry: struct<type: string, coordinates: string>>>"
-)
+FEATURE = f"struct<properties: {_PROPS}, geometry: struct<type: string, coordinates: string>>"
+FEATURES_JSON = f"features array<{FEATURE}>"
 
 
 def feature_rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(*carry, F.posexplode("features").alias("pos", "f")).select(
+    """One row per feature, with its place: the document's ``at`` where it has one."""
+    found = docs.select(*carry, *at_of(docs), F.posexplode("features").alias("pos", "f"))
+    return found.withColumn("pos", F.col("at") if "at" in docs.columns else F.col("pos")).select(
         *carry, "pos", "f.properties.*", F.col("f.geometry.type").alias("geometry_type"), "f.geometry.coordinates"
     )
 

@@ -30,3 +30,8 @@ class Feed:
         guard(raw, self.source_id, self.row_guards(), empty="document has no rows")
         out = self.normalize(raw, **kw)
         return self.contract.enforce(require_rows(out, self.source_id))
+
+
+def at_of(docs: DataFrame) -> list[str]:
+    """The column of a record's place in its file, where documents are single records."""
+    return ["at"] if "at" in docs.columns else []
