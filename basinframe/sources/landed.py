@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basinframe.sources import events, governance, infrastructure, market
+from basinframe.sources import events, governance, infrastructure, market, wells
 from basinframe.sources.records import Reader
 
 _OBSERVATION = "date string, value string"
@@ -43,3 +43,23 @@ GOVERNANCE = Reader(
 )
 #: ``{"type": ..., "features": [record, ...]}``
 FIELDS = Reader(infrastructure.FIELDS, 1, 1, infrastructure.FEATURE, lambda one: {"features": one})
+#: As above, with the number of features that the request matched in its head.
+NETHERLANDS = Reader(
+    wells.NETHERLANDS,
+    1,
+    1,
+    "properties struct<BOREHOLE_CODE: string, START_DATE_DRILLING: string, BOREHOLE_TYPE_CODE: string, "
+    "BOREHOLE_RESULT_CODE: string, END_DEPTH_MAH: double, FIELD_CODE: string>, geometry struct<coordinates: array<double>>",
+    lambda one: {"features": one, "numberMatched": _none("int"), "numberReturned": _none("int")},
+    r'"numberMatched"\s*:\s*(\d+)',
+)
+#: Pages ``{"features": [{"attributes": {...}, "geometry": {...}}, ...]}``
+UK = Reader(
+    wells.UK,
+    1,
+    1,
+    "attributes map<string, string>, geometry struct<x: string, y: string>",
+    lambda one: {"features": one, "error": _none("struct<code:string,message:string>")},
+)
+#: Monthly series of one country a document; ``load`` takes the pins.
+COUNTRY_PRODUCTION = Reader(market.COUNTRY_PRODUCTION, 2, 1, _PERIOD, WEEKLY.wrap, WEEKLY.total)
