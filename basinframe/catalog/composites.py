@@ -153,8 +153,9 @@ def days_of_cover(t):
 
 @query(
     "member_panel",
-    f"""WITH p AS (SELECT 'N' || c_nationkey AS country, CAST(sum(round_even(o_totalprice, 0)) AS DOUBLE) AS v, c_nationkey AS k FROM orders JOIN customer ON c_custkey = o_custkey
-          WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-04-01' GROUP BY 1, 3)
+    f"""WITH m AS (SELECT c_nationkey AS k, date_trunc('month', o_orderdate) AS month, CAST(sum(round_even(o_totalprice, 0)) AS DOUBLE) AS v
+          FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+        p AS (SELECT k, 'N' || k AS country, v FROM m WHERE month = (SELECT max(month) FROM m))
         SELECT country, v AS production_kbd, CASE WHEN k % 2 = 0 THEN -1 ELSE {fix_sql('1e2 * v / (k * 1e5)', 1)} END AS pct_of_target FROM p""",
 )
 def member_panel(t):

@@ -222,14 +222,15 @@ def second_index(t):
 
 @query(
     "sanctions_or_match",
-    """WITH p AS (SELECT s_nationkey AS k, 'N' || s_nationkey AS iso3, lower('NATION_' || ((s_nationkey + 1) % 25)) AS name, 'PR' || s_suppkey % 6 AS program FROM supplier WHERE s_acctbal > 7e3),
+    """WITH p AS (SELECT s_nationkey AS k, CASE WHEN s_acctbal > 7e3 THEN 'N' || s_nationkey END AS iso3, CASE WHEN s_acctbal > 7e3 THEN lower('NATION_' || ((s_nationkey + 1) % 25)) END AS name, 'PR' || s_suppkey % 6 AS program FROM supplier),
        h AS (SELECT DISTINCT c_custkey, program FROM customer JOIN p ON p.iso3 = 'N' || c_nationkey OR p.name = lower('NATION_' || c_nationkey))
        SELECT c.c_custkey, count(h.program) > 0 AS sanctioned, coalesce(string_agg(h.program, ',' ORDER BY h.program), '') AS programs FROM customer c LEFT JOIN h USING (c_custkey) GROUP BY 1""",
 )
 def sanctions_or_match(t):
-    k = F.col("s_nationkey")
-    programs = t.supplier.where("s_acctbal > 7000").select(
-        F.concat(F.lit("N"), k).alias("iso3"), F.concat(F.lit("Nation_"), (k + 1) % 25).alias("country_name"),
+    """All programmes; those of smaller suppliers name no country and match none."""
+    k, named = F.col("s_nationkey"), F.col("s_acctbal") > 7000
+    programs = t.supplier.select(
+        F.when(named, F.concat(F.lit("N"), k)).alias("iso3"), F.when(named, F.concat(F.lit("Nation_"), (k + 1) % 25)).alias("country_name"),
         F.concat(F.lit("PR"), F.col("s_suppkey") % 6).alias("program"), F.lit("L").alias("list_source"),
     )
     places = t.customer.select(
@@ -319,7 +320,8 @@ def quant_hash(t):
     "SELECT n_nationkey, 'political_risk' AS agent, 'score missing' AS value FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 6e3)",
 )
 def gap_rows(t):
-    screen = t.supplier.where("s_acctbal > 6000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_acctbal").alias("score"))
+    known = F.when(F.col("s_acctbal") > 6000, F.col("s_acctbal"))
+    screen = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max(known).alias("score"))
     return sc.gap_rows(t.nation, screen, "n_nationkey", "political_risk", "score").select("n_nationkey", "agent", "value")
 
 

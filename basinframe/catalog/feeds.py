@@ -472,26 +472,23 @@ def curve_strip(t):
     )
 
 
-_MONTHS = ["Jan 97", "Feb 97", "Mar 97"]
-
-
 def member_wide(t):
-    """Nation by month, as printed: thousands separators, footnotes, blanks."""
+    """Nation by every month of the orders, as printed: thousands separators, footnotes, blanks."""
     m = F.date_format("o_orderdate", "MMM yy")
+    months = [r["m"] for r in t.orders.select(m.alias("m")).where("m is not null").distinct().orderBy("m").collect()]
     base = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    wide = base.where(m.isin(_MONTHS)).groupBy(F.concat(F.lit("N"), "c_nationkey").alias("country")).agg(
-        *[F.sum(F.when(m == x, F.rint("o_totalprice").cast("long"))).alias(x) for x in _MONTHS]
+    wide = base.groupBy(F.concat(F.lit("N"), "c_nationkey").alias("country")).agg(
+        *[F.sum(F.when(m == x, F.rint("o_totalprice").cast("long"))).alias(x) for x in months]
     )
-    cell = {x: F.coalesce(F.concat(F.format_number(F.col(f"`{x}`"), 0), F.lit("*")), F.lit("..")) for x in _MONTHS}
-    return wide.select("country", *[cell[x].alias(x) for x in _MONTHS], F.lit("1.0").alias("1Q97"))
+    cell = {x: F.coalesce(F.concat(F.format_number(F.col(f"`{x}`"), 0), F.lit("*")), F.lit("..")) for x in months}
+    return wide.select("country", *[cell[x].alias(x) for x in months], F.lit("1.0").alias("1Q97"))
 
 
 @query(
     "unpivot_members",
     """SELECT 'N' || c_nationkey AS country, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month,
        CAST(sum(round_even(o_totalprice, 0)) AS DOUBLE) AS production_kbd
-       FROM orders JOIN customer ON c_custkey = o_custkey
-       WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01' GROUP BY 1, 2""",
+       FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
 )
 def unpivot_members(t):
     out = market.normalize_members(member_wide(t))
@@ -624,8 +621,8 @@ def netherlands_wells(t):
 @query(
     "us_gulf_wells",
     f"""WITH lease AS (
-          SELECT l_partkey AS lease, string_agg(DISTINCT 'WD' || (l_suppkey % 6), '+' ORDER BY 'WD' || (l_suppkey % 6)) AS f
-          FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+          SELECT l_partkey * 2 AS lease, string_agg(DISTINCT 'WD' || (l_suppkey % 6), '+' ORDER BY 'WD' || (l_suppkey % 6)) AS f
+          FROM lineitem GROUP BY 1)
         SELECT 'boem:' || o_orderkey AS well_id, 25 + (o_custkey % 50) / 1e1 AS lat, -95 + (o_custkey % 70) / 1e1 AS lon,
         CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE CAST(year(o_orderdate) AS INT) END AS spud_year,
         CASE WHEN o_orderkey % 7 = 0 THEN 'wildcat' ELSE 'other' END AS purpose,
@@ -647,9 +644,9 @@ def us_gulf_wells(t):
         F.concat(F.lit(" "), c.cast("string")).alias("BOTM_LEASE_NUMBER"),
         F.when(F.col("o_orderstatus") == "P", "P").otherwise("G").alias("REGION_CODE"),
     )
-    leases = t.lineitem.where("l_returnflag = 'R' AND l_quantity > 45").select(
+    leases = t.lineitem.select(
         F.concat(F.lit("WD"), F.col("l_suppkey") % 6).alias("field_name_code"),
-        F.concat(F.col("l_partkey").cast("string"), F.lit(" ")).alias("lease_number"),
+        F.concat((F.col("l_partkey") * 2).cast("string"), F.lit(" ")).alias("lease_number"),
     )
     return _plain(wells.normalize_us_gulf(wells.us_gulf_rows(raw), leases))
 
@@ -811,14 +808,13 @@ def table_ledger(t):
 @query(
     "table_availability",
     """SELECT 'T' || n_nationkey AS "table", n > 0 AS available, n AS rows FROM (
-       SELECT n_nationkey, count(c_custkey) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal > 8000) AS n
-       FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)""",
+       SELECT n_nationkey, count(c_custkey) AS n
+       FROM nation LEFT JOIN customer ON c_nationkey - c_nationkey % 2 = n_nationkey GROUP BY 1)""",
 )
 def table_availability(t):
     wanted = t.nation.select(F.concat(F.lit("T"), "n_nationkey").alias("table"))
-    ledger = t.customer.where("c_mktsegment = 'BUILDING' AND c_acctbal > 8000").groupBy(
-        F.concat(F.lit("T"), "c_nationkey").alias("table")
-    ).agg(F.count(F.lit(1)).alias("rows"), F.max("c_custkey").alias("written_at"))
+    even = F.col("c_nationkey") - F.col("c_nationkey") % 2
+    ledger = t.customer.groupBy(F.concat(F.lit("T"), even).alias("table")).agg(F.count(F.lit(1)).alias("rows"), F.max("c_custkey").alias("written_at"))
     return availability(wanted, ledger).select("table", "available", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 

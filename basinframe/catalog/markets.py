@@ -388,13 +388,14 @@ def nulls_last_sort(t):
 
 @query(
     "set_operations",
-    """SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000) UNION ALL
-       SELECT 'subtract', count(*) FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000) UNION ALL
-       SELECT 'union', (SELECT count(*) FROM customer WHERE c_acctbal > 9900) + (SELECT count(*) FROM supplier WHERE s_acctbal > 8000)""",
+    """SELECT 'intersect' AS op, count(*) AS n FROM (SELECT CASE WHEN c_acctbal > 9900 THEN c_nationkey END FROM customer INTERSECT SELECT CASE WHEN s_acctbal > 8000 THEN s_nationkey END FROM supplier) UNION ALL
+       SELECT 'subtract', count(*) FROM (SELECT CASE WHEN c_acctbal > 9900 THEN c_nationkey END FROM customer EXCEPT SELECT CASE WHEN s_acctbal > 8000 THEN s_nationkey END FROM supplier) UNION ALL
+       SELECT 'union', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)""",
 )
 def set_operations(t):
-    a = t.customer.where("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
-    b = t.supplier.where("s_acctbal > 8000").select(F.col("s_nationkey").alias("k"))
+    """Sets with a null for rows that give no key; a null equals a null there."""
+    a = t.customer.select(F.when(F.col("c_acctbal") > 9900, F.col("c_nationkey")).alias("k"))
+    b = t.supplier.select(F.when(F.col("s_acctbal") > 8000, F.col("s_nationkey")).alias("k"))
 
     def n(df, op):
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")

@@ -194,17 +194,18 @@ def top_provinces(t):
 
 @query(
     "basin_stats",
-    f"""{_PRIMARY}, g AS (SELECT province_code, min(province_name) AS province_name, count(*) AS n, CAST(sum(label) AS BIGINT) AS d,
-          min(spud_year) AS a, max(spud_year) AS z FROM prim WHERE province_code < 20 GROUP BY 1)
+    f"""{_PRIMARY}, g AS (SELECT CASE WHEN province_code < 20 THEN province_code END AS province_code, min(province_name) AS province_name, count(*) AS n, CAST(sum(label) AS BIGINT) AS d,
+          min(spud_year) AS a, max(spud_year) AS z FROM prim GROUP BY 1)
         SELECT s_suppkey, coalesce(g.province_name, '(no drilled wildcats)') AS province_name, coalesce(n, 0) AS n_wildcats,
-          coalesce(d, 0) AS n_discoveries, coalesce(a, -1) AS first_spud_year, coalesce(z, -1) AS last_spud_year
+          coalesce(floor(1e3 * d / n + 5e-1) / 1e3, -1) AS success_rate, coalesce(d, 0) AS n_discoveries, coalesce(a, -1) AS first_spud_year, coalesce(z, -1) AS last_spud_year
         FROM supplier LEFT JOIN g ON g.province_code = s_nationkey""",
 )
 def basin_stats(t):
     blocks = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("province_code"))
-    out = w.basin_stats(blocks, w.primary_set(mapped_wells(t)).where("province_code < 20"), "s_suppkey")
+    wells = w.primary_set(mapped_wells(t)).withColumn("province_code", F.expr("if(province_code < 20, province_code, null)"))
+    out = w.basin_stats(blocks, wells, "s_suppkey")
     return out.select(
-        "s_suppkey", "province_name", "n_wildcats", "n_discoveries",
+        "s_suppkey", "province_name", "n_wildcats", "n_discoveries", F.coalesce("success_rate", F.lit(-1.0)).alias("success_rate"),
         F.coalesce("first_spud_year", F.lit(-1)).alias("first_spud_year"),
         F.coalesce("last_spud_year", F.lit(-1)).alias("last_spud_year"),
     )

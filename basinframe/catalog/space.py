@@ -189,17 +189,17 @@ def province_cells(t):
     "overlap_pct",
     f"""WITH {_SQUARES}, b AS (SELECT c_custkey, lat, lon, lon * (pi() * 6378137e0 / 18e1) AS bx, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137e0 AS byy
           FROM (SELECT c_custkey, {lat_sql('c_custkey')} AS lat, {lon_sql('c_custkey')} AS lon FROM customer)),
-        o AS (SELECT i, j FROM (SELECT unnest(range(-6, 7)) AS i), (SELECT unnest(range(-6, 7)) AS j) WHERE i * i + j * j <= 4225e-2),
+        o AS (SELECT i, j FROM (SELECT unnest(range(-20, 21)) AS i), (SELECT unnest(range(-20, 21)) AS j) WHERE i * i + j * j <= 42025e-2),
         near AS (SELECT DISTINCT c_custkey FROM b, sq WHERE abs(lon - cx) <= h + 4 AND abs(lat - cy) <= h + 4),
-        p AS (SELECT c_custkey, i, j, (bx + i * 15e4 / 65e-1) * (18e1 / (pi() * 6378137e0)) AS lon,
-                degrees(atan(exp((byy + j * 15e4 / 65e-1) / 6378137e0)) * 2 - pi() / 2) AS lat FROM b SEMI JOIN near USING (c_custkey), o),
+        p AS (SELECT c_custkey, i, j, (bx + i * 15e4 / 205e-1) * (18e1 / (pi() * 6378137e0)) AS lon,
+                degrees(atan(exp((byy + j * 15e4 / 205e-1) / 6378137e0)) * 2 - pi() / 2) AS lat FROM b SEMI JOIN near USING (c_custkey), o),
         q AS (SELECT c_custkey, i, j, count(area_id) AS n FROM p LEFT JOIN sq ON abs(lon - cx) + abs(lat - cy) < h GROUP BY 1, 2, 3),
         s AS (SELECT c_custkey, {fix_sql('1e2 * count(*) FILTER (n > 0) / count(*)', 2)} AS pct FROM q GROUP BY 1)
         SELECT b.c_custkey, coalesce(pct, 0) AS overlap_pct FROM b LEFT JOIN s USING (c_custkey)""",
 )
 def overlap_pct(t):
     """Share of a 150 km disc covered by diamonds, overlaps counted once."""
-    out = pg.overlap_share(customers_as_points(t), diamonds(t), "c_custkey", 150.0, half_steps=6)
+    out = pg.overlap_share(customers_as_points(t), diamonds(t), "c_custkey", 150.0)
     return out.select("c_custkey", fix("overlap_pct", 2).alias("overlap_pct"))
 
 
