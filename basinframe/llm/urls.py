@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basinframe.operators.ordered import prefix
+
 
 def host_of(url: str | Column) -> Column:
     """Host of a URL in lower case, without user, port and a final dot; null if it has none."""
@@ -30,49 +32,68 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
+def listing_keys(host: str | Column) -> Column:
+    """What may list a host: the host itself, and it and all domains above it."""
+    host = F.col(host) if isinstance(host, str) else host
+    labels = F.split(host, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("value")))
+    return F.concat(own, F.transform(above, lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("value"))))
+
+
+def active_entries(wanted: DataFrame, spans: DataFrame) -> DataFrame:
+    """As-of join: the rows (kind, value, at) of ``wanted`` that lie in an interval of ``spans``.
+
+    Interval starts and wanted times are one sequence, sorted by key and time; each time
+    takes the last interval that started by then, which is the only one it can lie in, as
+    intervals of a key are disjoint. The sequence is cut by ranges of (key, time) and the
+    last start is carried over the cuts, so neither a host that most captures share nor a
+    long history is one task or one row. ``wanted`` has distinct rows.
+    """
+    starts = spans.select(
+        "kind",
+        "value",
+        F.col("since").cast("timestamp").alias("at"),
+        F.lit(0).alias("turn"),
+        F.struct(F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until")).alias("span"),
+    )
+    listed = wanted.join(spans.select("kind", "value").distinct(), ["kind", "value"])
+    times = listed.select("kind", "value", "at", F.lit(1).alias("turn"), F.lit(None).cast(starts.schema["span"].dataType).alias("span"))
+    found = prefix(starts.unionByName(times), ["kind", "value"], ["at", "turn"], maxes={"last": "span"}, label="listings")
+    open_ = F.col("last.until").isNull() | (F.col("at") < F.col("last.until"))
+    return found.where(F.col("turn") == 1).where(F.col("last").isNotNull() & open_).select("kind", "value", "at")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col: str = "fetched_on") -> DataFrame:
     """Evaluate every capture against the entries active when it was fetched.
 
     ``entries``: ``kind`` ('host': that host; 'domain': that host and all below it),
     ``value``, ``listed_on``, ``action`` ('add' or 'remove'). Adds ``host``, ``n_active``
     (entries active for the capture), ``rule`` (the first of them as kind:value, null if
-    none) and ``blocked`` to the captures, whose other columns stay.
+    none) and ``blocked`` to the captures. Their other columns stay, whatever their names;
+    columns of these four names are replaced.
 
-    The list is folded to one row per host in use, holding that host's intervals; captures
-    look up their host's row and pick by date within it, so neither a busy host nor a
-    long history multiplies rows. A null or hostless URL and a null time match nothing;
-    repeated captures repeat; empty lists block nothing.
+    Captures of one host and time are judged once, by an as-of join of their keys with the
+    intervals of the list (:func:`active_entries`), and look the verdict up. A null or
+    hostless URL and a null time match nothing; repeated captures repeat; of several
+    entries of one day the removal counts; empty lists block nothing, however long a URL.
     """
-    spans = validity(entries).groupBy("kind", "value").agg(F.collect_list(F.struct("since", "until")).alias("_spans"))
-    rows = captures.withColumn("_host", host_of(url_col))
-    hosts = rows.select("_host").where("_host is not null").distinct()
-    labels = F.split("_host", r"\.")
-    below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.concat(
-        F.array(F.struct(F.lit("host").alias("kind"), F.col("_host").alias("value"))),
-        F.transform(below, lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("value"))),
+    mine = ("host", "n_active", "rule", "blocked")
+    rows = captures.select(
+        F.struct(*(F.col(f"`{c}`") for c in captures.columns)).alias("own"),
+        host_of(F.col(f"`{url_col}`")).alias("host"),
+        F.col(f"`{at_col}`").cast("timestamp").alias("at"),
     )
-    by_host = (
-        hosts.select("_host", F.explode(keys).alias("_key"))
-        .select("_host", "_key.*")
-        .join(spans, ["kind", "value"])
-        .groupBy("_host")
-        .agg(F.collect_list(F.struct("kind", "value", "_spans")).alias("_rules"))
+    seen = rows.where("host is not null and at is not null").select("host", "at").distinct()
+    keys = seen.select("host", "at", F.explode(listing_keys("host")).alias("key")).select("host", "at", "key.*")
+    active = active_entries(keys.select("kind", "value", "at").distinct(), validity(entries))
+    verdicts = (
+        keys.join(active, ["kind", "value", "at"])
+        .groupBy("host", "at")
+        .agg(F.count("*").alias("n_active"), F.min(F.concat_ws(":", "kind", "value")).alias("rule"))
     )
-    at = F.col(at_col)
-    holds = lambda s: (s["since"] <= at) & (s["until"].isNull() | (at < s["until"]))
-    active = F.filter("_rules", lambda r: F.exists(r["_spans"], holds))
-    names = F.array_sort(F.transform(active, lambda r: F.concat_ws(":", r["kind"], r["value"])))
-    return (
-        rows.join(by_host, "_host", "left")
-        .withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
-        .withColumns(
-            {
-                "host": F.col("_host"),
-                "n_active": F.size("_names").cast("long"),
-                "rule": F.get("_names", F.lit(0)),
-                "blocked": F.size("_names") > 0,
-            }
-        )
-        .drop("_host", "_rules", "_names")
+    kept = [F.col("own").getField(c).alias(c) for c in captures.columns if c not in mine]
+    n_active = F.coalesce("n_active", F.lit(0))
+    return rows.join(verdicts, ["host", "at"], "left").select(
+        *kept, "host", n_active.alias("n_active"), "rule", (n_active > 0).alias("blocked")
     )

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import re
+from datetime import date
 
 import pytest
 
@@ -102,3 +103,26 @@ def test_luhn(spark, value):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(private.luhn(F.lit(value))).first()[0] is True
+
+
+def test_columns_that_clash_and_a_busy_host(spark):
+    """Own columns stay; one host with 10^5 entries is no row, and no task, of its own."""
+    from pyspark.sql import functions as F
+
+    names = ["_host", "own", "at", "_names", "turn", "host"]
+    table = spark.range(3000).select(
+        F.lit("http://Busy.example/x").alias("url"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") * 37 % 40_000).cast("int")).alias("fetched_on"),
+        *(F.concat(F.lit("keep"), F.col("id")).alias(n) for n in names),
+        "id",
+    )
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int"))
+    action = F.when(F.col("id") % 3 == 0, "add").when(F.col("id") % 3 == 1, "remove").otherwise("add")
+    entries = spark.range(100_000).select(F.lit("host").alias("kind"), F.lit("busy.example").alias("value"), day.alias("listed_on"), action.alias("action"))
+    out = urls.filter_urls(table, entries)
+    assert not [f for f in out.schema if "array" in f.dataType.simpleString()]
+    start, zero = date(2000, 1, 1), date(1990, 1, 1)
+    for r in out.collect():
+        n = (r["fetched_on"] - zero).days
+        assert (start - zero).days <= n and r["blocked"] == (n % 3 != 1) and r["n_active"] == int(n % 3 != 1)
+        assert r["host"] == "busy.example" and all(r[c] == f"keep{r['id']}" for c in names[:-1])
