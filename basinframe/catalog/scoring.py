@@ -323,37 +323,34 @@ def _gate_rows(t):
 
 
 _FEATURES = ["n_chars", "n_spaces", "noise"]
+#: Rounds of the registered fits, of the default depth; the operators' default is 50.
+_ROUNDS = 20
 
 
 @query("tree_scores")
 def tree_scores(t):
     """Out-of-fold boosted-tree scores, one fit per language."""
-    scores, _ = m.tree_scores(_gate_rows(t), _FEATURES, rounds=5, depth=3)
+    scores, _ = m.tree_scores(_gate_rows(t), _FEATURES, rounds=_ROUNDS)
     return scores
 
 
 @query("importance_ranking")
 def importance_ranking(t):
-    _, gains = m.tree_scores(_gate_rows(t), _FEATURES, rounds=5, depth=3)
+    _, gains = m.tree_scores(_gate_rows(t), _FEATURES, rounds=_ROUNDS)
     return m.importance_ranking(gains)
 
 
 @query("permutation_importance")
 def permutation_importance(t):
-    """Loss of average precision per shuffled feature, on the held-out rows of one fold."""
-    rows = materialize(_gate_rows(t), "rows")
-    first = rows.agg(F.max("fold").alias("f")).first()["f"]
-    part = rows.where(F.col("fold") == first)
-    return m.permutation_importance(
-        part.where("role = 'train'"), part.where("role = 'test'"), _FEATURES, rounds=5, depth=3
-    )
+    """Loss of average precision per shuffled feature, on the held-out rows of every fold."""
+    return m.permutation_by_fold(_gate_rows(t), _FEATURES, rounds=_ROUNDS)
 
 
 @query("gbt_gate")
 def gbt_gate(t):
     """Trees against the one-feature logit on two sets, raw and rank-calibrated."""
     rows = materialize(_gate_rows(t), "rows")
-    scores, _ = m.tree_scores(rows, _FEATURES, rounds=5, depth=3)
+    scores, _ = m.tree_scores(rows, _FEATURES, rounds=_ROUNDS)
     coef = m.distance_logit(rows.where("role = 'train'"), x="n_chars")
     logit = m.logit_score(rows.where("role = 'test'"), coef, x="n_chars", out="logit")
     oof = materialize(

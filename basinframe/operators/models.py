@@ -236,6 +236,42 @@ def permutation_importance(
     )
 
 
+def permutation_by_fold(
+    rows: DataFrame,
+    features: Sequence[str],
+    fold: str = "fold",
+    role: str = "role",
+    label: str = "label",
+    row_id: str = "well_id",
+    seed: int = 7,
+    rounds: int = 50,
+    depth: int = 5,
+) -> DataFrame:
+    """``feature, importance, n_rows``: what :func:`permutation_importance` finds on the
+    held-out rows of every fold, weighted by their number.
+
+    Folds whose train or test rows are of one class have no precision to lose and are
+    skipped, as in :func:`tree_scores`.
+    """
+    rows = materialize(rows.select(fold, role, label, row_id, *features), "folds")
+    sizes = rows.groupBy(fold, role).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).collect()
+    both = {r[fold] for r in sizes if r["k"] == 2 and r[role] == "train"}
+    tests = sorted((r[fold], r["n"]) for r in sizes if r["k"] == 2 and r[role] == "test" and r[fold] in both)
+    pooled = None
+    for name, n in tests:
+        part = rows.where(F.col(fold) == name)
+        lost = permutation_importance(
+            part.where(F.col(role) == "train"), part.where(F.col(role) == "test"), features, label, row_id, seed, rounds, depth
+        )
+        lost = lost.withColumn("n", F.lit(n).cast("long"))
+        pooled = lost if pooled is None else pooled.unionByName(lost)
+    if pooled is None:
+        return small_table(rows.sparkSession, [], "feature string, importance double, n_rows bigint")
+    mean = F.sum(F.col("importance") * F.col("n")) / F.sum("n")
+    out = pooled.groupBy("feature").agg(mean.alias("importance"), F.sum("n").alias("n_rows"))
+    return out.orderBy(F.desc("importance"), "feature")
+
+
 def gate(metrics: DataFrame, model: str, opponent: str) -> DataFrame:
     """Whether the model beats the opponent on average precision in every set.
 

@@ -202,6 +202,26 @@ def test_permutation_importance_finds_the_signal(spark):
     assert len(got) == 2 and abs(got[1]["importance"]) < 0.05
 
 
+def test_permutations_are_pooled_over_folds(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 400)
+    base = pd.DataFrame({"well_id": range(400), "label": y, "signal": y + rng.normal(0, 0.3, 400), "noise": rng.normal(size=400)})
+    part = np.where(base.well_id < 100, "a", np.where(base.well_id < 390, "b", "c"))
+    base.loc[base.well_id >= 390, "label"] = 1
+    parts = [base.assign(fold=f, role=np.where(part == f, "test", "train")) for f in "abc"]
+    rows = spark.createDataFrame(pd.concat(parts))
+    got = {r["feature"]: r for r in m.permutation_by_fold(rows, ["signal", "noise"], rounds=3, depth=2).collect()}
+    assert {r["n_rows"] for r in got.values()} == {390}
+    each = []
+    for f in "ab":
+        own = rows.where(F.col("fold") == f)
+        lost = m.permutation_importance(own.where("role = 'train'"), own.where("role = 'test'"), ["signal", "noise"], rounds=3, depth=2)
+        each.append({r["feature"]: r["importance"] for r in lost.collect()})
+    for name, r in got.items():
+        assert r["importance"] == pytest.approx((each[0][name] * 100 + each[1][name] * 290) / 390)
+    assert m.permutation_by_fold(rows.where("fold = 'c'"), ["signal", "noise"]).count() == 0
+
+
 def test_permuted_column_keeps_its_values(spark):
     df = spark.range(200).select("id", (F.col("id") % 17).alias("v"))
     out = m.permuted(df, "v", "id", 3)
