@@ -299,11 +299,38 @@ def logit_scores(t):
     return m.logit_score(data.where("role = 'test'"), coef).select("fold", "well_id", "label", "score")
 
 
-@query("isotonic")
+def _fit_sql(rows: str) -> str:
+    """Fit by its minimax form: the greatest, over starts, of the least mean up to an end."""
+    return f"""g AS (SELECT score, count(*) AS n, sum(label) AS p FROM {rows} GROUP BY 1),
+c AS (SELECT *, sum(n) OVER (ORDER BY score) AS cn, sum(p) OVER (ORDER BY score) AS cp FROM g),
+m AS (SELECT a.score AS s0, b.score, (b.cp - a.cp + a.p) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.score <= b.score),
+l AS (SELECT score, min(mean) OVER (PARTITION BY s0 ORDER BY score DESC) AS least FROM m),
+fit AS (SELECT score, max(least) AS v FROM l GROUP BY 1)"""
+
+
+@query(
+    "isotonic",
+    f"WITH {_SCORED}, {_fit_sql('sc')} SELECT row_id, label, score, {fix_sql('v', 9)} AS calibrated FROM sc JOIN fit USING (score)",
+)
 def isotonic(t):
     """Calibrated probability per labelled document."""
     df = scored(t)
-    return m.apply_isotonic(m.fit_isotonic(df), df).select("row_id", "label", "score", "calibrated")
+    out = m.apply_isotonic(m.fit_isotonic(df), df)
+    return out.select("row_id", "label", "score", fix("calibrated", 9).alias("calibrated"))
+
+
+@query(
+    "isotonic_steps",
+    f"""WITH sc AS (SELECT CAST(l_returnflag = 'R' AS INT) AS label, floor(l_extendedprice / 1e2) AS score FROM lineitem), {_fit_sql('sc')}
+        SELECT min(score) AS first, max(score) AS last, {fix_sql('v', 9)} AS value FROM fit GROUP BY v""",
+)
+def isotonic_steps(t):
+    """Steps of the share of returned lines over their price."""
+    lines = t.lineitem.select(
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.floor(F.col("l_extendedprice").cast("double") / 100.0).cast("double").alias("score"),
+    )
+    return m.fit_isotonic(lines).select("first", "last", fix("value", 9).alias("value"))
 
 
 def _gate_rows(t):

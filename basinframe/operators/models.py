@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinframe.functions.scalars import threshold_score
 from basinframe.operators.contracts import Guard, guard
+from basinframe.operators.isotonic import apply_isotonic, fit_isotonic
 from basinframe.operators.ordered import prefix
 from basinframe.operators.ranking import fold_table, rank_calibrate
 from basinframe.session import materialize, small_table
@@ -112,22 +112,6 @@ def logit_score(df: DataFrame, coef: DataFrame, fold: str = "fold", x: str = "di
     )
 
 
-def fit_isotonic(scored: DataFrame, label: str = "label", score: str = "score"):
-    """Isotonic fit on out-of-fold scores; both classes must be present."""
-    classes = scored.agg(F.min(label).alias("a"), F.max(label).alias("b")).first()
-    if (classes["a"], classes["b"]) != (0, 1):
-        raise ValueError("isotonic calibration needs labels 0 and 1, both present")
-    data = scored.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("features"))
-    return IsotonicRegression(featuresCol="features", labelCol="label").fit(data)
-
-
-def apply_isotonic(model, scored: DataFrame, score: str = "score", out: str = "calibrated") -> DataFrame:
-    """Scores outside the fitted range take its end values."""
-    data = scored.withColumn("features", F.col(score).cast("double"))
-    p = model.setPredictionCol("__p").transform(data)
-    return p.withColumn(out, F.greatest(F.least("__p", F.lit(1.0)), F.lit(0.0))).drop("__p", "features")
-
-
 def impute(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Missing values become 0 beside a missing flag; trees split on the flag."""
     flags = {f"{f}__missing": F.col(f).isNull().cast("double") for f in features}

@@ -111,6 +111,51 @@ def test_isotonic_is_monotone_and_clips(spark):
         m.fit_isotonic(scores(spark, [1, 1], [0.1, 0.2]))
 
 
+def pooled(points):
+    """Plain pool-adjacent-violators over (score, label): [first, last, positives, rows]."""
+    out = []
+    for x in sorted({s for s, _ in points}):
+        ys = [y for s, y in points if s == x]
+        out.append([x, x, sum(ys), len(ys)])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            last = out.pop()
+            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
+    return out
+
+
+@pytest.mark.parametrize("width", ["1", "3", "20"])
+def test_isotonic_pools_over_partitions(spark, width):
+    rng = np.random.default_rng(int(width))
+    s = rng.integers(0, 300, 900) / 300
+    s[:300] = 0.5  # a third of the rows share one score
+    y = (rng.uniform(size=900) < 0.2 + 0.6 * s).astype(int)
+    df = scores(spark, y.tolist(), s.tolist())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        steps = m.fit_isotonic(df)
+        got = sorted(tuple(r) for r in steps.select("first", "last", "value").collect())
+        want = pooled(list(zip(s.tolist(), y.tolist(), strict=True)))
+        assert [g[:2] for g in got] == [tuple(w[:2]) for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] / w[3] for w in want])
+        at = m.apply_isotonic(steps, df).select("score", "calibrated").collect()
+        assert len(at) == 900
+        for x, v in at:
+            assert v == pytest.approx(next(w[2] / w[3] for w in want if w[0] <= x <= w[1]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_isotonic_between_and_beyond_steps(spark):
+    steps = m.fit_isotonic(scores(spark, [0, 0, 1, 1], [0.0, 1.0, 3.0, 4.0]))
+    asked = spark.createDataFrame(
+        [(1, -9.0), (2, 0.5), (3, 1.5), (4, 2.0), (5, 9.0), (6, None), (7, float("nan")), (8, float("-inf"))],
+        "i int, score double",
+    )
+    got = dict(m.apply_isotonic(steps, asked).select("i", "calibrated").collect())
+    assert got == {1: 0.0, 2: 0.0, 3: 0.25, 4: 0.5, 5: 1.0, 6: None, 7: None, 8: 0.0}
+
+
 def test_random_score_ignores_partitioning(spark):
     df = spark.range(500)
     a = df.coalesce(1).select("id", m.random_score(7, "id").alias("s"))
