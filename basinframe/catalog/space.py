@@ -22,6 +22,7 @@ from basinframe.catalog.shapes import (
 )
 from basinframe.functions.geo import Grid, chord_of_km, km_of_chord, unit_xyz, wrap_lon
 from basinframe.operators import polygons as pg
+from basinframe.operators.overlap import overlap_exact
 from basinframe.operators import raster as r
 from basinframe.operators import spatial as sp
 
@@ -203,6 +204,49 @@ def overlap_pct(t):
     return out.select("c_custkey", fix("overlap_pct", 2).alias("overlap_pct"))
 
 
+def _corner_sql(x: str, y: str) -> str:
+    """Surface of the unit disc to the lower left of a point, by the circle's segments."""
+    h = lambda t: f"(({t}) * sqrt(1 - ({t}) * ({t})) + asin({t})) / 2"
+    cap = lambda t: f"(acos({t}) - ({t}) * sqrt(1 - ({t}) * ({t})))"
+    x, y = f"least(greatest({x}, -1e0), 1e0)", f"least(greatest({y}, -1e0), 1e0)"
+    s = f"(-sqrt(1 - ({y}) * ({y})))"
+    return f"""CASE WHEN ({x}) * ({x}) + ({y}) * ({y}) < 1 THEN
+          CASE WHEN {y} >= 0 THEN 2 * ({h(s)} + pi() / 4) ELSE 0 END + ({y}) * (({x}) - {s}) + {h(x)} - {h(s)}
+        WHEN {x} < 0 AND {y} < 0 THEN 0e0
+        WHEN {y} < 0 THEN {cap(f'-({y})')} WHEN {x} < 0 THEN {cap(f'-({x})')}
+        ELSE pi() - {cap(x)} - {cap(y)} END"""
+
+
+def _map_sql(lat: str) -> str:
+    return f"ln(tan(pi() / 4 + radians({lat}) / 2)) * 6378137e0"
+
+
+_BOXES = f"""bx AS (SELECT s_suppkey AS area_id, floor({lon_sql('s_suppkey', 15013)} / 4) AS gx, floor({lat_sql('s_suppkey', 6151)} / 4) AS gy FROM supplier),
+m AS (SELECT area_id, gx * 4 * (pi() * 6378137e0 / 18e1) AS x1, (gx + 1) * 4 * (pi() * 6378137e0 / 18e1) AS x2,
+  {_map_sql('gy * 4')} AS y1, {_map_sql('(gy + 1) * 4')} AS y2 FROM bx),
+b AS (SELECT c_custkey, {lon_sql('c_custkey')} * (pi() * 6378137e0 / 18e1) AS cx, {_map_sql(lat_sql('c_custkey'))} AS cy FROM customer),
+u AS (SELECT c_custkey, area_id, (x1 - cx) / 15e4 AS x1, (x2 - cx) / 15e4 AS x2, (y1 - cy) / 15e4 AS y1, (y2 - cy) / 15e4 AS y2
+  FROM b JOIN m ON x1 < cx + 15e4 AND x2 > cx - 15e4 AND y1 < cy + 15e4 AND y2 > cy - 15e4),
+s AS (SELECT *, ({_corner_sql('x2', 'y2')}) - ({_corner_sql('x1', 'y2')}) - ({_corner_sql('x2', 'y1')}) + ({_corner_sql('x1', 'y1')}) AS v FROM u),
+a AS (SELECT c_custkey, sum(v) AS v, count(*) FILTER (v > 1e-9) AS n FROM s GROUP BY 1),
+o AS (SELECT c_custkey, sum(v) AS v FROM (SELECT DISTINCT c_custkey, round(x1, 6) AS rx, round(y1, 6) AS ry, first(v) AS v FROM s GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(
+    "overlap_exact",
+    f"""WITH {_BOXES} SELECT c_custkey, {fix_sql('coalesce(o.v, 0) * 1e2 / pi()', 5)} AS overlap_pct,
+          {fix_sql('coalesce(a.v, 0) * 1e2 / pi()', 5)} AS summed_pct, coalesce(n, 0) AS n_areas
+        FROM customer LEFT JOIN a USING (c_custkey) LEFT JOIN o USING (c_custkey)""",
+)
+def overlap_share_exact(t):
+    """Boxes of four degrees around suppliers; those of one cell lie on each other."""
+    side = lambda c, d: (F.floor(F.col(c) / 4) + d) * F.lit(4.0)
+    ring = F.array(*[F.array(side("lon", i), side("lat", j)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    rings = suppliers_as_points(t).select(F.col("s_suppkey").alias("area_id"), ring.alias("ring"))
+    out = overlap_exact(customers_as_points(t), pg.edges_of_rings(rings, "area_id", "ring"), "c_custkey", 150.0)
+    return out.select("c_custkey", fix("overlap_pct", 5).alias("overlap_pct"), fix("summed_pct", 5).alias("summed_pct"), "n_areas")
+
+
 @query(
     "overlap_names",
     f"""WITH {_SQUARES}, c AS (SELECT c_custkey % 50 AS block, {lat_sql('c_custkey')} AS lat, {lon_sql('c_custkey')} AS lon FROM customer),
