@@ -33,7 +33,7 @@ def _learn(words: set[bytes], path: str) -> dict[bytes, int]:
     new = [w for w in words if w not in known]
     for at in range(0, len(new), 4096):
         part = new[at : at + 4096]
-        encoded = _tokenizer(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+        encoded = _tokenizer(path).encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False)
         known.update(zip(part, map(len, encoded), strict=True))
     return known
 
@@ -57,7 +57,8 @@ def token_counts(
     space; strings of its special tokens count as the library counts them.
 
     One row per input row: repeated rows repeat, a null or empty text has no bytes and no
-    tokens, a null id stays null. Other columns are ignored. The work is per document,
+    tokens, a null id stays null. Bytes that are not UTF-8 count as the replacement
+    character in tokens and as they are in bytes. Other columns are ignored. The work is per document,
     without a shuffle; only a bounded cache of words outlives a slice.
     """
 

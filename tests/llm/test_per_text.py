@@ -134,3 +134,12 @@ def test_line_model_on_held_out_documents(spark):
     out = quality.quality_rules(docs, model).join(labels, "doc_id").where("not base_failed").toPandas()
     assert seen > 200
     assert out[out.quality == 1].kept.mean() > 0.98 and out[out.quality == 0].kept.mean() < 0.4
+
+
+def test_token_counts_of_bytes_that_are_not_utf8(spark):
+    raw = [b"caf\xe9 \xf0\x9f \xff\xff x", "whole é words".encode(), b"\x80"]
+    table = spark.createDataFrame([*enumerate(raw)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw AS string) AS text")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(table, WORDS).collect()}
+    library = Tokenizer.from_file(WORDS)
+    want = [len(library.encode(b.decode(errors="replace"), add_special_tokens=False).ids) for b in raw]
+    assert got == {i: (len(b), n) for i, (b, n) in enumerate(zip(raw, want, strict=True))}
