@@ -107,6 +107,8 @@ def _disclosing(base: DataFrame, docs: DataFrame, text: Column, theta: float, sh
     c(t, e) lies between 1 and the lesser of c(t) and c(e). Where 1 is enough, or the
     greatest value is not, the pair is decided without counting; only the others are paired.
     """
+    if not 0 <= theta <= 1:
+        raise ValueError("theta must lie between 0 and 1")
     hits = base.where("_hit")
     entity = F.concat(*(_each(k, lambda s, k: F.struct(F.lit(k).alias("kind"), F.lower(s["value"]).alias("entity"))) for k in KINDS))
     entities = hits.select("_row", F.explode(F.array_distinct(entity)).alias("e")).select("_row", "e.*")
@@ -116,15 +118,20 @@ def _disclosing(base: DataFrame, docs: DataFrame, text: Column, theta: float, sh
     at_most = lambda c_t, e: _reveals(n, F.least(c_t, e), c_t, e, theta)
     c_t = docs.select(F.explode(_words(text, shortest)).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     c_t = materialize(c_t.where(at_most(F.col("c_t"), F.lit(most))), "terms")
-    by_row = entities.join(c_e, ["kind", "entity"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "c_e")).alias("entities"))
+    # An entity of one document is paired once at most, so it is decided without counting,
+    # and of all a row's entities the rarest is the first that a term reveals.
+    shared = F.when(F.col("c_e") > 1, F.struct("kind", "entity", "c_e"))
+    by_row = entities.join(c_e, ["kind", "entity"]).groupBy("_row").agg(
+        F.min("c_e").alias("least"), F.collect_list(shared).alias("shared")
+    )
     terms = hits.select("_row", F.explode(_words(text, shortest)).alias("term")).join(c_t, "term")
-    sure = lambda e: _reveals(n, F.lit(1), F.col("c_t"), e["c_e"], theta)
+    sure = lambda least: _reveals(n, F.lit(1), F.col("c_t"), least, theta)
     judged = (
         materialize(terms, "candidates").join(materialize(by_row, "by_row"), "_row")
         .select(
             "_row", "term", "c_t",
-            F.exists("entities", sure).alias("sure"),
-            F.filter("entities", lambda e: ~sure(e) & at_most(F.col("c_t"), e["c_e"])).alias("open"),
+            sure(F.col("least")).alias("sure"),
+            F.filter("shared", lambda e: ~sure(e["c_e"]) & at_most(F.col("c_t"), e["c_e"])).alias("open"),
         )
         .where("sure or size(open) > 0")
     )
@@ -144,30 +151,67 @@ def _found(docs: DataFrame, text: Column) -> DataFrame:
     return base.withColumn("_row", F.monotonically_increasing_id())
 
 
-def _occurrences(text: Column) -> Column:
-    """Spans of all occurrences of the terms ``_told`` that do not lie inside a base span."""
+def _buckets(items: Column, k: Column, belongs) -> Column:
+    """``k`` arrays of the items for which ``belongs(item, number)``."""
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.filter(items, lambda x: belongs(x, i)))
+
+
+def _occurrences(text: Column, index: Column) -> Column:
+    """Spans of all occurrences of the terms in ``index`` that do not lie inside a base span.
+
+    ``index`` holds about the root of their number of arrays of terms, by hash, and of base
+    spans, by place: a word is compared with one array of each.
+    """
     found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     gaps = F.split(text, TERM, -1)
     both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    terms, own, wide = index["terms"], index["own"], index["wide"]
 
     def add(acc, x):
         a = acc["at"] + x["g"]
         b = a + F.length(x["m"])
         span = F.struct(a.alias("start"), b.alias("end"), F.lit("").alias("value"))
-        told = F.array_contains("_told", F.lower(x["m"]))
+        word = F.lower(x["m"])
+        told = F.array_contains(F.get(terms, F.pmod(F.xxhash64(word), F.size(terms)).cast("int")), word)
         return F.struct(b.alias("at"), F.when(told, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
     spans = F.aggregate(both, start, add, lambda acc: acc["out"])
+    near = lambda s: F.get(own, F.floor(s["start"] / wide).cast("int"))
+    return F.filter(spans, lambda s: ~F.exists(near(s), lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])))
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once for a row and not at each use in a lambda."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _index(text: Column) -> Column:
+    """The row's terms and base spans as :func:`_occurrences` reads them."""
+    root = lambda n: F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
     own = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    return F.filter(spans, lambda s: ~F.exists(own, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])))
+    n_own = root(sum(F.size(f"_{k}") for k in KINDS))
+    known = F.struct(
+        own.alias("own"), root(F.size("_told")).alias("n_terms"), n_own.alias("n_own"),
+        (F.floor(F.length(text) / n_own) + 1).alias("wide"),
+    )
+    covers = lambda s: lambda o, i: (o["start"] < (i + 1) * s["wide"]) & (o["end"] > i * s["wide"])
+    return _let(
+        known,
+        lambda s: F.struct(
+            _buckets(F.col("_told"), s["n_terms"], lambda t, i: F.pmod(F.xxhash64(t), s["n_terms"]) == i).alias("terms"),
+            _buckets(s["own"], s["n_own"], covers(s)).alias("own"),
+            s["wide"].alias("wide"),
+        ),
+    )
 
 
 def _with_terms(base: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
     """Rows with a base span get their term spans; the others take no part in the join."""
     none = F.array().cast(_SPANS)
     hits = base.where("_hit").join(terms, "_row", "left")
-    hits = hits.withColumn("_term", F.when(F.col("_told").isNotNull(), _occurrences(text)).otherwise(none)).drop("_told")
+    spans = _let(_index(text), lambda index: _occurrences(text, index))
+    hits = hits.withColumn("_term", F.when(F.col("_told").isNotNull(), spans).otherwise(none)).drop("_told")
     return hits.unionByName(base.where("not _hit").withColumn("_term", none))
 
 
@@ -195,12 +239,12 @@ def find_private(
     of its occurrences in the documents with that entity. All counts are over all
     documents. Only rows with a span enter joins by row.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     text = F.coalesce(F.col("_text"), F.lit(""))
     base = materialize(_found(rows, text).withColumn("_text", F.when(F.col("_hit"), text)), "private")
     terms = _disclosing(base, rows, text, theta, shortest)
     return _with_terms(base, terms, text).select(
-        id_col,
+        F.col("_id").alias(id_col),
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ORDER),
         _joined(KINDS).alias("base"),
         _joined(ORDER).alias("spans"),
@@ -215,10 +259,13 @@ def sanitise(
 ) -> DataFrame:
     """The documents with their spans generalised to the kind, as ``[EMAIL]``, and disclosing
     terms to ``[TERM]``. Overlapping spans become one, named after the first. Texts without a
-    span, null ones too, and all other columns stay as they are."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = materialize(_found(docs, text), "private")
-    terms = _disclosing(base, docs, text, theta, shortest)
+    span, null ones too, and all other columns stay as they are, whatever their names."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    # Inside one struct the caller's columns cannot meet the working ones.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(text_col).alias("_text"), F.struct(F.lit(0).alias(" "), *rest).alias("_rest"))
+    base = materialize(_found(rows, text), "private")
+    terms = _disclosing(base, rows, text, theta, shortest)
     named = F.concat(
         *(
             _each(k, lambda s, k: F.struct(s["start"].alias("a"), F.lit(ORDER.index(k)).alias("i"), s["end"].alias("b"), F.lit(k).alias("k")))
@@ -235,5 +282,6 @@ def sanitise(
 
     done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     masked = F.aggregate(F.array_sort(named), start, add, done)
-    out = _with_terms(base, terms, text).withColumn(text_col, F.when(F.col("_hit"), masked).otherwise(F.col(text_col)))
-    return out.select(docs.columns)
+    done_text = F.when(F.col("_hit"), masked).otherwise(F.col("_text"))
+    out = _with_terms(base, terms, text)
+    return out.select(*(done_text.alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns))

@@ -66,3 +66,28 @@ def test_counts_over_whole_documents(spark, rng):
 def test_an_entity_of_all_documents_is_not_disclosed(spark):
     table = spark.createDataFrame([(1, "some words to eve@x.org")], "doc_id long, text string")
     assert _terms(table) == {1: []}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("_row", "_hit", "_email", "_term", "_told", "_index", "_rest", "_id", "col1", "a.b")
+    table = spark.createDataFrame(
+        [(1, *("keep",) * 5, "to eve@x.org now", *("keep",) * 5), (2, *(None,) * 11)],
+        ", ".join(["doc_id long", *(f"`{c}` string" for c in names[:5]), "text string", *(f"`{c}` string" for c in names[5:])]),
+    )
+    out = private.sanitise(table)
+    assert out.columns == table.columns
+    first, second = sorted(map(tuple, out.collect()))
+    assert first == (1, *("keep",) * 5, "to [EMAIL] now", *("keep",) * 5) and second == (2, *(None,) * 11)
+    found = private.find_private(table.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_row", "doc_id"), id_col="_hit")
+    assert sorted((r["_hit"] or "", r["n_email"]) for r in found.collect()) == [("", 0), ("keep", 1)]
+
+
+def test_a_text_of_many_entities(spark):
+    """A very long text, another that shares half of its addresses, and plain ones."""
+    host = lambda i: f"u{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+    long = " ".join(f"Name{host(i)} at {host(i)}@host.org wrote" for i in range(4000))
+    half = " ".join(f"{host(i)}@host.org with name{host(i)} plain" for i in range(0, 600, 2))
+    texts = [long, half, *(f"plain words wrote {i}" for i in range(80))]
+    got = _terms(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    want = _plain(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(want[0]) >= 4000
