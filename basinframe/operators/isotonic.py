@@ -5,7 +5,7 @@ The best non-decreasing fit is the slope of the lower convex hull of the points
 range of scores is not on the hull of all, so ranges drop their points on their own and
 neighbouring ranges then merge, eight at a time. Edges of a hull have different slopes,
 each a fraction of whole numbers, so the hull of n rows has at most about
-2.1 * n**(2/3) edges: a million for 10^9 rows. That bounds what a task holds.
+0.9 * n**(2/3) edges: a million for 10^9 rows. That bounds what a task holds.
 """
 
 from __future__ import annotations
