@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import public_tokenizers
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -34,10 +35,27 @@ def test_pieces_equal_the_library(rng):
         assert model.encode(text).tolist() == want and model.decode(np.array(want)) == library.decode(want)
 
 
-def test_token_counts_equal_the_library(rng):
+@pytest.mark.parametrize("frequent", [0, 5, 1 << 16])
+def test_token_counts_equal_the_library(spark, rng, frequent):
+    """The share of pre-tokens joined inside the tasks, none to all, changes no count."""
     library, texts = Tokenizer.from_file(WORDS), odd_texts(rng)
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert tokens.count_texts([t.encode() for t in texts], WORDS).tolist() == want
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, f string").repartition(5)
+    out = tokens.token_counts(docs, WORDS, id_col="k", text_col="f", frequent=frequent).collect()
+    assert {int(r["k"]): r["n_tokens"] for r in out} == dict(enumerate(want)) and len(out) == len(want)
+
+
+def test_pretoken_table_counts_each_once(spark, monkeypatch):
+    """One row per distinct pre-token of all tasks; long ones stay apart under their digest."""
+    monkeypatch.setattr(tokens, "_HELD", 2)
+    long = ["http://example.org/" + "x" * 40 + tail for tail in "ab"]
+    texts = [f"the cat the {long[0]}", f"{long[1]} dog cat", "the", "", f"{long[0]}"]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "t binary").repartition(3)
+    want = Counter(w for t in texts for w in t.encode().split())
+    got = {bytes(r["k"]): (r["f"], r["pieces"]) for r in tokens.pretoken_table(rows, WORDS).collect()}
+    pieces = dict(zip(want, tokens.count_pieces(list(want), WORDS), strict=True))
+    assert got == {tokens.join_key(w): (n, pieces[w]) for w, n in want.items()}
+    assert tokens.pretoken_table(rows.where("false"), WORDS).count() == 0
 
 
 def test_byte_pairs_equal_the_library(rng):
