@@ -90,7 +90,7 @@ def block_validity(t):
     return out.groupBy(F.coalesce("input_error", F.lit("ok")).alias("input_error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_DRAWS = 40
+_DRAWS = 10_000
 
 
 def _u(dim: int) -> str:
@@ -122,7 +122,7 @@ em AS (SELECT block_id, pg * npv - (1 - pg) * w AS emv FROM e)"""
         {fix_sql('avg(CASE WHEN emv > 0 THEN 1e0 ELSE 0e0 END)', 6)} AS p_emv_positive, count(*) AS n_draws FROM em GROUP BY 1""",
 )
 def scenario_summary(t):
-    """Forty draws per block, fanned out and summarised."""
+    """The operator's own number of draws per block, fanned out and summarised."""
     draws = ec.scenario_draws(blocks(t), _DRAWS, seed=7, stream=F.col("stream").cast("double"))
     out = ec.scenario_summary(draws)
     cols = ["emv_mean_musd", "emv_p10_musd", "emv_p50_musd", "emv_p90_musd"]

@@ -336,20 +336,27 @@ def scenario_draws(
 
 def scenario_summary(draws: DataFrame, block_id: str = "block_id") -> DataFrame:
     """Mean, 10/50/90 % points and chance of a positive value. A block has exactly
-    as many values as there are draws, so the exact percentile is bounded."""
-    q = F.percentile("emv_musd", [0.1, 0.5, 0.9])
+    as many values as there are draws, so its sorted values are a bounded array, in
+    which a point lies between two ranks."""
+    value = F.col("emv_musd")
     g = draws.groupBy(block_id).agg(
-        F.avg("emv_musd").alias("emv_mean_musd"),
-        q.alias("q"),
-        F.avg((F.col("emv_musd") > 0).cast("double")).alias("p_emv_positive"),
+        F.avg(value).alias("emv_mean_musd"),
+        F.sort_array(F.collect_list(value)).alias("__v"),
+        F.avg((value > 0).cast("double")).alias("p_emv_positive"),
         F.count(F.lit(1)).alias("n_draws"),
     )
+
+    def point(q: float) -> Column:
+        at = F.lit(q) * (F.size("__v") - 1)
+        low, high = (F.get("__v", f(at).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (at - F.floor(at))
+
     return g.select(
         block_id,
         "emv_mean_musd",
-        F.col("q")[0].alias("emv_p10_musd"),
-        F.col("q")[1].alias("emv_p50_musd"),
-        F.col("q")[2].alias("emv_p90_musd"),
+        point(0.1).alias("emv_p10_musd"),
+        point(0.5).alias("emv_p50_musd"),
+        point(0.9).alias("emv_p90_musd"),
         "p_emv_positive",
         "n_draws",
     )

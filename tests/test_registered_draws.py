@@ -7,3 +7,7 @@ def test_block_screening_draws(spark, sf):
     p = [r["p_emv_positive"] for r in queries()["block_screening"](spark, sf).collect() if r["p_emv_positive"] is not None]
     assert all(abs(x * 10_000 - round(x * 10_000)) < 1e-6 for x in p)
     assert any(abs(x * 50 - round(x * 50)) > 1e-6 for x in p)
+
+
+def test_scenario_summary_draws(spark, sf):
+    assert {r["n_draws"] for r in queries()["scenario_summary"](spark, sf).collect()} == {10_000}
