@@ -66,8 +66,10 @@ def static_features(
     radii: dict[str, int] | None = None,
     elevation: str = "elevation_m",
 ) -> DataFrame:
-    """Channel values, neighbourhood statistics and depth class per point."""
-    near = neighbourhood(cells, grid, list(around), radii or NEIGHBOURHOOD_RADII)
+    """Channel values, neighbourhood statistics and depth class per point. Squares are
+    summed in the tiles around the points alone."""
+    wanted = points.select(grid.row_of("lat").alias("row"), grid.col_of("lon").alias("col"))
+    near = neighbourhood(cells, grid, list(around), radii or NEIGHBOURHOOD_RADII, wanted)
     at = lookup(points, cells, grid, list(channels))
     out = at.join(near, ["row", "col"], "left").drop("row", "col")
     return out.withColumn("water_depth_class", water_depth_class(elevation).cast("double"))

@@ -228,29 +228,68 @@ def regrid(
 # ---- neighbourhoods ----------------------------------------------------------------
 
 
+def _tiles_around(grid: Grid, wanted: DataFrame, reach: int, tile: int) -> DataFrame:
+    """``(tr, tc)``: the tiles that squares of ``reach`` cells around ``wanted`` touch.
+
+    A tile is at least as wide as a square (the last one of a row or column takes the
+    remainder), so a square's corners name all tiles it touches.
+    """
+    width = max(tile, 2 * reach + 1)
+    down, across = (max(n // width, 1) for n in (grid.n_rows, grid.n_cols))
+    steps = F.array(F.lit(-reach), F.lit(reach))
+    rows = F.transform(steps, lambda d: F.least(F.greatest(F.col("row") + d, F.lit(0)), F.lit(grid.n_rows - 1)))
+    cols = F.transform(steps, lambda d: F.pmod(F.col("col") + d, F.lit(grid.n_cols)))
+    spread = wanted.select(F.explode(rows).alias("r"), cols.alias("cs")).select("r", F.explode("cs").alias("c"))
+    return spread.select(_tile("r", width, down).alias("tr"), _tile("c", width, across).alias("tc")).distinct()
+
+
+def _tile(c: str, width: int, count: int) -> Column:
+    return F.least(F.floor(F.col(c) / F.lit(width)), F.lit(count - 1)).cast("int")
+
+
+def _cells_around(cells: DataFrame, grid: Grid, wanted: DataFrame, reach: int, tile: int) -> DataFrame:
+    """Every cell of the tiles around ``wanted``, with the values of ``cells`` where it has some."""
+    width = max(tile, 2 * reach + 1)
+    down, across = (max(n // width, 1) for n in (grid.n_rows, grid.n_cols))
+    tiles = materialize(_tiles_around(grid, wanted, reach, tile), "tiles")
+
+    def line(c: str, count: int, size: int) -> Column:
+        last = F.when(F.col(c) == count - 1, F.lit(size - 1)).otherwise((F.col(c) + 1) * width - 1)
+        return F.sequence(F.col(c) * width, last)
+
+    full = tiles.select(F.explode(line("tr", down, grid.n_rows)).alias("row"), "tc")
+    full = full.select("row", F.explode(line("tc", across, grid.n_cols)).alias("col"))
+    placed = cells.withColumns({"tr": _tile("row", width, down), "tc": _tile("col", width, across)})
+    return full.join(placed.join(tiles, ["tr", "tc"], "left_semi").drop("tr", "tc"), ["row", "col"], "left")
+
+
 def neighbourhood(
-    cells: DataFrame, grid: Grid, channels: Sequence[str], radii: dict[str, int]
+    cells: DataFrame, grid: Grid, channels: Sequence[str], radii: dict[str, int], wanted: DataFrame | None = None, tile: int = 64
 ) -> DataFrame:
     """Mean and population standard deviation over a square of cells around every
-    cell of the grid.
+    cell of the grid, or around the cells ``wanted`` (``row, col``) alone.
 
     Rows stop at the poles, columns wrap. Two passes of running sums (along rows,
-    then along columns) serve every radius; values are centred on the channel
-    median first so that squares do not cancel.
+    then along columns) serve every radius; values are centred on the channel's mean
+    first so that squares do not cancel. For ``wanted`` cells only the tiles of
+    ``tile`` cells that their squares touch take part, at any size of the grid; a null
+    row or column has no square.
     """
-    stats = {r["channel"]: r["median"] for r in channel_stats(cells, channels).collect()}
+    reach = max(radii.values())
     # Every cell takes part, also one without a row of its own: its neighbours count.
-    full = grid.centres(cells.sparkSession).select("row", "col")
-    full = full.join(cells.select("row", "col", *channels), ["row", "col"], "left")
+    if wanted is None:
+        full = grid.centres(cells.sparkSession).select("row", "col")
+        full = full.join(cells.select("row", "col", *channels), ["row", "col"], "left")
+    else:
+        wanted = wanted.select("row", "col").dropna().distinct()
+        full = materialize(_cells_around(cells.select("row", "col", *channels), grid, wanted, reach, tile), "around")
+    middle = full if wanted is not None else cells
+    stats = middle.agg(*[F.avg(finite_or_null(c)).alias(c) for c in channels]).first().asDict()
     base = full.select(
         "row",
         "col",
-        *[
-            (finite_or_null(c) - F.lit(float(stats[c] if stats[c] is not None else 0.0))).alias(f"v_{c}")
-            for c in channels
-        ],
+        *[(finite_or_null(c) - F.lit(float(stats[c] or 0.0))).alias(f"v_{c}") for c in channels],
     )
-    reach = max(radii.values())
     wrapped = base.withColumn("at", F.col("col"))
     left = base.where(F.col("col") >= grid.n_cols - reach).withColumn("at", F.col("col") - grid.n_cols)
     right = base.where(F.col("col") < reach).withColumn("at", F.col("col") + grid.n_cols)
@@ -280,7 +319,8 @@ def neighbourhood(
             var = q / F.nullif(n, F.lit(0)) - mean * mean
             std = F.when(n > 0, F.sqrt(F.greatest(var, F.lit(0.0))))
             out.append(std.alias(f"{c}_std_{tag}"))
-    return summed.select("row", "col", *out)
+    around = summed.select("row", "col", *out)
+    return around if wanted is None else around.join(wanted, ["row", "col"], "left_semi")
 
 
 # ---- distances ---------------------------------------------------------------------

@@ -110,6 +110,24 @@ def test_neighbourhood_wraps_columns_and_stops_at_poles(spark):
         assert got[(i, j)][f"v_std_{tag}"] == pytest.approx(w.std())
 
 
+def test_neighbourhood_of_wanted_cells(spark):
+    """The same values as over the whole grid, from the tiles around the cells alone; cells
+    without a row, poles and the seam included."""
+    g = Grid(5.0)
+    data = np.random.default_rng(1).normal(size=(36, 72))
+    cells = grid_frame(spark, data).where("(row * 7 + col) % 5 <> 0")
+    wanted = [(0, 0), (35, 71), (17, 70), (17, 1), (20, 20), (20, 21), (5, 63), (20, 20), (None, 3)]
+    asked = spark.createDataFrame(wanted, "row int, col int")
+    whole = {(x["row"], x["col"]): x for x in r.neighbourhood(cells, g, ["v"], {"a": 1, "b": 4}).collect()}
+    got = r.neighbourhood(cells, g, ["v"], {"a": 1, "b": 4}, wanted=asked, tile=8).collect()
+    assert sorted((x["row"], x["col"]) for x in got) == sorted({w for w in wanted if w[0] is not None})
+    for x in got:
+        want = whole[x["row"], x["col"]]
+        assert all(x[k] == pytest.approx(want[k]) for k in want.asDict())
+    tiles = r._tiles_around(g, asked.where("row = 20"), 4, 9).collect()
+    assert sorted((x["tr"], x["tc"]) for x in tiles) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
 def test_idw_exact_hit_and_cutoff(spark):
     pts = spark.createDataFrame([(1, 15.0, 15.0, 5.0), (2, -75.0, -165.0, 9.0)], "p int, lat double, lon double, v double")
     out = r.idw(Grid(30.0).centres(spark), pts, "v", "p", k=12, max_km=100.0).toPandas()
