@@ -6,13 +6,25 @@ from pyspark.sql import functions as F
 
 from basinframe.catalog import feeds
 from basinframe.catalog.registry import day, fix, fix_sql, query
-from basinframe.catalog.shapes import MAPPED_SQL, POINTS_SQL, blocks, lat_of, lon_of, mapped_wells, outcome_rows
-from basinframe.catalog.space import _SQUARES, diamonds
-from basinframe.functions.geo import Grid
+from basinframe.catalog.shapes import (
+    MAPPED_SQL,
+    POINTS_SQL,
+    blocks,
+    customers_as_points,
+    km_sql,
+    lat_of,
+    lon_of,
+    mapped_wells,
+    outcome_rows,
+    suppliers_as_points,
+)
+from basinframe.catalog.space import _DIST, _SQUARES, diamonds
+from basinframe.functions.geo import Grid, chord_of_km
 from basinframe.operators.polygons import province_cells
 from basinframe.operators.wells import primary_set
 from basinframe.plans import panels
 from basinframe.plans.blocks import memo_fields, screen_blocks
+from basinframe.plans.dossier import block_dossier, block_memos, dossier_fields
 from basinframe.plans.labels import build_labels
 from basinframe.plans.report import build_report, reconciliation_inputs, summarize
 from basinframe.sources.market import curve_strip
@@ -239,3 +251,95 @@ def cited_fields(t):
     return memo_fields(_screened(t)).groupBy("agent", "field").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == "data gap").alias("n_gaps")
     )
+
+
+_DOSSIER_SQL = f"""{_DIST}, w AS (SELECT c_custkey, c_custkey % 5 = 0 AS excluded, c_custkey % 2 AS label, 'S' || c_custkey % 4 AS source_id,
+    CAST(1950 + c_custkey % 70 AS INT) AS spud_year, c_nationkey AS province_code, c_custkey % 3 = 0 AS wildcat FROM customer),
+  o AS (SELECT s_suppkey, count(*) FILTER (near) AS offset_wells, count(*) FILTER (near AND NOT excluded) AS offset_labelled,
+      CAST(coalesce(sum(label) FILTER (near AND NOT excluded), 0) AS BIGINT) AS offset_discoveries,
+      coalesce(string_agg(DISTINCT source_id, ',' ORDER BY source_id) FILTER (near), '') AS offset_sources
+    FROM (SELECT *, chord <= {chord_of_km(1000.0)!r} AS near FROM d) JOIN w USING (c_custkey) GROUP BY 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY chord, c_custkey) AS rank FROM d),
+  n AS (SELECT s_suppkey, string_agg(rank || ':' || c_custkey || ':' || CASE WHEN excluded THEN 'x' ELSE label || '' END || ':' || spud_year || ':' || CAST(floor({km_sql('chord')} * 10 + 5e-1) AS BIGINT), ';' ORDER BY rank) AS nearest
+    FROM k JOIN w USING (c_custkey) WHERE rank <= 5 GROUP BY 1),
+  cell AS (SELECT CAST(p_partkey // 72 % 36 AS INT) AS row, CAST(p_partkey % 72 AS INT) AS col, max(p_size) AS z FROM part GROUP BY 1, 2),
+  b AS (SELECT s.s_suppkey, s_nationkey, cell.z AS z FROM supplier p JOIN s ON s.s_suppkey = p.s_suppkey
+    LEFT JOIN cell ON row = CAST(floor((9e1 - lat) / 5e0) AS INT) AND col = CAST(floor((lon + 18e1) / 5e0) AS INT)),
+  g AS (SELECT province_code, count(*) AS n, CAST(sum(label) AS BIGINT) AS f, min(spud_year) AS a, max(spud_year) AS z FROM w WHERE wildcat AND NOT excluded GROUP BY 1),
+  gov AS (SELECT c_nationkey, CAST(year(o_orderdate) AS INT) AS year, max(o_totalprice) FILTER (o_orderstatus = 'F') / 1e5 AS f, max(o_totalprice) FILTER (o_orderstatus = 'O') / 1e5 AS o
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 QUALIFY year = max(year) OVER (PARTITION BY c_nationkey)),
+  fsi AS (SELECT c_nationkey, arg_max(c_acctbal, c_custkey) AS v FROM customer GROUP BY 1),
+  fin AS (SELECT count(*) AS checked, count(*) FILTER (p_size % 3 = 0) AS restricting FROM part)"""
+
+
+def _dossier(t):
+    k = F.col("c_custkey")
+    wells = customers_as_points(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").select(
+        k.alias("well_id"), F.concat(F.lit("S"), k % 4).alias("source_id"), "lat", "lon",
+        F.when(k % 3 == 0, "wildcat").otherwise("appraisal").alias("purpose"), F.lit("oil").alias("outcome_raw"),
+        (k % 2).cast("int").alias("label"), (k % 5 == 0).alias("excluded"), (k % 70 + 1950).cast("int").alias("spud_year"),
+        F.col("c_nationkey").alias("province_code"), F.concat(F.lit("P"), "c_nationkey").alias("province_name"),
+    )
+    own = suppliers_as_points(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").select(
+        F.col("s_suppkey").alias("block_id"), "lat", "lon", F.concat(F.lit("n"), "s_nationkey").alias("iso3"), F.lit("nowhere").alias("country_name")
+    )
+    p = F.col("p_partkey")
+    cell = t.part.groupBy((F.floor(p / 72) % 36).cast("int").alias("row"), (p % 72).cast("int").alias("col")).agg(F.max("p_size").alias("z"))
+    cell = cell.select(
+        "row", "col", (F.col("z") - 25.0).alias("score_mask"), (F.col("z") * -10.0).alias("elevation_m"), (F.col("z") % 30).alias("province_code")
+    )
+    nation = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    scores = nation.groupBy(
+        F.concat(F.lit("N"), "c_nationkey").alias("iso3"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("indicator")
+    ).agg((F.max("o_totalprice") / 100000.0).alias("value"))
+    index = t.customer.select(F.concat(F.lit("N"), "c_nationkey").alias("iso3"), fix("c_acctbal", 1).alias("total"), k.alias("year"))
+    listed = t.nation.where("n_nationkey % 4 = 0").select(
+        F.concat(F.lit("N"), "n_nationkey").alias("iso3"), F.lit("-").alias("country_name"),
+        F.concat(F.lit("PR"), "n_regionkey").alias("program"), F.lit("L").alias("list_source"),
+    )
+    policy = t.part.select(F.when(F.col("p_size") % 3 == 0, " Partial").otherwise("false").alias("upstream_oil_excluded"))
+    return block_dossier(
+        own, wells=wells, cells=cell, grid=Grid(5.0), governance=scores, indicators=["F", "O"], index=index,
+        programs=listed, financing=policy, sources=["S3", "S1", "S0", "S2"], radius_km=1000.0,
+    )
+
+
+@query(
+    "block_dossier",
+    f"""{_DOSSIER_SQL} SELECT s_suppkey AS block_id, coalesce(b.z > 25, false) AS in_mask, coalesce(b.z * -1e1, 1) AS elevation_m, offset_wells, offset_labelled, offset_discoveries,
+        coalesce(floor(1e3 * offset_discoveries / nullif(offset_labelled, 0) + 5e-1) / 1e3, -1) AS offset_rate, offset_sources, nearest,
+        CASE WHEN n IS NULL THEN '(no drilled wildcats)' ELSE 'P' || province_code END AS province_name, coalesce(n, 0) AS basin_wildcats, coalesce(g.f, 0) AS basin_discoveries,
+        coalesce(a, -1) AS first_spud_year, coalesce(g.z, -1) AS last_spud_year, year AS governance_year, coalesce({fix_sql('gov.f', 3)}, -1) AS f, coalesce({fix_sql('gov.o', 3)}, -1) AS o, {fix_sql('v', 1)} AS fsi_total,
+        s_nationkey % 4 = 0 AS sanctioned, CASE WHEN s_nationkey % 4 = 0 THEN 'PR' || n_regionkey ELSE '' END AS programs, checked, restricting
+        FROM b JOIN o USING (s_suppkey) JOIN n USING (s_suppkey) JOIN nation ON n_nationkey = s_nationkey LEFT JOIN g ON province_code = b.z % 30
+        LEFT JOIN gov ON gov.c_nationkey = s_nationkey LEFT JOIN fsi ON fsi.c_nationkey = s_nationkey, fin""",
+)
+def dossier(t):
+    """What every screen says about each block, nearest wells and cells included."""
+    well = lambda n: F.concat_ws(
+        ":", n["rank"], n["well_id"], F.coalesce(n["label"].cast("string"), F.lit("x")), n["spud_year"], F.round(n["distance_km"] * 10).cast("long")
+    )
+    filled = lambda c, none: F.coalesce(c, F.lit(none)).alias(c)
+    return _dossier(t).select(
+        "block_id", F.col("in_scoreable_mask").alias("in_mask"), filled("elevation_m", 1.0), "offset_wells", "offset_labelled", "offset_discoveries",
+        F.coalesce("offset_success_rate", F.lit(-1.0)).alias("offset_rate"), F.array_join("offset_sources", ",").alias("offset_sources"),
+        F.array_join(F.transform("nearest_wells", well), ";").alias("nearest"), "province_name", "basin_wildcats", "basin_discoveries",
+        filled("first_spud_year", -1), filled("last_spud_year", -1), "governance_year",
+        F.coalesce(fix("f", 3), F.lit(-1.0)).alias("f"), F.coalesce(fix("o", 3), F.lit(-1.0)).alias("o"), fix("fsi_total", 1).alias("fsi_total"),
+        "sanctioned", F.coalesce(F.array_join("programs", ","), F.lit("")).alias("programs"),
+        F.col("institutions_checked").alias("checked"), F.col("institutions_restricting").alias("restricting"),
+    )
+
+
+@query(
+    "block_memos",
+    f"""{_DOSSIER_SQL} SELECT s_suppkey AS block_id, CAST(4 AS BIGINT) AS n_fields, CAST(CASE WHEN year IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_gaps, 1e0 AS coverage,
+        sha256('{{"geoscience.offset_discoveries":"' || offset_discoveries || '","geoscience.offset_wells":"' || offset_wells || '","political_risk.governance_year":"' || coalesce(year || '', 'data gap')
+          || '","political_risk.sanctioned":"' || (CASE WHEN s_nationkey % 4 = 0 THEN 'true' ELSE 'false' END) || '"}}') AS quant_hash
+        FROM b JOIN o USING (s_suppkey) LEFT JOIN gov ON gov.c_nationkey = s_nationkey""",
+)
+def memos(t):
+    """Coverage, gate and hash of every block's memo in one plan."""
+    picked = _dossier(t).select("block_id", "offset_wells", "offset_discoveries", "governance_year", "sanctioned")
+    out = block_memos(dossier_fields(picked)).where("rejected IS NULL")
+    return out.select("block_id", "n_fields", "n_gaps", "coverage", "quant_hash")

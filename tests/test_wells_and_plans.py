@@ -11,6 +11,7 @@ from basinframe.operators import wells as w
 from basinframe.operators.contracts import Contract, Provenance, ge, non_null
 from basinframe.plans import panels
 from basinframe.plans.blocks import memo_fields, screen_blocks
+from basinframe.plans.dossier import block_dossier, block_memos, dossier_fields
 from basinframe.plans.gate import gate_run
 from basinframe.plans.labels import build_labels, stack_sources
 from basinframe.plans.report import build_report, summarize
@@ -183,6 +184,46 @@ def test_block_screening(spark):
     assert fields.where("size(source_ids) = 0").count() == 0
 
 
+def test_block_dossier_and_memos(spark):
+    blocks = spark.createDataFrame(
+        [("a", 10.5, 10.5, "usa", "United States"), ("far", -40.0, 100.0, "ATL", "Atlantis"), ("none", None, None, None, None)],
+        "block_id string, lat double, lon double, iso3 string, country_name string",
+    )
+    wells = spark.createDataFrame(
+        [(f"w{i}", "sb"[i % 2], 10.5 + i * 0.1, 10.5, "wildcat", "oil", i % 2, i == 3, 1990 + i, 7, "Gulf") for i in range(7)],
+        "well_id string, source_id string, lat double, lon double, purpose string, outcome_raw string, label int, excluded boolean, spud_year int, province_code int, province_name string",
+    )
+    cells = spark.createDataFrame([(7, 19, float("nan"), -20.0, 7)], "row int, col int, score_mask double, elevation_m double, province_code int")
+    scores = spark.createDataFrame([("USA", 2020, "VA.EST", 0.5), ("USA", 2021, "VA.EST", 0.87654)], "iso3 string, year int, indicator string, value double")
+    programs = spark.createDataFrame([("XXX", "atlantis", "P", "EU")], "iso3 string, country_name string, program string, list_source string")
+    policy = spark.createDataFrame([(" True",), ("no",), (None,)], "upstream_oil_excluded string")
+    box = [(10.0, 10.0), (11.0, 10.0), (11.0, 11.0), (10.0, 11.0), (10.0, 10.0)]
+    edges = spark.createDataFrame([(1, i, *p, *q) for i, (p, q) in enumerate(zip(box, box[1:], strict=False))], "area_id int, ord int, x1 double, y1 double, x2 double, y2 double")
+    names = spark.createDataFrame([(1, "Reef")], "area_id int, name string")
+    table = block_dossier(
+        blocks, wells=wells, cells=cells, grid=Grid(10.0), governance=scores, indicators=["VA.EST"], programs=programs, financing=policy,
+        areas=(edges, names), sources=["s", "b", "other"], radius_km=40.0,
+    )
+    out = {r["block_id"]: r for r in table.collect()}
+    a, far, none = out["a"], out["far"], out["none"]
+    assert (a["offset_wells"], a["offset_labelled"], a["offset_discoveries"], a["offset_success_rate"]) == (4, 3, 1, 0.333)
+    assert a["offset_sources"] == ["b", "s"] and far["offset_sources"] == [] and far["offset_success_rate"] is None
+    assert [(n["rank"], n["well_id"], n["label"], n["distance_km"]) for n in a["nearest_wells"]] == [(1, "w0", 0, 0.0), (2, "w1", 1, 11.1), (3, "w2", 0, 22.2), (4, "w3", None, 33.4), (5, "w4", 0, 44.5)]
+    assert (a["province_name"], a["basin_wildcats"], a["basin_discoveries"], a["elevation_m"], a["in_scoreable_mask"]) == ("Gulf", 6, 2, -20.0, False)
+    assert (a["governance_year"], a["va_est"], a["fsi_total"], a["sanctioned"], far["sanctioned"]) == (2021, 0.877, None, False, True)
+    assert (a["institutions_checked"], a["institutions_restricting"]) == (3, 1)
+    assert a["protected_areas"] == ["Reef"] and a["overlap_pct"] == pytest.approx(100.0) and far["overlap_pct"] == 0
+    assert none["nearest_wells"] is None and none["offset_wells"] == 0 and none["overlap_pct"] is None and none["governance_year"] is None
+    fields = dossier_fields(table)
+    got = {r["block_id"]: r for r in block_memos(fields).collect()}
+    assert got["a"]["n_fields"] == 13 and got["a"]["n_gaps"] == 1 and got["a"]["rejected"] is None and "wdpa" in got["a"]["sources"]
+    prose = fields.withColumn("source_ids", F.when(F.col("agent") != "economist", F.col("source_ids")))
+    cut = {r["block_id"]: r for r in block_memos(prose).collect()}
+    assert cut["a"]["rejected"] and cut["a"]["coverage"] == pytest.approx(11 / 13) and cut["a"]["quant_hash"] == got["a"]["quant_hash"]
+    changed = block_memos(fields.withColumn("value", F.when(F.col("field") == "offset_wells", "5").otherwise(F.col("value"))))
+    assert changed.where("block_id = 'a'").first()["quant_hash"] != got["a"]["quant_hash"]
+
+
 def test_gate_run(spark):
     rng = np.random.default_rng(11)
     rows = []
