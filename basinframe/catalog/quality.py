@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from basinframe.catalog.registry import query
 from basinframe.operators.contracts import (
     Contract,
+    Guard,
     Monotone,
     attach_provenance,
     collapse_identical,
@@ -15,6 +16,7 @@ from basinframe.operators.contracts import (
     eq,
     ge,
     gt,
+    guard_report,
     in_range,
     invalid_provenance,
     isin,
@@ -30,6 +32,7 @@ from basinframe.operators.contracts import (
     truncated,
     unknown_codes,
 )
+from basinframe.operators.ranking import input_guards
 
 
 def line_contract() -> Contract:
@@ -267,3 +270,32 @@ def provenance_stamp(t):
         k, "source_id", F.date_format("retrieved_at", "yyyy-MM-dd").alias("retrieved"), "source_url", "transform_version"
     )
     return head.join(counts.select(k, "*"), "k").drop("k")
+
+
+@query(
+    "load_guards",
+    """WITH g AS (SELECT n_name, count(c_custkey) AS n, count(c_custkey) FILTER (c_custkey % 3 = 0) AS a, count(c_custkey) FILTER (c_custkey % 97 = 0) AS b
+         FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 95e2 GROUP BY 1)
+       SELECT n_name, 'no rows' AS rule, CAST(n = 0 AS BIGINT) AS n_bad, CAST(0 AS BIGINT) AS allowed, n = 0 AS stops FROM g
+       UNION ALL SELECT n_name, 'unclassifiable', a, CAST(2 AS BIGINT), a > 2 FROM g UNION ALL SELECT n_name, 'no key', b, CAST(0 AS BIGINT), b > 0 FROM g""",
+)
+def load_guards(t):
+    """Every source's load: empty, over its allowance of skipped rows, or broken."""
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.withColumn("n_name", F.when(F.col("c_acctbal") > 9500, F.col("n_name")))
+    rules = [Guard("unclassifiable", F.col("c_custkey") % 3 == 0, allowed=2), Guard("no key", F.col("c_custkey") % 97 == 0)]
+    return guard_report(rows, "n_name", rules, expected=t.nation)
+
+
+@query(
+    "score_guards",
+    """WITH g AS (SELECT event_type, count(*) FILTER (user_id % 40 = 0 OR user_id % 40 = 3) AS a, count(*) FILTER (event_id % 50 < 3) AS b FROM events GROUP BY 1)
+       SELECT event_type, 'no scored rows' AS rule, CAST(0 AS BIGINT) AS n_bad, CAST(0 AS BIGINT) AS allowed, false AS stops FROM g
+       UNION ALL SELECT event_type, 'label must be 0 or 1', a, 0, a > 0 FROM g UNION ALL SELECT event_type, 'score must be finite', b, 0, b > 0 FROM g""",
+)
+def score_guards(t):
+    """What metric inputs break, per set: labels beside 0 and 1, scores null, NaN or infinite."""
+    u, e = F.col("user_id") % 40, F.col("event_id") % 50
+    odd = F.when(e == 0, F.lit(None).cast("double")).when(e == 1, float("nan")).when(e == 2, float("-inf")).otherwise(F.lit(0.5))
+    rows = t.events.select("event_type", F.when(u == 0, 2).when(u != 3, u % 2).alias("label"), odd.alias("score"))
+    return guard_report(rows, "event_type", input_guards("label", "score"), empty="no scored rows")

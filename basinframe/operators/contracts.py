@@ -267,6 +267,28 @@ def guard(df: DataFrame, source_id: str, rules: Sequence[Guard], empty: str | No
             raise rule.exc(source_id, f"{rule.detail} ({row[f'g{i}']} rows)")
 
 
+def guard_report(df: DataFrame, by: str, rules: Sequence[Guard], expected: DataFrame | None = None, empty: str = "no rows") -> DataFrame:
+    """``by, rule, n_bad, allowed, stops``: every guard counted for all sources at once.
+
+    The conditions are those of :func:`guard`, which stops one load; here each source of
+    the column ``by`` gets one row per rule and says whether its load would stop. Members of
+    ``expected`` without a row break the rule ``empty``; rows of no source are left out.
+    """
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.coalesce(r.bad, F.lit(False))).alias(f"g{i}") for i, r in enumerate(rules)],
+    )
+    if expected is not None:
+        counts = expected.select(by).distinct().join(counts, by, "left")
+    none = F.when(F.coalesce("n", F.lit(0)) == 0, 1).otherwise(0)
+    found = [(empty, none, 0), *[(r.detail, F.coalesce(f"g{i}", F.lit(0)), r.allowed) for i, r in enumerate(rules)]]
+    rows = [
+        F.struct(F.lit(d).alias("rule"), c.cast("long").alias("n_bad"), F.lit(a).cast("long").alias("allowed"), (c > a).alias("stops"))
+        for d, c, a in found
+    ]
+    return counts.select(by, F.explode(F.array(*rows)).alias("g")).select(by, "g.*")
+
+
 def require_none(df: DataFrame, source_id: str, detail: str, exc=ContractViolation) -> None:
     """Raise when an anti-join found anything (unknown codes, missing members)."""
     found = df.limit(SAMPLE_ROWS).collect()

@@ -129,7 +129,7 @@ def block_dossier(
         out = out.join(sc.sanctions_screen(blocks, programs), "block_id", "left")
     if financing is not None:
         n = sc.financing_screen(financing).first()
-        out = out.withColumns({"institutions_checked": F.lit(n["n_checked"]), "institutions_restricting": F.lit(n["n_restricting"])})
+        out = out.withColumns({"institutions_checked": F.lit(n["n_checked"]).cast("long"), "institutions_restricting": F.lit(n["n_restricting"]).cast("long")})
     if areas is not None:
         out = out.join(protected(blocks, *areas, disc_km), "block_id", "left")
     return out

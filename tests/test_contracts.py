@@ -107,3 +107,23 @@ def test_monotone_rule(spark):
 def test_truncated(spark):
     df = spark.createDataFrame([("5", 3), ("3", 3), (None, 1)], "t string, n int")
     assert [r[0] for r in df.select(c.truncated(F.col("t"), F.col("n"))).collect()] == [True, False, False]
+
+
+def test_guard_report_agrees_with_guard(spark):
+    """A source stops in the report exactly when its own load raises."""
+    rows = [("a", i, i % 4 == 0) for i in range(12)] + [("b", 1, False), ("c", None, True), (None, 5, True)]
+    df = spark.createDataFrame(rows, "s string, v int, odd boolean")
+    rules = [c.Guard("odd", F.col("odd"), allowed=2), c.Guard("no value", F.col("v").isNull())]
+    sources = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "s string")
+    out = c.guard_report(df, "s", rules, expected=sources).collect()
+    got = {(r["s"], r["rule"]): (r["n_bad"], r["stops"]) for r in out}
+    assert got["a", "odd"] == (3, True) and got["a", "no value"] == (0, False) and got["c", "odd"] == (1, False)
+    assert got["d", "no rows"] == (1, True) and got["d", "odd"] == (0, False) and len(got) == 12
+    for s in "abcd":
+        stops = any(r["stops"] for r in out if r["s"] == s)
+        if stops:
+            with pytest.raises(c.DataError):
+                c.guard(df.where(F.col("s") == s), s, rules, empty="no rows")
+        else:
+            c.guard(df.where(F.col("s") == s), s, rules, empty="no rows")
+    assert c.guard_report(df.where("false"), "s", rules).count() == 0
