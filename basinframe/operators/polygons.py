@@ -205,9 +205,10 @@ def ring_area(edges: DataFrame) -> DataFrame:
 
 
 def largest_areas(edges: DataFrame, attributes: DataFrame, n: int = 600) -> DataFrame:
-    """The ``n`` largest areas, the overlay a map shows."""
+    """The ``n`` largest areas, the overlay a map shows. Areas that differ by the rounding
+    of their coordinates only are equal, and the smaller id comes first."""
     sized = ring_area(edges).join(attributes, "area_id")
-    return sized.orderBy(F.desc("area"), "area_id").limit(n)
+    return sized.orderBy(F.round("area", 9).desc(), "area_id").limit(n)
 
 
 def decimate_line(coords: str, stride: int = 50):

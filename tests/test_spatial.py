@@ -187,3 +187,12 @@ def test_every_point_is_stored_once(spark):
     full = index.nodes.where(f"n > {index.leaf} and level < {index.bottom}").select("level", "cell")
     on = [F.col("leaf_level") == F.col("level"), F.col("leaf_cell") == F.col("cell")]
     assert index.leaves.join(full, on, "left_semi").count() == 0
+
+
+def test_areas_of_one_size_follow_their_ids(spark):
+    """The same diamond elsewhere: the last digits of its shoelace sum do not rank it."""
+    ring = lambda x, y: [[x + 12 * i, y + 12 * j] for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))]
+    rows = [(k, ring((k * 15013 % 32000) / 100.0 - 159.987, (k * 6151 % 14000) / 100.0 - 69.983)) for k in range(60)]
+    edges = pg.edges_of_rings(spark.createDataFrame(rows, "area_id int, ring array<array<double>>"), "area_id", "ring")
+    picked = pg.largest_areas(edges, edges.select("area_id").distinct(), 10).collect()
+    assert [r["area_id"] for r in picked] == list(range(10))
