@@ -122,9 +122,8 @@ em AS (SELECT block_id, pg * npv - (1 - pg) * w AS emv FROM e)"""
         {fix_sql('avg(CASE WHEN emv > 0 THEN 1e0 ELSE 0e0 END)', 6)} AS p_emv_positive, count(*) AS n_draws FROM em GROUP BY 1""",
 )
 def scenario_summary(t):
-    """The operator's own number of draws per block, fanned out and summarised."""
-    draws = ec.scenario_draws(blocks(t), _DRAWS, seed=7, stream=F.col("stream").cast("double"))
-    out = ec.scenario_summary(draws)
+    """The operator's own number of draws per block, made and summarised block by block."""
+    out = ec.scenario_spread(blocks(t), _DRAWS, seed=7, stream=F.col("stream").cast("double"))
     cols = ["emv_mean_musd", "emv_p10_musd", "emv_p50_musd", "emv_p90_musd"]
     return out.select("block_id", *[fix(c, 3).alias(c) for c in cols], fix("p_emv_positive").alias("p_emv_positive"), "n_draws")
 
