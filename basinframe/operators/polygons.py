@@ -1,20 +1,23 @@
 """Polygons as edge tables ``(area_id, ord, x1, y1, x2, y2)``.
 
-A point is inside when a ray to the east crosses an odd number of edges. Edges
-are filed under the latitude bands they cross, so a point only meets the edges
-of its own band; grids are filled row by row from sorted crossings instead.
+A point is inside when a ray to the east crosses an odd number of edges. Areas are filed
+under the cells they touch: a cell without an edge is inside as a whole, and a point in
+another cell meets the area's edges of its row of cells. Grids are filled row by row from
+sorted crossings.
 """
 
 from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinframe.functions.geo import Grid
+from basinframe.session import materialize, shuffle_width
 
 BAND_DEG = 0.5
+CELL_DEG = 1.0
 TILE_DEG = 5.0
 
 
@@ -46,35 +49,70 @@ def _band(c, size: float = BAND_DEG):
     return F.floor(c / F.lit(size)).cast("int")
 
 
+def cover(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
+    """``(tx, ty, area_id, whole, cut)``: the cells of ``size`` degrees that an area touches.
+
+    No edge comes near a ``whole`` cell, and its centre is inside, so all of it is. The
+    others carry the area's edges in their row of cells, which decide for a point there.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    # Edges on a cell's wall count for the cells on both sides.
+    near = 1e-9
+    filed = edges.withColumn("ty", F.explode(F.sequence(_band(low - near, size), _band(high + near, size))))
+    bottom, centre = F.col("ty") * size, (F.col("ty") + 0.5) * size
+    level = F.col("y1") == F.col("y2")
+
+    def at(y: Column) -> Column:
+        inside = F.least(F.greatest(y, low), high)
+        return F.col("x1") + (inside - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1"))
+
+    ends = [F.when(level, F.col(x)).otherwise(at(y)) for x, y in (("x1", bottom), ("x2", bottom + size))]
+    crosses = (F.col("y1") > centre) != (F.col("y2") > centre)
+    # A small table of areas makes many cells, which many tasks should write.
+    filed = filed.repartition(shuffle_width(edges.sparkSession), "area_id", "ty")
+    rows = filed.groupBy("area_id", "ty").agg(
+        F.collect_list(F.when(~level, F.struct("x1", "y1", "x2", "y2"))).alias("cut"),
+        F.sort_array(F.collect_list(F.when(crosses, at(centre)))).alias("xs"),
+        F.collect_set(
+            F.struct(_band(F.least(*ends) - near, size).alias("a"), _band(F.greatest(*ends) + near, size).alias("b"))
+        ).alias("marks"),
+    )
+    edge_cells = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.sequence(m["a"], m["b"]))))
+    starts = F.when(F.size("xs") > 1, F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+    def span(i: Column) -> Column:
+        a, b = (F.ceil(F.element_at("xs", k) / size - 0.5).cast("int") for k in (i, i + 1))
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+
+    rows = rows.withColumns({"edge": edge_cells, "mid": F.flatten(F.transform(starts, span))})
+    tagged = F.concat(
+        F.transform("edge", lambda c: F.struct(c.alias("tx"), F.lit(False).alias("whole"))),
+        F.transform(F.array_except("mid", "edge"), lambda c: F.struct(c.alias("tx"), F.lit(True).alias("whole"))),
+    )
+    cells = rows.select("area_id", "ty", "cut", F.explode(tagged).alias("c"))
+    return cells.select("c.tx", "ty", "area_id", "c.whole", F.when(~F.col("c.whole"), F.col("cut")).alias("cut"))
+
+
+def _inside(px: str, py: str) -> Column:
+    """Whether a point lies in the area whose row of :func:`cover` it met."""
+    x, y = F.col(px), F.col(py)
+
+    def crossed(e: Column) -> Column:
+        at = e["x1"] + (y - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
+
+    return F.col("whole") | (F.size(F.filter("cut", crossed)) % 2 == 1)
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """``(x, y, area_id)`` for every distinct location inside an area.
 
     Equal locations are tested once; join the answer back to the rows.
     """
-    spots = points.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct()
-    tiled = (
-        boxes(edges)
-        .withColumn("tx", F.explode(F.sequence(_band(F.col("min_x"), TILE_DEG), _band(F.col("max_x"), TILE_DEG))))
-        .withColumn("ty", F.explode(F.sequence(_band(F.col("min_y"), TILE_DEG), _band(F.col("max_y"), TILE_DEG))))
-    )
-    near = (
-        spots.withColumns({"tx": _band(F.col("px"), TILE_DEG), "ty": _band(F.col("py"), TILE_DEG)})
-        .join(tiled, ["tx", "ty"])
-        .where(F.col("px").between(F.col("min_x"), F.col("max_x")) & F.col("py").between(F.col("min_y"), F.col("max_y")))
-        .select("px", "py", "area_id", _band(F.col("py")).alias("band"))
-    )
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(_band(low), _band(high))))
-    at = F.col("x1") + (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < at)
-    return (
-        near.join(banded, ["area_id", "band"])
-        .where(crosses)
-        .groupBy("px", "py", "area_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") % 2 == 1)
-        .select(F.col("px").alias(x), F.col("py").alias(y), "area_id")
-    )
+    spots = points.select(F.col(x).alias("px"), F.col(y).alias("py")).where("NOT isnan(px) AND NOT isnan(py)").distinct()
+    placed = spots.withColumns({"tx": _band(F.col("px"), CELL_DEG), "ty": _band(F.col("py"), CELL_DEG)})
+    met = placed.join(cover(edges), ["tx", "ty"])
+    return met.where(_inside("px", "py")).select(F.col("px").alias(x), F.col("py").alias(y), "area_id")
 
 
 def rasterize(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -126,68 +164,64 @@ MAP_RADIUS_M = 6378137.0
 
 
 def overlap_share(
-    blocks: DataFrame, edges: DataFrame, block_id: str, radius_km: float = 25.0, half_steps: int = 20
+    blocks: DataFrame, edges: DataFrame, block_id: str, radius_km: float = 25.0, half_steps: int = 20, count_areas: bool = True
 ) -> DataFrame:
     """``block_id, overlap_pct, n_areas``: share of the disc around each block that
     lies inside at least one area. The disc is drawn in the web map projection and
     tested at the centres of a square lattice, so overlapping areas count once.
+
+    Only discs that are not covered by whole cells are sampled at all, and of their samples
+    only those in cells that an edge crosses are tested. ``n_areas`` needs every area of
+    every disc; without ``count_areas`` it is left out.
     """
     k, r = half_steps, radius_km * 1000.0
     step = r / (k + 0.5)
     to_x = F.col("lon") * (pi * MAP_RADIUS_M / 180.0)
     to_y = F.log(F.tan(F.lit(pi / 4) + F.radians("lat") / 2)) * MAP_RADIUS_M
-    # Only discs whose box meets an area's box are sampled at all.
     pad = F.lit(r * 180.0 / (pi * MAP_RADIUS_M))
-    tiles = (
-        boxes(edges)
-        .withColumn("tx", F.explode(F.sequence(_band(F.col("min_x"), TILE_DEG), _band(F.col("max_x"), TILE_DEG))))
-        .withColumn("ty", F.explode(F.sequence(_band(F.col("min_y"), TILE_DEG), _band(F.col("max_y"), TILE_DEG))))
+    parts = cover(edges, BAND_DEG)
+    cells = materialize(parts.groupBy("tx", "ty").agg(F.bool_or("whole").alias("whole")), "cells")
+    spots = blocks.select("lat", "lon").where("NOT isnan(lat) AND NOT isnan(lon)").distinct()
+    reach = spots.withColumns(
+        {f"__{t}": F.sequence(_band(F.col(c) - pad), _band(F.col(c) + pad)) for t, c in (("x", "lon"), ("y", "lat"))}
     )
-    reach = (
-        blocks.withColumn("tx", F.explode(F.sequence(_band(F.col("lon") - pad, TILE_DEG), _band(F.col("lon") + pad, TILE_DEG))))
-        .withColumn("ty", F.explode(F.sequence(_band(F.col("lat") - pad, TILE_DEG), _band(F.col("lat") + pad, TILE_DEG))))
-        .join(tiles, ["tx", "ty"])
-        .where(
-            (F.col("lon") + pad >= F.col("min_x"))
-            & (F.col("lon") - pad <= F.col("max_x"))
-            & (F.col("lat") + pad >= F.col("min_y"))
-            & (F.col("lat") - pad <= F.col("max_y"))
-        )
-        .select(block_id, "lat", "lon")
-        .distinct()
-    )
-    axis = F.sequence(F.lit(-k), F.lit(k))
-    samples = (
-        reach.withColumn("i", F.explode(axis))
-        .withColumn("j", F.explode(axis))
-        .where(F.col("i") * F.col("i") + F.col("j") * F.col("j") <= (k + 0.5) ** 2)
-        .select(
-            block_id,
-            ((to_x + F.col("i") * step) * (180.0 / (pi * MAP_RADIUS_M))).alias("lon"),
-            (
-                F.degrees(F.atan(F.exp((to_y + F.col("j") * step) / MAP_RADIUS_M)) * 2 - pi / 2)
-            ).alias("lat"),
+    reach = reach.withColumn("n", F.size("__x") * F.size("__y")).withColumn("tx", F.explode("__x")).withColumn("ty", F.explode("__y"))
+    met = reach.join(cells, ["tx", "ty"]).groupBy("lat", "lon", "n").agg(F.count_if("whole").alias("n_whole"))
+    met = materialize(met, "discs")
+    axis = range(-k, k + 1)
+    n_samples = sum(i * i + j * j <= (k + 0.5) ** 2 for i in axis for j in axis)
+    steps = F.sequence(F.lit(-k), F.lit(k))
+
+    def sampled(discs: DataFrame) -> DataFrame:
+        fan = discs.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+        return fan.where(F.col("i") * F.col("i") + F.col("j") * F.col("j") <= (k + 0.5) ** 2).select(
+            F.col("lat").alias("at_lat"),
+            F.col("lon").alias("at_lon"),
+            ((to_x + F.col("i") * step) * (180.0 / (pi * MAP_RADIUS_M))).alias("px"),
+            F.degrees(F.atan(F.exp((to_y + F.col("j") * step) / MAP_RADIUS_M)) * 2 - pi / 2).alias("py"),
         )
+
+    samples = sampled(met.where("n_whole < n")).withColumns({"tx": _band(F.col("px")), "ty": _band(F.col("py"))})
+    known = samples.join(cells, ["tx", "ty"])
+    cut = parts.where("NOT whole").select("tx", "ty", "whole", "cut")
+    hit = known.where("NOT whole").drop("whole").alias("s").join(
+        cut.alias("c"), (F.col("s.tx") == F.col("c.tx")) & (F.col("s.ty") == F.col("c.ty")) & _inside("px", "py"), "left_semi"
     )
-    inside = points_in_polygons(samples, edges)
-    per_spot = samples.join(inside, ["lon", "lat"], "left")
-    spots = per_spot.groupBy(block_id, "lon", "lat").agg(F.count("area_id").alias("n"))
-    share = spots.groupBy(block_id).agg(
-        (F.avg((F.col("n") > 0).cast("double")) * 100.0).alias("overlap_pct")
+    covered = known.where("whole").select("at_lat", "at_lon").unionByName(hit.select("at_lat", "at_lon"))
+    share = covered.groupBy(F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon")).agg(
+        (F.count(F.lit(1)).cast("double") / float(n_samples) * 100.0).alias("overlap_pct")
     )
-    areas = per_spot.where("area_id IS NOT NULL").groupBy(block_id).agg(
+    share = share.unionByName(met.where("n_whole = n").select("lat", "lon", F.lit(100.0).alias("overlap_pct")))
+    pct = F.round(F.coalesce("overlap_pct", F.lit(0.0)), 2).alias("overlap_pct")
+    out = blocks.select(block_id, "lat", "lon").join(share, ["lat", "lon"], "left").select(block_id, "lat", "lon", pct)
+    if not count_areas:
+        return out.select(block_id, "overlap_pct")
+    every = materialize(sampled(met), "samples")
+    inside = points_in_polygons(every, edges, "px", "py")
+    areas = every.join(inside, ["px", "py"]).groupBy(F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon")).agg(
         F.count_distinct("area_id").alias("n_areas")
     )
-    return (
-        blocks.select(block_id)
-        .join(share, block_id, "left")
-        .join(areas, block_id, "left")
-        .select(
-            block_id,
-            F.round(F.coalesce("overlap_pct", F.lit(0.0)), 2).alias("overlap_pct"),
-            F.coalesce("n_areas", F.lit(0)).alias("n_areas"),
-        )
-    )
+    return out.join(areas, ["lat", "lon"], "left").select(block_id, "overlap_pct", F.coalesce("n_areas", F.lit(0)).alias("n_areas"))
 
 
 def overlap_names(blocks_areas: DataFrame, block_id: str, name: str, n: int = 10) -> DataFrame:

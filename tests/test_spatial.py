@@ -196,3 +196,31 @@ def test_areas_of_one_size_follow_their_ids(spark):
     edges = pg.edges_of_rings(spark.createDataFrame(rows, "area_id int, ring array<array<double>>"), "area_id", "ring")
     picked = pg.largest_areas(edges, edges.select("area_id").distinct(), 10).collect()
     assert [r["area_id"] for r in picked] == list(range(10))
+
+
+def test_cells_of_areas_and_points_in_them(spark):
+    """Whole cells need no edge; walls on cell borders, level edges and holes are met by edges."""
+    box = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d], [a, b]]
+    rings = [(1, box(-3.0, -2.0, 4.0, 5.0)), (1, box(0.25, 0.25, 1.75, 2.75)), (2, [[-6.3, -4.1], [5.2, 0.3], [-1.7, 6.4], [-6.3, -4.1]])]
+    edges = pg.edges_of_rings(spark.createDataFrame(rings, "area_id int, ring array<array<double>>"), "area_id", "ring")
+    cells = {(r["tx"], r["ty"]): r for r in pg.cover(edges).where("area_id = 1").collect()}
+    assert cells[(2, 2)]["whole"] and cells[(2, 2)]["cut"] is None and not cells[(0, 1)]["whole"]
+    assert not cells[(-3, -2)]["whole"] and not cells[(4, 0)]["whole"] and (6, 0) not in cells
+    rng = np.random.default_rng(3)
+    at = np.vstack([rng.uniform(-7, 7, (3000, 2)), rng.integers(-7, 8, (300, 2)) + 0.5])
+    def even_odd(area, px, py):  # noqa: E306
+        n = 0
+        for k, ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True):
+                n += k == area and (y1 > py) != (y2 > py) and px < x1 + (py - y1) / (y2 - y1) * (x2 - x1)
+        return n % 2 == 1
+    want = {(x, y, k) for x, y in at.tolist() for k in (1, 2) if even_odd(k, x, y)}
+    pts = spark.createDataFrame([*map(tuple, at.tolist()), (float("nan"), 0.0)], "lon double, lat double")
+    assert {tuple(r) for r in pg.points_in_polygons(pts, edges).collect()} == want
+    # The disc's share by the same lattice, one disc inside, one on an edge, one away.
+    blocks = spark.createDataFrame([("in", -1.5, -1.5), ("edge", 4.0, -2.9), ("off", 30.0, 30.0)], "block_id string, lat double, lon double")
+    share = {r["block_id"]: r for r in pg.overlap_share(blocks, edges, "block_id", 40.0).collect()}
+    assert share["in"]["overlap_pct"] == 100.0 and 50 < share["edge"]["overlap_pct"] < 100 and share["edge"]["n_areas"] == 2
+    assert (share["off"]["overlap_pct"], share["off"]["n_areas"]) == (0.0, 0)
+    short = pg.overlap_share(blocks, edges, "block_id", 40.0, count_areas=False)
+    assert {r["block_id"]: r["overlap_pct"] for r in short.collect()} == {k: r["overlap_pct"] for k, r in share.items()}
