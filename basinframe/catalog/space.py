@@ -200,7 +200,7 @@ def province_cells(t):
 )
 def overlap_pct(t):
     """Share of a 150 km disc covered by diamonds, overlaps counted once."""
-    out = pg.overlap_share(customers_as_points(t), diamonds(t), "c_custkey", 150.0)
+    out = pg.overlap_share(customers_as_points(t), diamonds(t), "c_custkey", 150.0, count_areas=False)
     return out.select("c_custkey", fix("overlap_pct", 2).alias("overlap_pct"))
 
 
@@ -255,9 +255,10 @@ def overlap_share_exact(t):
         SELECT block, string_agg(name, ',' ORDER BY name) AS areas FROM k WHERE i <= 10 GROUP BY 1""",
 )
 def overlap_names(t):
-    pts = customers_as_points(t)
-    inside = pts.join(pg.points_in_polygons(pts, diamonds(t)), ["lon", "lat"])
-    named = inside.select((F.col("c_custkey") % 50).alias("block"), F.concat(F.lit("A"), "area_id").alias("name"))
+    # A block's customers at one place see the same areas.
+    pts = customers_as_points(t).select("lat", "lon", (F.col("c_custkey") % 50).alias("block")).distinct()
+    inside = pts.join(pg.points_in_polygons(pts, diamonds(t)), ["lon", "lat"]).select("block", "area_id").distinct()
+    named = inside.select("block", F.concat(F.lit("A"), "area_id").alias("name"))
     return pg.overlap_names(named, "block", "name").select("block", F.array_join("areas", ",").alias("areas"))
 
 
