@@ -342,14 +342,26 @@ class CubeIndex:
         asked = queries.select(*self.scope, *qid, "x", "y", "z")
         return asked.join(near, spot).drop("x", "y", "z").distinct()
 
+    def touched(self, queries: DataFrame, qid: Sequence[str], radius_km: float, out: str) -> DataFrame:
+        """``qid`` and in ``out`` the sorted carried values of the points within the radius; rows
+        without any are left out. One row a query: the values are gathered per location."""
+        spot = [*self.scope, "x", "y", "z"]
+        asked = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
+        (value,) = self.carry
+        near = self._radius(asked, radius_km).groupBy(*spot).agg(F.array_sort(F.collect_set(value)).alias(out))
+        return asked.join(near, spot).drop("x", "y", "z")
+
     def pairs(self, queries: DataFrame, qid: Sequence[str], radius_km: float) -> DataFrame:
-        """``qid, ids, chord`` of every point within the radius."""
-        asked = queries.select(*self.scope, *qid, "x", "y", "z")
-        q = asked.withColumn("bound", F.lit(chord_of_km(radius_km)))
+        """``qid, ids, chord`` of every point within the radius; each distinct location is
+        searched once."""
+        spot = [*self.scope, "x", "y", "z"]
+        asked = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
+        q = asked.select(*spot).distinct().withColumn("bound", F.lit(chord_of_km(radius_km)))
         front = self._descend(self._start(q), lambda f: f.where(_box_gap(False) <= F.col("bound")))
-        cut = front.select(*self.scope, *qid, "x", "y", "z", "bound", "level", "cell", "leaf_level", "leaf_cell")
+        cut = front.select(*spot, "bound", "level", "cell", "leaf_level", "leaf_cell")
         found = self._opened(cut, []).withColumn("chord", _chord())
-        return found.where(F.col("chord") <= F.col("bound")).select(*self.scope, *qid, *self.ids, "chord")
+        found = found.where(F.col("chord") <= F.col("bound")).select(*spot, *self.ids, "chord")
+        return asked.join(found, spot).select(*self.scope, *qid, *self.ids, "chord")
 
 
 def as_queries(df: DataFrame, cols: Sequence[str], lat: str = "lat", lon: str = "lon") -> DataFrame:

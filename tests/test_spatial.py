@@ -224,3 +224,18 @@ def test_cells_of_areas_and_points_in_them(spark):
     assert (share["off"]["overlap_pct"], share["off"]["n_areas"]) == (0.0, 0)
     short = pg.overlap_share(blocks, edges, "block_id", 40.0, count_areas=False)
     assert {r["block_id"]: r["overlap_pct"] for r in short.collect()} == {k: r["overlap_pct"] for k, r in share.items()}
+
+
+def test_touched_gathers_groups_and_pairs_keep_repeats(spark):
+    """One row a query with all groups near it; queries at one place are searched as one."""
+    ref = spark.createDataFrame([(1, 0.0, 0.0, 3), (2, 0.0, 0.5, 1), (3, 0.0, 0.5, 3), (4, 40.0, 40.0, 2)], "r int, lat double, lon double, g int")
+    q = spark.createDataFrame([(1, 0.0, 0.2), (2, 0.0, 0.2), (3, 40.0, 40.1), (4, -60.0, 0.0)], "q int, lat double, lon double")
+    got = sp.CubeIndex(ref, carry=["g"]).touched(sp.as_queries(q, ["q"]), ["q"], 60.0, "near")
+    assert {r["q"]: r["near"] for r in got.collect()} == {1: [1, 3], 2: [1, 3], 3: [2]}
+    index = sp.CubeIndex(ref, ids=["r"])
+    searched = []
+    start = index._start
+    index._start = lambda queries: searched.append(queries.count()) or start(queries)
+    pairs = index.pairs(sp.as_queries(q, ["q"]), ["q"], 60.0).collect()
+    assert {(r["q"], r["r"]) for r in pairs} == {(k, j) for k in (1, 2) for j in (1, 2, 3)} | {(3, 4)} and len(pairs) == 7
+    assert searched == [3]  # four queries at three places
