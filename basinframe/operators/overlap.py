@@ -9,15 +9,16 @@ and a strip is swept from bottom to top.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinframe.operators.polygons import MAP_RADIUS_M, TILE_DEG, boxes
-from basinframe.session import materialize
+from basinframe.session import materialize, shuffle_width
 
 #: The projection ends here; areas that reach a pole are cut at this latitude.
 MAX_LAT = 89.0
@@ -151,11 +152,37 @@ def sweep(x1, y1, x2, y2, area: np.ndarray, n_areas: int) -> np.ndarray:
     return out
 
 
-def _sweep_strip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    codes, ids = pd.factorize(pdf["area_id"])
-    got = sweep(*(pdf[c].to_numpy() for c in ("x1", "y1", "x2", "y2")), codes, len(ids))
-    out = pd.DataFrame({"area_id": [*ids, ids[0]], "surface": got, "is_union": [False] * len(ids) + [True]})
-    return out.assign(lat=key[0], lon=key[1])
+def _sweep_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surfaces of strips from edges sorted by strip; a strip may reach over batches."""
+    names = [*PLACE, "strip"]
+
+    def swept(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        coded = rows["area_id"].combine_chunks().dictionary_encode()
+        area = coded.indices.to_numpy()
+        edges = [rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")]
+        ids, surfaces, sizes = [], [], []
+        for at, to in zip(starts, [*starts[1:], len(rows)], strict=True):
+            here, codes = np.unique(area[at:to], return_inverse=True)
+            surfaces.append(sweep(*(e[at:to] for e in edges), codes, len(here)))
+            ids.append([*here, -1])
+            sizes.append(len(here) + 1)
+        ids = np.concatenate(ids)
+        place = [np.repeat(rows[c].to_numpy()[starts], sizes) for c in PLACE]
+        found = coded.dictionary.take(pa.array(ids, mask=ids < 0))
+        columns = [*place, found, np.concatenate(surfaces), ids < 0]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*PLACE, "area_id", "surface", "is_union"])
+
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        changed = [np.diff(rows[c].to_numpy()) != 0 for c in names]
+        starts = np.concatenate([[0], np.flatnonzero(np.any(changed, axis=0)) + 1]) if len(rows) else np.array([], int)
+        if len(starts) > 1:
+            yield swept(rows.slice(0, starts[-1]), starts[:-1])
+        rest = rows.slice(starts[-1]) if len(starts) else None
+    if rest is not None and len(rest):
+        yield swept(rest, np.array([0]))
 
 
 def overlap_surfaces(places: DataFrame, edges: DataFrame, radius_km: float = 25.0) -> DataFrame:
@@ -168,13 +195,25 @@ def overlap_surfaces(places: DataFrame, edges: DataFrame, radius_km: float = 25.
         "area_id", *(f(F.col(f"{c}{i}")).alias(f"{c}{i}") for i in (1, 2) for c, f in (("x", _map_x), ("y", _map_y)))
     )
     kind = edges.schema["area_id"].dataType.simpleString()
-    swept = _strips(placed, mapped, r).groupBy(*PLACE, "strip").applyInPandas(
-        _sweep_strip, f"lat double, lon double, area_id {kind}, surface double, is_union boolean"
+    # Sorted strips go through a task in batches, as most hold few edges.
+    strips = _strips(placed, mapped, r).repartition(shuffle_width(places.sparkSession), *PLACE, "strip")
+    swept = strips.sortWithinPartitions(*PLACE, "strip").mapInArrow(
+        _sweep_strips, f"lat double, lon double, area_id {kind}, surface double, is_union boolean"
     )
     area = F.when(~F.col("is_union"), F.col("area_id")).alias("area_id")
     return swept.groupBy(*PLACE, area, "is_union").agg((F.sum("surface") * (100.0 / pi)).alias("share_pct"))
 
 
+def _alike(edges: DataFrame) -> DataFrame:
+    """``area_id, same, x1, y1, x2, y2``: areas with equal outlines as one, under the smallest
+    id, and how many they are. The order and direction of edges do not matter."""
+    ends = F.array_sort(F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2))))
+    areas = edges.where("area_id IS NOT NULL").groupBy("area_id").agg(F.sort_array(F.collect_list(ends)).alias("outline"))
+    alike = areas.groupBy("outline").agg(F.min("area_id").alias("area_id"), F.count(F.lit(1)).alias("same"))
+    back = alike.select("area_id", "same", F.explode("outline").alias("e"))
+    return back.select("area_id", "same", *(F.col("e")[i - 1][c].alias(f"{c}{i}") for i in (1, 2) for c in "xy"))
+
+
 def overlap_exact(blocks: DataFrame, edges: DataFrame, block_id: str, radius_km: float = 25.0) -> DataFrame:
     """``block_id, overlap_pct, summed_pct, n_areas`` for every row of ``blocks``.
 
@@ -187,13 +226,16 @@ def overlap_exact(blocks: DataFrame, edges: DataFrame, block_id: str, radius_km:
     place = [F.col(c).cast("double").alias(c) for c in PLACE]
     rows = blocks.select(F.col(block_id).alias("__id"), *place)
     known = F.abs("lat").between(0.0, 90.0) & F.abs("lon").between(0.0, 360.0)
-    surfaces = overlap_surfaces(rows.where(known), edges, radius_km)
+    # Copies of an area meet the discs once and count by their number.
+    alike = materialize(_alike(edges), "areas")
+    surfaces = overlap_surfaces(rows.where(known), alike.drop("same"), radius_km)
+    surfaces = surfaces.join(alike.select("area_id", "same").distinct(), "area_id", "left")
     any_area = F.col("is_union")
     share = surfaces.groupBy(*PLACE).agg(
         F.sum(F.when(any_area, F.col("share_pct"))).alias("overlap_pct"),
-        F.sum(F.when(~any_area, F.col("share_pct"))).alias("summed_pct"),
+        F.sum(F.when(~any_area, F.col("share_pct") * F.col("same"))).alias("summed_pct"),
         # A touching area has a surface of rounding errors only.
-        F.count_if(~any_area & (F.col("share_pct") > 1e-9)).alias("n_areas"),
+        F.sum(F.when(~any_area & (F.col("share_pct") > 1e-9), F.col("same"))).alias("n_areas"),
     )
     filled = (F.when(known, F.coalesce(c, F.lit(0))).alias(c) for c in ("overlap_pct", "summed_pct", "n_areas"))
     return rows.join(share, PLACE, "left").select(F.col("__id").alias(block_id), *filled)

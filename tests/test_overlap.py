@@ -92,3 +92,27 @@ def test_rows_without_a_place_and_repeats(spark):
     assert got == sorted([("a", 50.0, 1), ("a", 50.0, 1), ("b", None, None), ("c", None, None), ("d", 0.0, 0), (None, 50.0, 1)], key=repr)
     none = edges_of(spark, [(7, box(-9, -9, 9, 0))]).limit(0)
     assert {tuple(r)[1:] for r in ov.overlap_exact(blocks.where("block_id = 'a'"), none, "block_id").collect()} == {(0.0, 0.0, 0)}
+
+
+def test_copies_of_an_area_meet_a_disc_once(spark, monkeypatch):
+    """Copies, whichever way they are drawn, count in the sums by their number only."""
+    met = []
+    strips = ov._strips
+    monkeypatch.setattr(ov, "_strips", lambda *a: met.append(strips(*a)) or met[0])
+    square = box(-0.5, -0.5, 0.5, 0.5)
+    rings = [(i, square[::-1] if i % 2 else square) for i in range(40)] + [(40, box(0.3, -0.5, 0.6, 0.5))]
+    assert shares(spark, rings) == pytest.approx((110 / pi, (40 * 100 + 30) / pi, 41))
+    assert met[0].count() <= 4
+
+
+def test_strips_reach_over_batches(spark):
+    """Batches of two edges: every strip lies in several."""
+    rows = [(float(p), 0.0, 0, a, x, -1.0, x, 1.0) for p in range(5) for a, x in ((p, -0.5), (p, 0.5), (p + 1, 0.0), (p + 1, 0.5))]
+    ddl = "lat double, lon double, strip int, area_id int, x1 double, y1 double, x2 double, y2 double"
+    whole = spark.createDataFrame(rows, ddl).toArrow()
+    for size in (2, 3, 20):
+        parts = [r.to_pylist() for r in ov._sweep_strips(iter(whole.to_batches(max_chunksize=size)))]
+        got = sorted((r["lat"], -1 if r["area_id"] is None else r["area_id"], round(r["surface"], 6)) for p in parts for r in p)
+        half = float(sqrt(0.75) / 2 + np.arcsin(0.5))
+        want = ((0, 2 * half), (1, half), (-1, 2 * half))  # between -0.5 and 0.5, and half of it
+        assert got == sorted((float(p), a if a < 0 else p + a, round(v, 6)) for p in range(5) for a, v in want)
