@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from basinframe.functions.geo import chord_of_km, km_of_chord, unit_xyz
 from basinframe.operators.ordered import top_n
-from basinframe.session import materialize
+from basinframe.session import materialize, shuffle_width
 
 #: Cube edges are 2 / 2**level; the last level is about 12 m.
 LEVELS = tuple(range(2, 21))
@@ -108,7 +108,9 @@ class CubeIndex:
             if keep is not None:
                 base = top_n(base, [*group, "x", "y", "z"], self.ids, keep)
             base = base.withColumn("n_here", F.lit(1).cast("long"))
-        self.base = materialize(base, "points")
+        # Few bytes of points make many cubes, which many tasks should count.
+        self.width = shuffle_width(ref.sparkSession)
+        self.base = materialize(base.repartition(self.width, F.xxhash64("x", "y", "z")), "points")
         nodes = materialize(self._count(self.base, _TOP, _COARSE), "nodes")
         crowded = self._crowded(nodes)
         if crowded == _COARSE:
@@ -191,6 +193,13 @@ class CubeIndex:
 
     # -- building blocks ---------------------------------------------------------
 
+    def _spots(self, queries: DataFrame) -> DataFrame:
+        """Distinct places of a search, over all tasks: a place is a few bytes and meets many
+        cubes, so tasks sized by their bytes would be one or two. Stored first, as Spark leaves
+        out a repartition right after a grouping by the same columns."""
+        spot = [*self.scope, "x", "y", "z"]
+        return materialize(queries.select(*spot).distinct(), "spots").repartition(self.width, *spot)
+
     def _match(self, left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
         return left.join(right, [*self.scope, *keys])
 
@@ -266,7 +275,7 @@ class CubeIndex:
         spot = [*self.scope, "x", "y", "z"]
         # Stored once: the positions are join keys below and must not be recomputed.
         asked = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
-        q = asked.select(*spot).distinct()
+        q = self._spots(asked)
         # A cube that holds the query and at least k points bounds the distance
         # by its farthest corner.
         full = self.nodes.where(F.col("n") >= k)
@@ -308,7 +317,7 @@ class CubeIndex:
     def _radius(self, queries: DataFrame, radius_km: float) -> DataFrame:
         """Per distinct location: cubes wholly inside, and points inside from the
         cubes the circle cuts, as ``scope, x, y, z, carry, n_rows, totals``."""
-        q = queries.select(*self.scope, "x", "y", "z").distinct().withColumn("bound", F.lit(chord_of_km(radius_km)))
+        q = self._spots(queries).withColumn("bound", F.lit(chord_of_km(radius_km)))
 
         def settle(f: DataFrame) -> DataFrame:
             f = f.where(_box_gap(False) <= F.col("bound"))
@@ -356,7 +365,7 @@ class CubeIndex:
         searched once."""
         spot = [*self.scope, "x", "y", "z"]
         asked = materialize(queries.select(*self.scope, *qid, "x", "y", "z"), "queries")
-        q = asked.select(*spot).distinct().withColumn("bound", F.lit(chord_of_km(radius_km)))
+        q = self._spots(asked).withColumn("bound", F.lit(chord_of_km(radius_km)))
         front = self._descend(self._start(q), lambda f: f.where(_box_gap(False) <= F.col("bound")))
         cut = front.select(*spot, "bound", "level", "cell", "leaf_level", "leaf_cell")
         found = self._opened(cut, []).withColumn("chord", _chord())

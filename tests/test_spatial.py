@@ -239,3 +239,14 @@ def test_touched_gathers_groups_and_pairs_keep_repeats(spark):
     pairs = index.pairs(sp.as_queries(q, ["q"]), ["q"], 60.0).collect()
     assert {(r["q"], r["r"]) for r in pairs} == {(k, j) for k in (1, 2) for j in (1, 2, 3)} | {(3, 4)} and len(pairs) == 7
     assert searched == [3]  # four queries at three places
+
+
+def test_searches_use_all_tasks(spark):
+    """A place is a few bytes; sized by bytes, all places would be one task's."""
+    rows = [(i, (i * 37 % 160) - 80.0, (i * 91 % 360) - 180.0) for i in range(400)]
+    places = spark.createDataFrame(rows, "q long, lat double, lon double")
+    index = sp.CubeIndex(places, ids=["q"], keep=1)
+    spots = index._spots(sp.as_queries(places, ["q"]))
+    used = spots.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == index.width > 1
+    assert len(index.base.inputFiles()) == index.width
