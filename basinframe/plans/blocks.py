@@ -77,7 +77,7 @@ def screen_blocks(
         }
     )
     ready = full.where(F.col("schedule_years").isNotNull())
-    spread = ec.scenario_spread(ready, n_draws, seed, plan)
+    spread = ec.scenario_spread(ready, n_draws, seed, plan, points=False)
     spread = spread.select("block_id", F.round("p_emv_positive", 4).alias("p_emv_positive"))
     out = (
         valued.join(spread, "block_id", "left").join(offsets, "block_id", "left").join(basin, "block_id", "left")
