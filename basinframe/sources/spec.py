@@ -24,11 +24,12 @@ class Feed:
     document_guards: Callable[[], Sequence[Guard]] = tuple
     row_guards: Callable[[], Sequence[Guard]] = tuple
 
-    def load(self, landed: DataFrame, **kw) -> DataFrame:
+    def load(self, landed: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda out: out, **kw) -> DataFrame:
+        """The table of landed documents; ``keep`` may store it before its contract reads it."""
         guard(landed, self.source_id, self.document_guards(), empty="nothing landed")
         raw = self.rows(landed)
         guard(raw, self.source_id, self.row_guards(), empty="document has no rows")
-        out = self.normalize(raw, **kw)
+        out = keep(self.normalize(raw, **kw))
         return self.contract.enforce(require_rows(out, self.source_id))
 
 

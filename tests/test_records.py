@@ -110,3 +110,45 @@ def test_governance_events_and_features(spark, tmp_path):
     feature = {"type": "Feature", "properties": props, "geometry": {"type": "Point", "coordinates": [2.5, 60.0]}}
     path = landed_files(tmp_path / "f", {"f.json": json.dumps({"type": "FeatureCollection", "crs": {"properties": {"name": "x"}}, "features": [feature]})})
     assert [(r["field_id"], r["name"], r["lon"]) for r in landed.FIELDS.load(spark, path).collect()] == [("gem_goget:P1", "N {x}", 2.5)]
+
+
+def long_document(rng):
+    """A document of several chunks: a long head, records longer than a chunk, a long tail."""
+    sizes = [10] * 3000 + [1_300_000] + [25] * 2000 + [700_000, 600_000, 1] + [10] * 9000
+    text = 'x\\"{}[]é\\\\ '
+    records = [{"id": i, "v": "".join(rng.choices(text, k=10)) * (n // 10), "w": [{"x": [i, {}]}]} for i, n in enumerate(sizes)]
+    head = {"crs": {"properties": {f"{{{i}": "]}" for i in range(80_000)}}, "n": [1, [2, {"deep": 1}]]}
+    tail = {"t": {f"t{i}": [i, [{"u": i}]] for i in range(60_000)}}
+    return records, json.dumps(head | {"features": records} | tail, ensure_ascii=False)
+
+
+def test_records_longer_than_chunks(spark, tmp_path):
+    records, text = long_document(random.Random(7))
+    (tmp_path / "a").mkdir()
+    path = landed_files(tmp_path / "a", {"a.json": text, "b.json": '{"features":[{"id":1}]}', "c.json": '{"features":[]}'})
+    rows = json_records(spark, path, 1, 1).collect()
+    own = sorted((r for r in rows if r["file"].endswith("a.json")), key=lambda r: r["pos"])
+    assert [r["pos"] for r in own] == list(range(1, len(records) + 1))
+    assert [json.loads(r["record"]) for r in own] == records
+    assert own[0]["head"] == text[: text.index('"features": [') + len('"features": [')]
+    assert all(r["head"] is None for r in own[1:])
+    assert [(r["pos"], r["head"], r["record"]) for r in rows if r["file"].endswith("b.json")] == [(1, '{"features":[', '{"id":1}')]
+    assert len(rows) == len(records) + 1
+
+
+def test_only_records_across_chunks_are_shuffled(spark, tmp_path):
+    """Work of a load grows with its text alone: whole records are cut where they were read."""
+    articles = [{"url": f"http://a/{i % 50}", "title": "{" * (i % 4), "domain": "d"} for i in range(30_000)]
+    docs = {f"{k}.json": json.dumps({"articles": articles[k::2]}) for k in range(2)}
+    path = landed_files(tmp_path, docs)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = set(stages())
+    out = landed.EVENTS.load(spark, path).select("url").collect()
+    assert sorted(r["url"] for r in out) == sorted({a["url"] for a in articles})
+    assert sum(n for stage, n in stages().items() if stage not in before) < 5_000
