@@ -49,12 +49,9 @@ def _band(c, size: float = BAND_DEG):
     return F.floor(c / F.lit(size)).cast("int")
 
 
-def cover(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
-    """``(tx, ty, area_id, whole, cut)``: the cells of ``size`` degrees that an area touches.
-
-    No edge comes near a ``whole`` cell, and its centre is inside, so all of it is. The
-    others carry the area's edges in their row of cells, which decide for a point there.
-    """
+def _cover_rows(edges: DataFrame, size: float) -> DataFrame:
+    """``(area_id, ty, cut, edge, mid)``: an area's edges in a row of cells, the cells there
+    that an edge comes near, and those it covers whole."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     # Edges on a cell's wall count for the cells on both sides.
     near = 1e-9
@@ -85,14 +82,29 @@ def cover(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
         return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
 
     rows = rows.withColumns({"edge": edge_cells, "mid": F.flatten(F.transform(starts, span))})
+    return rows.select("area_id", "ty", "cut", "edge", F.array_except("mid", "edge").alias("mid"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
     tagged = F.concat(
         F.transform("edge", lambda c: F.struct(c.alias("tx"), F.lit(False).alias("whole"))),
-        F.transform(F.array_except("mid", "edge"), lambda c: F.struct(c.alias("tx"), F.lit(True).alias("whole"))),
+        F.transform("mid", lambda c: F.struct(c.alias("tx"), F.lit(True).alias("whole"))),
     )
     cells = rows.select("area_id", "ty", "cut", F.explode(tagged).alias("c"))
     return cells.select("c.tx", "ty", "area_id", "c.whole", F.when(~F.col("c.whole"), F.col("cut")).alias("cut"))
 
 
+def cover(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
+    """``(tx, ty, area_id, whole, cut)``: the cells of ``size`` degrees that an area touches.
+
+    No edge comes near a ``whole`` cell, and its centre is inside, so all of it is. The
+    others carry the area's edges in their row of cells, which decide for a point there.
+    Rows of cells are stored: by the areas' few bytes a join would take cells for small
+    and broadcast them all.
+    """
+    return _cells(materialize(_cover_rows(edges, size), "cover"))
+
+
 def _inside(px: str, py: str) -> Column:
     """Whether a point lies in the area whose row of :func:`cover` it met."""
     x, y = F.col(px), F.col(py)
@@ -171,8 +183,8 @@ def overlap_share(
     tested at the centres of a square lattice, so overlapping areas count once.
 
     Only discs that are not covered by whole cells are sampled at all, and of their samples
-    only those in cells that an edge crosses are tested. ``n_areas`` needs every area of
-    every disc; without ``count_areas`` it is left out.
+    only those in cells that an edge crosses are tested, by the edges of these cells alone.
+    ``n_areas`` needs every area of every disc; without ``count_areas`` it is left out.
     """
     k, r = half_steps, radius_km * 1000.0
     step = r / (k + 0.5)
@@ -181,13 +193,18 @@ def overlap_share(
     pad = F.lit(r * 180.0 / (pi * MAP_RADIUS_M))
     parts = cover(edges, BAND_DEG)
     cells = materialize(parts.groupBy("tx", "ty").agg(F.bool_or("whole").alias("whole")), "cells")
-    spots = blocks.select("lat", "lon").where("NOT isnan(lat) AND NOT isnan(lon)").distinct()
+    # Places are few bytes and fan out to many cells and samples, which many tasks should make.
+    width = shuffle_width(blocks.sparkSession)
+    spots = blocks.select("lat", "lon").where("NOT isnan(lat) AND NOT isnan(lon)").repartition(width, "lat", "lon").distinct()
     reach = spots.withColumns(
         {f"__{t}": F.sequence(_band(F.col(c) - pad), _band(F.col(c) + pad)) for t, c in (("x", "lon"), ("y", "lat"))}
     )
     reach = reach.withColumn("n", F.size("__x") * F.size("__y")).withColumn("tx", F.explode("__x")).withColumn("ty", F.explode("__y"))
-    met = reach.join(cells, ["tx", "ty"]).groupBy("lat", "lon", "n").agg(F.count_if("whole").alias("n_whole"))
-    met = materialize(met, "discs")
+    # Joins keep their left side, which fans out from few bytes and must not be the one broadcast.
+    met = reach.join(cells, ["tx", "ty"], "left").groupBy("lat", "lon", "n").agg(
+        F.count_if("whole").alias("n_whole"), F.count("whole").alias("n_met")
+    )
+    met = materialize(met.where("n_met > 0").drop("n_met"), "discs")
     axis = range(-k, k + 1)
     n_samples = sum(i * i + j * j <= (k + 0.5) ** 2 for i in axis for j in axis)
     steps = F.sequence(F.lit(-k), F.lit(k))
@@ -201,13 +218,15 @@ def overlap_share(
             F.degrees(F.atan(F.exp((to_y + F.col("j") * step) / MAP_RADIUS_M)) * 2 - pi / 2).alias("py"),
         )
 
-    samples = sampled(met.where("n_whole < n")).withColumns({"tx": _band(F.col("px")), "ty": _band(F.col("py"))})
-    known = samples.join(cells, ["tx", "ty"])
-    cut = parts.where("NOT whole").select("tx", "ty", "whole", "cut")
-    hit = known.where("NOT whole").drop("whole").alias("s").join(
-        cut.alias("c"), (F.col("s.tx") == F.col("c.tx")) & (F.col("s.ty") == F.col("c.ty")) & _inside("px", "py"), "left_semi"
+    samples = sampled(met.where("n_whole < n").repartition(width, "lat", "lon"))
+    samples = samples.withColumns({"tx": _band(F.col("px")), "ty": _band(F.col("py"))})
+    # A cell that one area covers whole needs no edges of the others; equal ones count once.
+    cut = parts.where("NOT whole").join(cells.where("NOT whole").select("tx", "ty"), ["tx", "ty"], "left_semi")
+    cut = cut.select("tx", "ty", "whole", F.sort_array("cut").alias("cut")).distinct()
+    filled = materialize(cut.unionByName(cells.where("whole"), allowMissingColumns=True), "filled")
+    covered = samples.alias("s").join(
+        filled.alias("c"), (F.col("s.tx") == F.col("c.tx")) & (F.col("s.ty") == F.col("c.ty")) & _inside("px", "py"), "left_semi"
     )
-    covered = known.where("whole").select("at_lat", "at_lon").unionByName(hit.select("at_lat", "at_lon"))
     share = covered.groupBy(F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon")).agg(
         (F.count(F.lit(1)).cast("double") / float(n_samples) * 100.0).alias("overlap_pct")
     )

@@ -226,6 +226,36 @@ def test_cells_of_areas_and_points_in_them(spark):
     assert {r["block_id"]: r["overlap_pct"] for r in short.collect()} == {k: r["overlap_pct"] for k, r in share.items()}
 
 
+def test_cells_and_samples_are_not_broadcast_as_small(spark):
+    """Areas and places of few bytes make many cells and samples, which no join may broadcast."""
+    # A broadcast of one row counts as 32 MB here, the cells of these areas as more than 64.
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.maxBroadcastTableSize": "40m"}
+    at = lambda i, step, span: i * step % (span * 100) / 100.0
+    i, h = F.col("id"), F.col("id") % 5 + 8
+    corners = ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))
+    ring = F.array(*(F.array(at(i, 1013, 30) + 0.013 + h * x, at(i, 617, 30) + 0.017 + h * y) for x, y in corners))
+    edges = pg.edges_of_rings(spark.range(2500).select(i.alias("area_id"), ring.alias("ring")), "area_id", "ring")
+    points = spark.range(5000).select(at(i, 4729, 50).alias("lon"), at(i, 7919, 50).alias("lat"))
+    blocks = spark.range(600).select("id", (at(i, 9100, 60) - 15.0).alias("lon"), (at(i, 3700, 60) - 15.0).alias("lat"))
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        inside = pg.points_in_polygons(points, edges).count()
+        share = {r["id"]: r["overlap_pct"] for r in pg.overlap_share(blocks, edges, "id", 150.0, count_areas=False).collect()}
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    k, p = np.arange(2500), np.arange(5000)[:, None]
+    within = lambda x, y: abs(x - at(k, 1013, 30) - 0.013) + abs(y - at(k, 617, 30) - 0.017) < k % 5 + 8
+    assert inside == within(at(p, 4729, 50), at(p, 7919, 50)).sum()
+    steps = np.array([(a, b) for a in range(-20, 21) for b in range(-20, 21) if a * a + b * b <= 420.25]) * 15e4 / 20.5 / pg.MAP_RADIUS_M
+    for b in range(0, 600, 20):
+        y = np.log(np.tan(np.pi / 4 + np.radians(at(b, 3700, 60) - 15.0) / 2)) + steps[:, 1:]
+        hit = within(at(b, 9100, 60) - 15.0 + np.degrees(steps[:, :1]), np.degrees(np.arctan(np.exp(y)) * 2 - np.pi / 2)).any(axis=1)
+        assert share[b] == pytest.approx(100 * hit.mean(), abs=0.0051)
+    assert len(share) == 600 and {0.0, 100.0} < set(share.values())
+
+
 def test_touched_gathers_groups_and_pairs_keep_repeats(spark):
     """One row a query with all groups near it; queries at one place are searched as one."""
     ref = spark.createDataFrame([(1, 0.0, 0.0, 3), (2, 0.0, 0.5, 1), (3, 0.0, 0.5, 3), (4, 40.0, 40.0, 2)], "r int, lat double, lon double, g int")
